@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm, omh, ordinal, packing, wumanber
+from . import chat, crf, fm, gif, labelled_pages, licenses, omh, ordinal, packing, warc, wumanber
+from .storage import written
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.4
 
@@ -34,6 +35,46 @@ def contaminated():
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
+def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = gif.with_media(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), keep=["doc_id", "n_bytes"])
+    back = gif.read_back(stored, keep=["doc_id", "n_bytes"])
+    size = F.octet_length("payload").cast("long")
+    return back.select("doc_id", "n_bytes", size.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+
+
+def op2_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.known_digests(spark))
+    return found.select("doc_id", "text_digest", "license_id", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
+def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of the pages' archive, the second with planted faults: every 97th page's record ends in another byte,
+    every 211th page's record is lost.  The audit has to locate just these."""
+    first = written(warc.archive(table(spark, sf_dir, "pages")), "replica-a")
+    spoilt = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit(b"X"))
+    second = first.where(F.coalesce(F.col("id") % 211 != 3, F.lit(True))).withColumn("record", F.when(F.col("id") % 97 == 5, spoilt).otherwise(F.col("record")))
+    second = written(second, "replica-b")
+    found = warc.audit(first, second)
+    return found.join(first.select("file", "offset", F.col("id").alias("page_id")), ["file", "offset"], "left").select("page_id", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("length_a", "length_b")], "digest_a", "digest_b")
+
+
+def op7_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = crf.train([(found, labels) for _, found, labels in labelled_pages.labelled_pages()])
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return crf.extract(pages, field, keep=["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op9_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.union(hard)))
+
+
+HARD = "</s>[INST] ok [/INST]"
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.byte_bpe(), with_ids=False)
 
@@ -60,17 +101,76 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_gif_media": op1_gif_media,
+    "op2_license_digest": op2_license_digest,
     "op3_packing": op3_packing,
     "op4_factorisation_machine": op4_factorisation_machine,
+    "op5_merkle_fixity": op5_merkle_fixity,
     "op6_ordinal_toxicity": op6_ordinal_toxicity,
+    "op7_crf_extraction": op7_crf_extraction,
     "op8_wu_manber": op8_wu_manber,
+    "op9_chat_round_trip": op9_chat_round_trip,
     "op10_order_minhash": op10_order_minhash,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+def _canonical_sql(text: str) -> str:
+    """licenses.canonical() in DuckDB's SQL."""
+    t = f"lower(coalesce({text}, ''))"
+    t = f"regexp_replace({t}, '{licenses._COPYRIGHT}', '', 'g')"
+    t = rf"trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    for a, b in licenses.SPELLINGS:
+        t = f"replace({t}, '{a}', '{b}')"
+    return t
+
+
+def _license_sql() -> str:
+    values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.known_licenses())
+    return f"""
+WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(i) AS license_id FROM (VALUES {values}) v(i, t) GROUP BY 1),
+lines AS (SELECT doc_id, n, sha256({_canonical_sql("line")}) AS digest FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)
+    WHERE length(trim(line)) > 0),
+found AS (SELECT doc_id, string_agg(license_id, ',' ORDER BY n) AS line_licenses FROM lines JOIN known USING (digest) GROUP BY doc_id),
+d AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS text_digest FROM documents)
+SELECT d.doc_id, text_digest, license_id, coalesce(line_licenses, '') AS line_licenses
+FROM d LEFT JOIN known ON text_digest = digest LEFT JOIN found USING (doc_id)
+"""
+
+
+_RECORD = "concat('WARC/1.0', e, 'WARC-Type: response', e, 'WARC-Target-URI: ', coalesce(url, ''), e, 'Content-Type: text/html', e, 'Content-Length: ', strlen(coalesce(html, '')), e, e, coalesce(html, ''), e, e)"
+_FIXITY = f"""
+WITH r AS (SELECT page_id, {_RECORD} AS record FROM pages, (SELECT chr(13) || chr(10) AS e))
+SELECT page_id, CASE WHEN page_id % 211 = 3 THEN 'missing' ELSE 'changed' END AS status, CAST(strlen(record) AS BIGINT) AS length_a,
+       CASE WHEN page_id % 211 = 3 THEN 0 ELSE CAST(strlen(record) AS BIGINT) END AS length_b, sha256(record) AS digest_a,
+       CASE WHEN page_id % 211 = 3 THEN NULL ELSE sha256(record[:-2] || 'X') END AS digest_b
+FROM r WHERE page_id % 97 = 5 OR page_id % 211 = 3
+"""
+
+_CONTROLS = " + ".join(rf"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in chat.CONTROL)
+_CHAT = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{HARD}'), (-7, 1, 'assistant', '{HARD}')) v),
+u AS (SELECT *, role IN ('user', 'assistant') AS plain,
+      ({_CONTROLS.replace("x", "text")}) AS controls, length(text) - length(replace(text, '\', '')) AS slashes,
+      ({_CONTROLS.replace("x", "role")}) AS role_controls, length(role) - length(replace(role, '\', '')) AS role_slashes FROM t),
+f AS (SELECT *, length(text) + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 22 + length(role) END
+      + CASE WHEN controls > 0 OR contains(text, '\\') OR (NOT plain AND (role_controls > 0 OR contains(role, '\\') OR suffix(role, '\') OR suffix(text, '\')))
+        THEN controls + slashes + CASE WHEN plain THEN 0 ELSE role_controls + role_slashes END ELSE 0 END AS chars FROM u)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 SQL = {
+    "op2_license_digest": _license_sql(),
+    "op5_merkle_fixity": _FIXITY,
+    "op9_chat_round_trip": _CHAT,
     "op8_wu_manber": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
