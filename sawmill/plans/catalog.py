@@ -754,7 +754,10 @@ def evolution(spark, sf):
     return reports.evolution(mining.lifecycle_events(templates, merges), templates)
 
 
-@query("SELECT event_id, CASE WHEN s < 60 THEN printf('%.0f秒', s) WHEN s < 3600 THEN printf('%.1f分钟', s / 60) WHEN s < 86400 THEN printf('%.1f小时', s / 3600) ELSE printf('%.1f天', s / 86400) END AS text FROM (SELECT event_id, CAST(event_id * 37 AS DOUBLE) AS s FROM events)")
+_TENTH = "printf('%.1f', floor(s / {} * 10 + 0.5) / 10)"
+
+
+@query(f"SELECT event_id, CASE WHEN s < 60 THEN printf('%.0f秒', s) WHEN s < 3600 THEN {_TENTH.format(60)} || '分钟' WHEN s < 86400 THEN {_TENTH.format(3600)} || '小时' ELSE {_TENTH.format(86400)} || '天' END AS text FROM (SELECT event_id, CAST(event_id * 37 AS DOUBLE) AS s FROM events)")
 def format_duration(spark, sf):
     return table(spark, sf, "events").select("event_id", reports.format_duration((F.col("event_id") * 37).cast("double")).alias("text"))
 

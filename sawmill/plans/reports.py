@@ -32,6 +32,7 @@ def top_templates(templates: DataFrame, n: int = 20) -> DataFrame:
 
 
 def format_duration(seconds: Column) -> Column:
+    """Seconds, minutes, hours or days; halves of the last digit are rounded up."""
     return (
         F.when(seconds < 60, F.format_string("%.0f秒", seconds)).when(seconds < 3600, F.format_string("%.1f分钟", seconds / 60))
         .when(seconds < 86400, F.format_string("%.1f小时", seconds / 3600)).otherwise(F.format_string("%.1f天", seconds / 86400))
