@@ -10,6 +10,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM, on its way, and by Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after making sure that its session sends batches of at most BATCH_ROWS rows to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a null text counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -36,4 +49,4 @@ def map_texts(df: DataFrame, text_col: str, make: Callable, fields: list[T.Struc
             arrays = [a if isinstance(a, pa.Array) else pa.array(a, out.field(i).type) for i, a in enumerate(arrays)]
             yield pa.RecordBatch.from_arrays([a.cast(out.field(i).type) for i, a in enumerate(arrays)], schema=out)
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .arrowmap import small_batches
+
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _any = "|".join(map(re.escape, CONTROL))
 _TOKEN = re.compile(rf"\\(\\|{_any})|({_any})")
@@ -114,7 +116,7 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
             columns = [[x[i] for x in rows] for i in (0, 1, 2, 4, 3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(c, out.field(4 + i).type) for i, c in enumerate(columns)]], schema=out)
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def read_back(turns: DataFrame) -> DataFrame:

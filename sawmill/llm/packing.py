@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .arrowmap import small_batches
+
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Partitions indices of ``sizes`` into k subsets of near-equal sums (largest differencing method, k-way).
@@ -148,7 +150,7 @@ def pack(df: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "text
         if pieces:
             yield table(pieces)
 
-    return df.select(df[f"`{id_col}`"], df[f"`{text_col}`"]).mapInArrow(run, schema)
+    return small_batches(df.select(df[f"`{id_col}`"], df[f"`{text_col}`"])).mapInArrow(run, schema)
 
 
 def byte_bpe(path: str | None = None):

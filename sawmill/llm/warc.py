@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .arrowmap import small_batches
+
 from .storage import written
 
 RANGE, FANOUT, FILE_BYTES = 1 << 16, 16, 1 << 28
@@ -54,7 +56,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 columns = [files, offsets, [len(r) for r in made], part.column(0), made]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, out.field(i).type) for i, c in enumerate(columns)], schema=out)
 
-    return pages.select(*[F.col(f"`{c}`") for c in (id_col, url_col, html_col)]).mapInArrow(run, schema)
+    return small_batches(pages.select(*[F.col(f"`{c}`") for c in (id_col, url_col, html_col)])).mapInArrow(run, schema)
 
 
 def leaves(replica: DataFrame) -> DataFrame:
