@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,11 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows written as Parquet under the shared folder and read again: a lost executor costs no recomputation."""
     spark = df.sparkSession
+    # as many files as the cluster can write at a time, twice; a shuffle's many small partitions are read in turn
+    df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = path or f"{shared_folder(spark)}/sawmill/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Rows that are used more than once within an operator, on the executors' disks; what a lost executor had is computed
+    again from the tables before it.  The operator lets go of them with unpersist()."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table that written() made, once nothing reads it any more."""
     jvm = spark._jvm
