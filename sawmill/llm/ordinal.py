@@ -20,7 +20,8 @@ from .fm import training_rows
 from .textvec import groups, words
 
 BITS, PREFIX, GRADES = 18, 4, 3
-SAMPLE = 12288
+#: The model is fitted on so many labelled documents at most, those of the least hash.
+SAMPLE = 8192
 
 
 @dataclass
@@ -49,7 +50,7 @@ class Model:
 
     def tails(self, x: Sparse) -> np.ndarray:
         """P(grade >= k) for k = 1.. as columns."""
-        product = self.w[x.bucket] * np.log1p(x.count)
+        product = self.w[x.bucket] * np.log1p(x.count, dtype=np.float32)
         total = np.zeros(len(x.first) - 1)
         some = np.flatnonzero(np.diff(x.first) > 0)
         if len(some):
@@ -66,8 +67,8 @@ def fit(x: Sparse, grade: np.ndarray, grades: int = GRADES, rounds: int = 150, r
     model = Model(np.zeros(size), theta)
     if n == 0 or grade.min() == grade.max():
         return model
-    value = np.log1p(x.count)
-    per = np.repeat(np.arange(n), np.diff(x.first))
+    value = np.log1p(x.count, dtype=np.float32)
+    per = np.repeat(np.arange(n, dtype=np.int32), np.diff(x.first))
     free = np.concatenate(([theta[0]], np.log(np.maximum(np.diff(theta), 1e-3))))
     squares, squares_free = np.full(size, 1e-8), np.full(grades, 1e-8)
     rows = np.arange(n)
@@ -83,7 +84,7 @@ def fit(x: Sparse, grade: np.ndarray, grades: int = GRADES, rounds: int = 150, r
         gt = g_theta[:, 1:-1].sum(0)
         g_free = np.cumsum(gt[::-1])[::-1].copy()
         g_free[1:] *= np.exp(free[1:])
-        gw = np.bincount(x.bucket, g_eta[per] * value, size)
+        gw = np.bincount(x.bucket, g_eta.astype(np.float32)[per] * value, size)
         squares += gw * gw
         squares_free += g_free * g_free
         pace = rate / (np.sqrt(squares) + 1e-3)
@@ -98,7 +99,7 @@ def graded(x: Sparse, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
     """Grades where only 0/1 is labelled: 0 stays 0; toxic documents get 1, 2, ... by how often they use features that
     are at least eight times as frequent among toxic documents: terciles (for three grades) of that count."""
     n1, n0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    per = np.repeat(np.arange(len(toxic)), np.diff(x.first))
+    per = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(x.first))
     size = 1 << BITS
     in1 = np.bincount(x.bucket, toxic[per] == 1, size)
     in0 = np.bincount(x.bucket, toxic[per] == 0, size)
@@ -130,8 +131,9 @@ def train_toxicity(df: DataFrame, labels: DataFrame, usable, label_col: str = "t
     fields = [T.StructField("_b", T.BinaryType()), T.StructField("_c", T.BinaryType())]
     got = sorted(map_texts(rows, "_text", make, fields, ["_id", column]).collect(), key=lambda r: (str(r["_id"]), r["_b"]))
     lens = [len(r["_b"]) // 4 for r in got]
-    x = Sparse(np.frombuffer(b"".join(r["_b"] for r in got), np.int32), np.frombuffer(b"".join(r["_c"] for r in got), np.uint16).astype(np.int64), np.concatenate(([0], np.cumsum(lens))).astype(np.int64))
+    x = Sparse(np.frombuffer(b"".join(r["_b"] for r in got), np.int32), np.frombuffer(b"".join(r["_c"] for r in got), np.uint16), np.concatenate(([0], np.cumsum(lens))).astype(np.int64))
     y = np.array([r[column] for r in got], np.int64)
+    del got
     return fit(x, y if grade_col else graded(x, y, grades), grades)
 
 
