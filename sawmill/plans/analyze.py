@@ -45,7 +45,7 @@ class Analysis:
 
 def mine(entries: DataFrame, settings: Settings, merge: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, templates, merge events) of parsed entries (seq, ts, level, source, message)."""
-    lines = masked_lines(entries, settings)
+    lines = masked_lines(entries, settings).persist()
     assigned = mining.assign_templates(lines, settings.drain).persist()
     ids = mining.template_ids(lines, assigned).persist()
     rows = mining.assignments(lines, assigned, ids)

@@ -772,33 +772,33 @@ def chart_points(spark, sf):
 
 @query()
 def state_roundtrip(spark, sf):
-    import tempfile
-
     from sawmill.sources import libraries
 
     rows, templates, _ = plans.mine(entries(spark, sf), Settings(), merge=False)
-    at = f"{_shared(spark)}/state-{next(tempfile._get_candidate_names())}"
+    at = _stored(spark, "state")
     libraries.save_state(templates, at)
     return libraries.load_state(spark, at).select("template_id", "template", "count")
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that executors share; a local one where none is named."""
+def _stored(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that executors share; in a local one where none is named."""
     import tempfile
+    import uuid
 
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return at or "file://" + tempfile.mkdtemp(prefix="sawmill-")
+    return f"{at or 'file://' + tempfile.mkdtemp(prefix='sawmill-')}/{name}-{uuid.uuid4().hex}"
 
 
 @query()
 def incremental_mining(spark, sf):
-    """Two batches, one after the other, against one state."""
+    """Two batches, one after the other, against one stored state."""
     from sawmill.streaming import incremental
 
-    settings, e = Settings(), entries(spark, sf)
+    settings, e, at = Settings(), entries(spark, sf).persist(), _stored(spark, "state")
     middle = e.agg((F.max("seq") / 2).alias("m")).first().m
-    first = incremental.advance(incremental.empty_state(spark), e.where(F.col("seq") <= middle), settings)
-    return incremental.advance(first, e.where(F.col("seq") > middle), settings).select("template_id", "template", "count", "is_error")
+    incremental.advance(incremental.empty_state(spark), e.where(F.col("seq") <= middle), settings).write.parquet(f"{at}/v=0")
+    second = incremental.advance(incremental.current_state(spark, at), e.where(F.col("seq") > middle), settings)
+    return second.select("template_id", "template", "count", "is_error")
 
 
 @query()

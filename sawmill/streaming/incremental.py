@@ -37,9 +37,10 @@ def merged_levels(a, b):
 
 
 def advance(state: DataFrame, lines: DataFrame, settings: Settings) -> DataFrame:
-    """The state after a batch of parsed lines (seq, ts, level, source, message)."""
-    lines = masked_lines(lines, settings)
-    assigned = seeded(lines, state, settings)
+    """The state after a batch of parsed lines (seq, ts, level, source, message).  ``state`` is a stored table: it is read
+    several times."""
+    lines = masked_lines(lines, settings).persist()
+    assigned = seeded(lines, state, settings).persist()
     last = state.agg(F.coalesce(F.max(F.substring("template_id", 2, 9).cast("int")), F.lit(0)).alias("n")).first().n
     fresh = mining.template_ids(lines, assigned.join(state.select("template"), "template", "left_anti"), last + 1)
     ids = state.select("template_id", "template", "tokens").unionByName(fresh.select("template_id", "template", "tokens"))
