@@ -13,6 +13,7 @@ from sawmill.config import Settings
 from sawmill.functions.masking import mask_all, tokenize
 from sawmill.functions.parsing import sealed
 from sawmill.operators import alerts, anomaly, clustering, correlate, mining, tags, timeseries
+from sawmill.plans.stored import stored
 from sawmill.sources.lines import parsed
 
 
@@ -45,17 +46,17 @@ class Analysis:
 
 def mine(entries: DataFrame, settings: Settings, merge: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, templates, merge events) of parsed entries (seq, ts, level, source, message)."""
-    lines = masked_lines(entries, settings).persist()
-    assigned = mining.assign_templates(lines, settings.drain).persist()
-    ids = mining.template_ids(lines, assigned).persist()
+    lines = stored(masked_lines(entries, settings).select("seq", "ts", "level", "source", "tokens"), "lines")
+    assigned = stored(mining.assign_templates(lines, settings.drain), "assigned")
+    ids = stored(mining.template_ids(lines, assigned), "ids")
     rows = mining.assignments(lines, assigned, ids)
     events = None
     if merge:
         merged, lineage, events = mining.merge_templates(ids)
         rows = mining.merged_rows(rows, lineage)
         ids = merged.select("template_id", "template", "tokens")
-    rows = rows.select("seq", "ts", "level", "source", "template_id").persist()
-    templates = ids.select("template_id", "template", "tokens").join(mining.template_stats(rows), "template_id")
+    rows = stored(rows.select("seq", "ts", "level", "source", "template_id"), "rows")
+    templates = stored(ids.select("template_id", "template", "tokens").join(mining.template_stats(rows), "template_id"), "templates")
     if events is None:
         events = entries.sparkSession.createDataFrame([], "template_id string, related_template_id string, kind string, step int")
     return rows, templates, events
@@ -66,23 +67,23 @@ def analyze(entries: DataFrame, settings: Settings | None = None, baseline: Data
     alerts."""
     settings = settings or Settings()
     began = time.monotonic()
-    entries = entries.persist()
-    total = entries.count()
     rows, templates, merges = mine(entries, settings, merge)
+    total = rows.count()
     templates = mining.compress(templates, settings.incremental.max_templates, settings.incremental.rare_template_count)
     lifecycle = mining.lifecycle_events(templates, merges)
     templates = templates.withColumn("tags", tags.tags_of(F.col("template"), settings.tags))
     if tag:
         templates = tags.filtered(templates, tag)
-    templates = templates.persist()
+    templates = stored(templates, "tagged")
     members = clustering.cluster(templates, settings.clustering.merge_threshold)
     clusters = clustering.cluster_stats(members, templates)
     a = settings.anomaly
     kept = rows.join(templates.select("template_id"), "template_id", "left_semi")
-    series = timeseries.analyze(kept.select("template_id", "ts"), a.freq_unit, a.freq_n_std, a.freq_m_periods, a.min_data_points, horizon).persist()
+    series = timeseries.analyze(kept.select("template_id", "ts"), a.freq_unit, a.freq_n_std, a.freq_m_periods, a.min_data_points, horizon)
+    series = stored(series, "series")
     filters = settings.filters
-    flagged = anomaly.flagged(templates, series, baseline, filters.whitelist, filters.focus).persist()
-    flagged = flagged.join(members.select("template_id", "cluster_id"), "template_id", "left")
+    flagged = anomaly.flagged(templates, series, baseline, filters.whitelist, filters.focus)
+    flagged = stored(flagged.join(members.select("template_id", "cluster_id"), "template_id", "left"), "flagged")
     seconds = time.monotonic() - began
     metrics = alerts.metrics(flagged, total, seconds)
     return Analysis(rows, flagged, members, clusters, series, lifecycle, metrics, alerts.triggered(metrics, settings.alerts), total, seconds)
@@ -110,7 +111,7 @@ def correlate_events(events: DataFrame, settings: Settings | None = None, state:
     """Rules and chains of events (template_id, ts); ``state``: (pairs, counts) of earlier runs, which are added."""
     c = (settings or Settings()).correlate
     window = correlate.check_window(c.window_size)
-    counts = correlate.event_counts(events, state[1] if state else None).persist()
+    counts = stored(correlate.event_counts(events, state[1] if state else None), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     common = correlate.frequent(counts, c.min_count)
     kept = events.join(common.select("template_id"), "template_id", "left_semi")
@@ -118,7 +119,7 @@ def correlate_events(events: DataFrame, settings: Settings | None = None, state:
     pairs = correlate.symmetrised(correlate.co_occurrence(kept, window))
     if state:
         pairs = correlate.merged_state(pairs, state[0])
-    pairs = pairs.persist()
-    rules = correlate.rules(pairs, counts, total, c.min_support, c.min_confidence, c.min_lift, bursts).persist()
+    pairs = stored(pairs, "pairs")
+    rules = stored(correlate.rules(pairs, counts, total, c.min_support, c.min_confidence, c.min_lift, bursts), "rules")
     significant = rules.where("is_significant").orderBy(F.desc("lift"), "a", "b")
     return Correlation(rules, significant, correlate.causal_chains(significant), bursts, pairs, counts, total)

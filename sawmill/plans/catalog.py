@@ -12,6 +12,7 @@ from sawmill.functions import masking, parsing
 from sawmill.operators import alerts, anomaly, clustering, correlate, diff, mining, tags, timeseries
 from sawmill.plans import analyze as plans
 from sawmill.plans import reports
+from sawmill.plans.stored import new_path, stored
 from sawmill.sources import lines as line_source
 
 YEAR = 2024
@@ -775,26 +776,17 @@ def state_roundtrip(spark, sf):
     from sawmill.sources import libraries
 
     rows, templates, _ = plans.mine(entries(spark, sf), Settings(), merge=False)
-    at = _stored(spark, "state")
+    at = new_path(spark, "state")
     libraries.save_state(templates, at)
     return libraries.load_state(spark, at).select("template_id", "template", "count")
 
 
-def _stored(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that executors share; in a local one where none is named."""
-    import tempfile
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{at or 'file://' + tempfile.mkdtemp(prefix='sawmill-')}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def incremental_mining(spark, sf):
     """Two batches, one after the other, against one stored state."""
     from sawmill.streaming import incremental
 
-    settings, e, at = Settings(), entries(spark, sf).persist(), _stored(spark, "state")
+    settings, e, at = Settings(), stored(entries(spark, sf), "entries"), new_path(spark, "state")
     middle = e.agg((F.max("seq") / 2).alias("m")).first().m
     incremental.advance(incremental.empty_state(spark), e.where(F.col("seq") <= middle), settings).write.parquet(f"{at}/v=0")
     second = incremental.advance(incremental.current_state(spark, at), e.where(F.col("seq") > middle), settings)

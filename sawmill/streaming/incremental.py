@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sawmill.config import Settings
 from sawmill.operators import mining
 from sawmill.plans.analyze import masked_lines
+from sawmill.plans.stored import stored
 from sawmill.sources.lines import parsed
 
 STATE = "template_id string, template string, tokens array<string>, count bigint, first_seen timestamp_ntz, last_seen timestamp_ntz, level_counts map<string,bigint>, sources array<string>, is_error boolean"
@@ -39,8 +40,8 @@ def merged_levels(a, b):
 def advance(state: DataFrame, lines: DataFrame, settings: Settings) -> DataFrame:
     """The state after a batch of parsed lines (seq, ts, level, source, message).  ``state`` is a stored table: it is read
     several times."""
-    lines = masked_lines(lines, settings).persist()
-    assigned = seeded(lines, state, settings).persist()
+    lines = stored(masked_lines(lines, settings).select("seq", "ts", "level", "source", "tokens"), "lines")
+    assigned = stored(seeded(lines, state, settings), "assigned")
     last = state.agg(F.coalesce(F.max(F.substring("template_id", 2, 9).cast("int")), F.lit(0)).alias("n")).first().n
     fresh = mining.template_ids(lines, assigned.join(state.select("template"), "template", "left_anti"), last + 1)
     ids = state.select("template_id", "template", "tokens").unionByName(fresh.select("template_id", "template", "tokens"))
@@ -86,9 +87,8 @@ def mine_stream(lines: DataFrame, settings: Settings, state_path: str, checkpoin
 
         spark = df.sparkSession
         ordered = df.withColumn("seq", F.row_number().over(Window.orderBy(*seq_cols)).cast("bigint")).select("seq", "value")
-        entries = parsed(ordered, settings.input, year).persist()
+        entries = parsed(ordered, settings.input, year)
         advance(current_state(spark, state_path, number), entries, settings).write.mode("overwrite").parquet(f"{state_path}/v={number}")
-        entries.unpersist()
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
