@@ -366,7 +366,7 @@ def active_duration(spark, sf):
     return t.select("template_id", mining.active_seconds(F.col("a"), F.col("z")).alias("seconds"))
 
 
-@query("SELECT a.template_id AS a_id, b.template_id AS b_id FROM (SELECT p_name AS template, concat('A', min(p_partkey)) AS template_id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) a JOIN (SELECT p_name AS template, concat('B', min(p_partkey)) AS template_id FROM part WHERE p_partkey % 2 = 1 GROUP BY 1) b USING (template)")
+@query("SELECT a.template_id AS a_id, b.template_id AS b_id FROM (SELECT concat(p_name, ' ', p_type, ' ', p_brand) AS template, concat('A', min(p_partkey)) AS template_id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) a JOIN (SELECT concat(p_name, ' ', p_type, ' ', p_brand) AS template, concat('B', min(p_partkey)) AS template_id FROM part WHERE p_partkey % 2 = 1 GROUP BY 1) b USING (template)")
 def reconcile_exact(spark, sf):
     return _reconciled(spark, sf).where("match = 'exact'").select("a_id", "b_id")
 
@@ -377,7 +377,8 @@ def reconcile_similar(spark, sf):
 
 
 def _reconciled(spark, sf):
-    side = lambda k, n: table(spark, sf, "part").where(F.col("p_partkey") % 2 == k).groupBy(F.col("p_name").alias("template")).agg(F.concat(F.lit(n), F.min("p_partkey")).alias("template_id"), F.count("*").alias("count")).withColumn("tokens", F.split("template", " "))
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    side = lambda k, n: table(spark, sf, "part").where(F.col("p_partkey") % 2 == k).groupBy(text.alias("template")).agg(F.concat(F.lit(n), F.min("p_partkey")).alias("template_id"), F.count("*").alias("count")).withColumn("tokens", F.split("template", " "))
     return mining.reconcile(side(0, "A"), side(1, "B"), 0.4)
 
 
