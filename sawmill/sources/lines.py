@@ -40,8 +40,19 @@ def not_blank(lines: DataFrame) -> DataFrame:
     return lines.where(F.length(strip(F.coalesce("value", F.lit("")))) > 0)
 
 
+#: Inputs estimated below so many bytes a core are dealt out anew before they are parsed.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that lies in few partitions (one compressed file, say) over all cores; a large one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def parsed(lines: DataFrame, options: Section, year: int) -> DataFrame:
     """(seq, ts, level, source, message, raw) without blank lines and blank messages; levels normalised."""
-    p = parse_lines(not_blank(lines).select("seq", "value"), "value", options, year)
+    p = parse_lines(spread(not_blank(lines).select("seq", "value")), "value", options, year)
     p = p.select("seq", "ts", normalize_level(F.col("level")).alias("level"), "source", "message", F.col("value").alias("raw"))
     return p.where(F.length(strip(F.coalesce("message", F.lit("")))) > 0)
