@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,18 +32,19 @@ def record(url: str | None, payload: bytes) -> bytes:
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
     """The pages as WARC records: file, offset, length, id, record.
 
-    Each task appends its rows, in their order, to files of its own of about ``file_bytes``, named after its partition
-    number.  Null urls and pages are empty.  Rows without an id, with repeated ids and repeated rows are records of their
+    The rows of each partition of ``pages`` are appended, in their order, to files of its own of about ``file_bytes``, named
+    after the number of that partition: a task that runs several, as behind coalesce(), has one number of its own.  Null urls and pages are empty.  Rows without an id, with repeated ids and repeated rows are records of their
     own.  Other columns are not read.
     """
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("id", pages.schema[id_col].dataType), T.StructField("record", T.BinaryType())])
     out = to_arrow_schema(schema)
 
     def run(batches):
-        task, number, offset = TaskContext.get().partitionId(), 0, 0
+        number, offset = 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
+                task = part.column(3)[0].as_py()
                 made = [record(u, (h or "").encode()) for u, h in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 files, offsets = [], []
                 for r in made:
@@ -56,7 +56,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 columns = [files, offsets, [len(r) for r in made], part.column(0), made]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, out.field(i).type) for i, c in enumerate(columns)], schema=out)
 
-    return small_batches(pages.select(*[F.col(f"`{c}`") for c in (id_col, url_col, html_col)])).mapInArrow(run, schema)
+    return small_batches(pages.select(*[F.col(f"`{c}`") for c in (id_col, url_col, html_col)], F.spark_partition_id().alias("_task"))).mapInArrow(run, schema)
 
 
 def leaves(replica: DataFrame) -> DataFrame:

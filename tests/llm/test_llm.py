@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sawmill.llm import chat, crf, fm, gif, labelled_pages, licenses, omh, ordinal, packing, textvec, warc, wumanber
+from sawmill.llm.storage import written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -263,6 +264,14 @@ def test_fixity(spark):
     assert warc.audit(a, a, 1 << 17).count() == 0 and warc.audit(a.limit(0), a.limit(0)).count() == 0
 
 
+def test_archive_keys_of_many_partitions(spark):
+    n = 5 * spark.sparkContext.defaultParallelism
+    pages = spark.range(0, 40 * n, 1, n).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.repeat(F.col("id").cast("string"), 50).alias("html"))
+    a = written(warc.archive(pages, file_bytes=1 << 12), "many")
+    assert a.count() == 40 * n == a.select("file", "offset").distinct().count()
+    assert warc.audit(a, a, file_bytes=1 << 12).count() == 0
+
+
 # --- 7 CRF
 
 
