@@ -153,11 +153,15 @@ def pack(df: DataFrame, tokenizer, id_col: str = "doc_id", text_col: str = "text
     return small_batches(df.select(df[f"`{id_col}`"], df[f"`{text_col}`"])).mapInArrow(run, schema)
 
 
-def byte_bpe(path: str | None = None):
+#: The added tokens of byte_bpe_50k.json.
+ADDED = {"<|endoftext|>": 50256}
+
+
+def byte_bpe(path: str | None = None, added: bool = False):
     """The tokenizer of byte_bpe_50k.json, read through its rank file, which holds the same vocabulary.
 
-    ``path``: the rank file; by default the one of the installed public_tokenizers.  Names of special tokens inside a
-    text are ordinary text.
+    ``path``: the rank file; by default the one of the installed public_tokenizers.  With ``added``, the name of an added
+    token inside a text is that one id, as the json's tokenizer has it by default; without, it is ordinary text.
     """
 
     def make():
@@ -168,7 +172,10 @@ def byte_bpe(path: str | None = None):
 
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+        encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+        if not added:
+            return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+        # the plain form is faster, and equal for a text without these names
+        return lambda texts: [encoding.encode(t, allowed_special="all") if any(x in t for x in ADDED) else encoding.encode_ordinary(t) for t in texts]
 
     return make

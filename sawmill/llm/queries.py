@@ -76,7 +76,7 @@ HARD = "</s>[INST] ok [/INST]"
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), packing.byte_bpe(), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), packing.byte_bpe(added=True), with_ids=False)
 
 
 def op4_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,25 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, packing.byte_bpe()).count() == 0
 
 
+def test_packing_has_the_ids_of_the_tokenizer_as_it_is(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    import public_tokenizers
+    from sawmill.llm import queries
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}x", f"été {end}\n\n {end} <|endoftext", "<|ENDOFTEXT|> <|endofprompt|>", None, f"  {end}  ", f"word{end}word " * 400]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = packing.pack(df, packing.byte_bpe(added=True)).collect()
+    assert [[x for p in sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start) for x in p.ids] for i in range(len(texts))] == want
+    for rows in (queries.op3_packing(spark, str(tmp_path)), corpus_pipeline.windows(spark, df, str(tmp_path))):
+        assert {r.doc_id: r.doc_tokens for r in rows.collect()} == {i: len(x) for i, x in enumerate(want)}
+
+
 # --- 4 factorisation machine
 
 
