@@ -458,6 +458,37 @@ def test_classes_against_all_pairs(spark, docs, empty):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect() if r.doc_id) == [1, 5, 7, 9, 10, 11, 12, 13]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=19), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 18), st.integers(1, 9)), max_size=3), st.sampled_from([0.8, 0.7, 0.5]))
+def test_short_links_share_a_key(a, edits, similarity):
+    b = list(a)
+    for kind, at, word in edits:
+        b[min(at, len(b)) : min(at, len(b)) + (kind > 0)] = [word] if kind < 2 else []
+    n = max(len(a), len(b))
+    if b and n <= omh.covered(similarity) and levenshtein(a, b) <= int((1 - similarity) * n + 1e-9):
+        x, y = (set(omh.exact_keys(np.array(v, np.uint64), similarity)) for v in (a, b))
+        assert x & y
+
+
+def test_short_texts_are_linked(spark):
+    assert omh.covered(0.8) == 19
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for n in range(3, 20):
+        for _ in range(6):
+            a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            b = list(a)
+            most = int(0.2 * n + 1e-9)
+            for e in range(most):  # evenly spread
+                b[(2 * e + 1) * n // (2 * most)] = f"x{rng.randrange(10**6)}"
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b).upper())]
+    rows += [(9000, "one two three four five six seven"), (9001, "one two three four five six eight"), (9002, "one two three four five nine eight")]
+    got = {r.row_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] == a for a, b in pairs)
+    assert got == brute_classes([(i, t) for i, t in rows])
+
+
 def test_leftovers_meet_in_tiles(spark):
     """A bucket of many unlike texts around one shared passage, and links that no leader sees."""
     rng = random.Random(4)
