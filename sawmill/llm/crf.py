@@ -24,10 +24,11 @@ _ALONE = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 _STOPS = frozenset("ul ol dl table td th div section article aside main body blockquote form nav header footer".split())
 _ENDS_P = _BLOCKS - frozenset("html head title body button label option select ins noscript iframe".split())
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|math|object|canvas)\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|</?[a-zA-Z!?][^>]*\Z",
     re.S | re.I,
 )
+_RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style")}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -50,7 +51,11 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, broken pages included; scripts, styles and comments are no text."""
+    """The leaf blocks of a page in order, broken pages included; scripts, styles and comments are no text.
+
+    Tags of other elements than blocks just go, svg, math, object, canvas and template among them: their text is that of
+    the block that they stand in, or of the blocks within them.
+    """
     out: list[Block] = []
     # (tag, own names, names of all ancestors and itself)
     stack: list[tuple[str, tuple, tuple]] = [("", (), ())]
@@ -75,19 +80,26 @@ def blocks(page: str) -> list[Block]:
                 del stack[i:]
                 return
 
-    at = 0
-    for m in _MARKUP.finditer(page):
+    at = foreign = 0
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
             t = page[at : m.start()]
             parts.append(t)
             if linked[1]:
                 linked[0] += len(t)
         at = m.end()
-        tag = m[3] or m[6]
+        if m[1]:
+            # up to its end, or that of the page; within svg or math it may end itself, as in XML
+            if not (foreign and m[2].endswith("/")):
+                at = _RAW_END[m[1].lower()].search(page, at).end()
+            continue
+        tag = m[4] or m[7]
         if not tag:
             continue
-        tag, ends = tag.lower(), m[2] or m[5]
+        tag, ends, attributes = tag.lower(), m[3] or m[6], m[5] if m[4] else m[8]
         if tag not in _BLOCKS:
+            if tag in ("svg", "math") and not (attributes and attributes.endswith("/")):
+                foreign = max(0, foreign + (-1 if ends else 1))
             if tag == "a":
                 linked[1] = max(0, linked[1] + (-1 if ends else 1)) if ends or not linked[1] else linked[1]
             elif tag in ("br", "img", "input", "wbr"):
@@ -107,7 +119,6 @@ def blocks(page: str) -> list[Block]:
                 break
         if tag in _VOID:
             continue
-        attributes = m[4] if m[3] else m[7]
         own = cache.get((tag, attributes))
         if own is None:
             own = cache[tag, attributes] = _names(tag, attributes)

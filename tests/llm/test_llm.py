@@ -320,6 +320,15 @@ def test_extraction(spark):
     assert crf.extract(df.limit(0), f).count() == 0
 
 
+def test_nothing_goes_but_scripts_and_styles():
+    text = lambda page: [b.text for b in crf.blocks(page)]
+    for tag in ("svg", "math", "object", "canvas", "template"):
+        assert text(f'<p>a</p><{tag} class="i"/><article><p>b</p></article>') == ["a", "b"]
+        assert text(f"<p>a</p><{tag}><article><p>b</p></article>") == ["a", "b"]
+        assert text(f"<article><p>a <{tag}><x>b</x></{tag}> c</p></article>") == ["a b c"]
+    assert text("<p>a</p><svg><style/><path/></svg><p>b</p><script src='x'/>var c;</script><p>d</p><STYLE>e") == ["a", "b", "d"]
+
+
 # --- 8 Wu-Manber
 
 
