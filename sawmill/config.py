@@ -26,7 +26,7 @@ DEFAULTS: dict[str, Any] = {
     "clustering": {"merge_threshold": 0.3},
     "filters": {"whitelist": [], "focus": []},
     "output": {"format": "terminal", "output_dir": "./output", "top_n": 20, "html_max_templates": 50},
-    "incremental": {"state_file": "./log-cluster-state.json", "max_templates": 10000, "rare_template_count": 5},
+    "incremental": {"state_file": "./sawmill-state.json", "max_templates": 10000, "rare_template_count": 5},
     "parallel": {"workers": 0},
     "alerts": [
         {"name": "high_error_templates", "condition": "error_template_count > 5", "severity": "critical", "message": "检测到 {error_template_count} 个ERROR模板，超过阈值5"},
@@ -40,7 +40,7 @@ DEFAULTS: dict[str, Any] = {
         {"pattern": r"(?i)(out.?of.?memory|oom|heap)", "tags": ["infra/resource/memory"]},
     ],
 }
-CONFIG_FILE = "log-cluster.yaml"
+CONFIG_FILE = "sawmill.yaml"
 
 
 class Section(dict):

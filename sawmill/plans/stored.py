@@ -12,16 +12,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new place in spark.checkpoint.dir; where that is unset, as in tests, in a folder of this machine."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir.  Where it is unset, a local master (as in tests) gets a folder of this machine; on a cluster
+    executors would write to disks of their own, so that raises."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sawmill-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/sawmill/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/sawmill/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that stored() made, once nothing reads it any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
