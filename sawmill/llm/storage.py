@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this machine."""
+    """spark.checkpoint.dir.  Where it is unset, a local master (as in tests) gets a folder of this machine; on a cluster
+    executors would write to disks of their own, so that raises."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="sawmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The rows written as Parquet under the shared folder and read again: a lost executor costs no recomputation."""
+    """The rows written as Parquet under the shared folder and read again: a lost executor costs no recomputation.  Every
+    task of the last stage writes a file; adaptive execution sizes those that read a shuffle."""
     spark = df.sparkSession
-    # as many files as the cluster can write at a time, twice; a shuffle's many small partitions are read in turn
-    df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = path or f"{shared_folder(spark)}/sawmill/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -34,8 +36,14 @@ def held(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that written() made, once nothing reads it any more."""
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() made, once nothing reads them any more."""
+    for df in tables:
+        _delete(df)
+
+
+def _delete(df: DataFrame) -> None:
+    spark = df.sparkSession
     jvm = spark._jvm
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
