@@ -72,6 +72,11 @@ def parse(text: str) -> list[tuple[str, str]]:
     return turns
 
 
+def unescaped(text: str) -> str:
+    """A body as it was before its backslashes and control strings were escaped; one that wasn't is left alone."""
+    return _TOKEN.sub(lambda m: m[1] or m[0], text)
+
+
 def _frame(role: str, text: str, escaped: bool) -> tuple[str, int, int]:
     """The rendered turn and the bounds of its text."""
     if escaped:
@@ -121,7 +126,8 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
 
 def read_back(turns: DataFrame) -> DataFrame:
     """Digests of each conversation, read from its rendered turns: conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars.
+    loss_sha256, formatted_chars.  Roles and texts are the parser's; the loss is the text between text_begin and text_end
+    of the turns that are in_loss, unescaped, so that a wrong mask shows.
 
     Turns are hash-partitioned by conversation and sorted, and each task runs over them as a stream: it holds one batch
     and two digest states, whatever a conversation's length (a digest of a whole conversation is sequential by nature).
@@ -140,7 +146,7 @@ def read_back(turns: DataFrame) -> DataFrame:
                 done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
-            for conv, rendered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for conv, rendered, begin, end, in_loss in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if state is None or conv != now:
                     close()
                     now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -148,9 +154,10 @@ def read_back(turns: DataFrame) -> DataFrame:
                 for role, text in parse(rendered):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode())
-                    if role == "assistant":
-                        state[2] += len(text)
-                        state[3].update(text.encode())
+                if in_loss:
+                    masked = unescaped(rendered[begin:end])
+                    state[2] += len(masked)
+                    state[3].update(masked.encode())
             if len(done) >= 4096:
                 yield table()
                 done.clear()
@@ -159,4 +166,4 @@ def read_back(turns: DataFrame) -> DataFrame:
             yield table()
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "_role", "_text")
-    return ordered.select("conv_id", "rendered").mapInArrow(run, schema)
+    return ordered.select("conv_id", "rendered", "text_begin", "text_end", "in_loss").mapInArrow(run, schema)
