@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from .arrowmap import map_texts
 
 WIDTH, ROWS, DELAY = 64, 2048, 4
+#: Pixels that a header may claim beyond the samples that its code streams hold, and samples of one image at most.
+CLAIMED, MOST = 1 << 25, 1 << 28
 #: Histogram cells: two bits of each of red, green and blue.
 CELLS = 64
 
@@ -179,7 +181,8 @@ def _interlaced(samples: np.ndarray) -> np.ndarray:
 def decode(data: bytes, keep_canvas: bool = True) -> Gif:
     """All frames.  Disposal 2 clears a frame's rectangle before the next one is drawn, 3 restores what was below it;
     transparent samples leave the canvas as it is.  Missing samples of a truncated frame are 0; a sample beyond its
-    palette is black.  Data that isn't a GIF raises GifError."""
+    palette is black.  Data that isn't a GIF raises GifError, and so does one that claims CLAIMED pixels more, canvases that
+    are kept included, than its streams hold samples, or more than MOST samples: memory follows the data."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
@@ -197,6 +200,10 @@ def decode(data: bytes, keep_canvas: bool = True) -> Gif:
     if flags & 0x80:
         shared, at = palette(flags, at)
     gif = Gif(width, height)
+    held = 0
+    claimed = width * height
+    if claimed > CLAIMED:
+        raise GifError("a canvas beyond any sample")
     canvas = np.zeros((height, width, 4), np.uint8)
     control, below, start = (0, 0, None), None, 0
     while at < len(data):
@@ -222,7 +229,11 @@ def decode(data: bytes, keep_canvas: bool = True) -> Gif:
         if not 2 <= bits <= 8:
             raise GifError("bad sample size")
         body, at = _blocks(data, at + 1)
-        got = np.frombuffer(lzw_decode(body, bits, w * h), np.uint8)
+        got = np.frombuffer(lzw_decode(body, bits, min(w * h, MOST - held + 1)), np.uint8)
+        held += len(got)
+        claimed += w * h + (width * height if keep_canvas else 0)
+        if held > MOST or claimed > CLAIMED + 2 * held:
+            raise GifError("more pixels than samples")
         samples = np.zeros(w * h, np.uint8)
         samples[: len(got)] = got
         samples = samples.reshape(h, w)
@@ -322,7 +333,8 @@ def read_back(df: DataFrame, media_col: str = "media", keep: list[str] | None =
         except (GifError, IndexError, struct.error):
             return None, size, name, None
         shown = np.concatenate([f.canvas.reshape(-1, 4) for f in gif.frames]) if gif.frames else np.zeros((0, 4), np.uint8)
-        level = np.bincount(shown[:, 0], minlength=256).astype(np.float64)  # red; equal to luminance in grey images
+        light = (shown[:, 0].astype(np.uint16) * 77 + shown[:, 1].astype(np.uint16) * 150 + shown[:, 2].astype(np.uint16) * 29) >> 8
+        level = np.bincount(light, minlength=256).astype(np.float64)
         n = max(1.0, level.sum())
         mean = (level * np.arange(256)).sum() / n
         sd = np.sqrt(max(0.0, (level * np.arange(256) ** 2).sum() / n - mean * mean))
