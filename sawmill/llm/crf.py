@@ -44,10 +44,31 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+class Names:
+    """The names of an element and its ancestors: a chain, of which each link holds those that the links above lack, so that
+    deep pages cost their size and not its square."""
+
+    __slots__ = ("above", "new")
+
+    def __init__(self, above: Names | None, new: tuple[str, ...]):
+        self.above, self.new = above, new
+
+
 @dataclass
 class Block:
+    """``within``: names of all ancestors; ``others``: the features that are the block's own."""
+
     text: str
-    features: list[str]
+    within: Names | None
+    others: list[str]
+
+    @property
+    def features(self) -> list[str]:
+        chain, at = [], self.within
+        while at is not None:
+            chain.append(at.new)
+            at = at.above
+        return ["in " + x for new in reversed(chain) for x in new] + self.others
 
 
 def blocks(page: str) -> list[Block]:
@@ -58,7 +79,9 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     # (tag, own names, names of all ancestors and itself)
-    stack: list[tuple[str, tuple, tuple]] = [("", (), ())]
+    stack: list[tuple[str, tuple, Names]] = [("", (), Names(None, ()))]
+    opened: dict[str, int] = {}  # open elements of each tag
+    known: set[str] = set()  # names of all open elements
     parts: list[str] = []
     linked = [0, 0]  # raw characters inside links, depth of links
     cache: dict[tuple, tuple] = {}
@@ -70,15 +93,23 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape(raw).split()) if not raw.isspace() else ""
             if text:
                 tag, own, names = stack[-1]
-                out.append(Block(text, ["in " + x for x in names] + ["own " + x for x in own] + _shape(text, linked[0] / max(1, len(raw)))))
+                out.append(Block(text, names, ["own " + x for x in own] + _shape(text, linked[0] / max(1, len(raw)))))
             linked[0] = 0
 
+    def cut(i: int) -> None:
+        for tag, _, names in stack[i:]:
+            opened[tag] -= 1
+            known.difference_update(names.new)
+        del stack[i:]
+
     def close(tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                flush()
-                del stack[i:]
-                return
+        if not opened.get(tag):
+            return
+        i = len(stack) - 1
+        while stack[i][0] != tag:
+            i -= 1
+        flush()
+        cut(i)
 
     at = foreign = 0
     while m := _MARKUP.search(page, at):
@@ -111,9 +142,10 @@ def blocks(page: str) -> list[Block]:
         flush()
         linked[1] = 0
         alone = _ALONE.get(tag, ())
-        for i in range(len(stack) - 1, 0, -1):
+        ended = any(opened.get(x) for x in alone) or (opened.get("p") and tag in _ENDS_P)
+        for i in range(len(stack) - 1, 0, -1) if ended else ():
             if stack[i][0] in alone or (stack[i][0] == "p" and tag in _ENDS_P):
-                del stack[i:]
+                cut(i)
                 break
             if stack[i][0] in _STOPS and stack[i][0] not in alone:
                 break
@@ -122,16 +154,18 @@ def blocks(page: str) -> list[Block]:
         own = cache.get((tag, attributes))
         if own is None:
             own = cache[tag, attributes] = _names(tag, attributes)
-        up = stack[-1][2]
-        stack.append((tag, own, up + tuple(x for x in own if x not in up)))
+        new = tuple(x for x in own if x not in known)
+        known.update(new)
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append((tag, own, Names(stack[-1][2], new)))
     if at < len(page):
         parts.append(page[at:])
     flush()
     for i, b in enumerate(out):
-        b.features.append(f"place {i * 5 // max(1, len(out))}")
+        b.others.append(f"place {i * 5 // max(1, len(out))}")
     if out:
-        out[0].features.append("first")
-        out[-1].features.append("last")
+        out[0].others.append("first")
+        out[-1].others.append("last")
     return out
 
 
@@ -162,14 +196,27 @@ class Field:
     start: list[float]
     stop: list[float]
 
+    def evidence(self, found: list[Block]) -> list[float]:
+        """Of each block the sum of its features' weights for main; those of a chain of names are summed once."""
+        get, sums, out = self.weight.get, {None: 0.0}, []
+        for block in found:
+            chain, at = [], block.within
+            while at not in sums:
+                chain.append(at)
+                at = at.above
+            total = sums[at]
+            for at in reversed(chain):
+                total = sums[at] = total + sum([get("in " + x, 0.0) for x in at.new])
+            out.append(total + sum([get(f, 0.0) for f in block.others]))
+        return out
+
     def labels(self, found: list[Block]) -> list[int]:
         """The likeliest labels (Viterbi); ties go to other."""
         if not found:
             return []
-        get, (m00, m01), (m10, m11) = self.weight.get, self.move[0], self.move[1]
+        (m00, m01), (m10, m11) = self.move
         back, a, b = [], 0.0, 0.0
-        for i, block in enumerate(found):
-            e = sum([get(f, 0.0) for f in block.features])
+        for i, e in enumerate(self.evidence(found)):
             if not i:
                 a, b = self.start[0], self.start[1] + e
                 continue

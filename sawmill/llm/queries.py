@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +62,15 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(first.select("file", "offset", F.col("id").alias("page_id")), ["file", "offset"], "left").select("page_id", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("length_a", "length_b")], "digest_a", "digest_b")
 
 
+@functools.cache
+def main_text_field() -> crf.Field:
+    """The field fitted on the made pages: the same for a seed, so it is fitted once a process."""
+    return crf.train([(found, labels) for _, found, labels in labelled_pages.labelled_pages()])
+
+
 def op7_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = crf.train([(found, labels) for _, found, labels in labelled_pages.labelled_pages()])
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return crf.extract(pages, field, keep=["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    return crf.extract(pages, main_text_field(), keep=["page_id", "url"]).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op9_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
