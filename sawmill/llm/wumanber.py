@@ -20,36 +20,57 @@ from pyspark.sql import types as T
 from .arrowmap import map_texts
 from .textvec import FOLD, groups, mix, words
 
-WORD = re.compile(rb"[^ ]+")
+_WORD = re.compile(rb"[^ ]+")
 BLOCK = 3
-SLOTS = 20
-#: Text bytes of the benchmark items that one search holds; more items are searched in further passes.
-PASS_BYTES = 16 << 20
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return WORD.findall(text.translate(FOLD))
+#: A shift table has 2 ** SLOTS slots at least, and eight a pattern if those are more, up to 2 ** MOST_SLOTS.
+SLOTS, MOST_SLOTS = 20, 24
+#: Text bytes of the benchmark items that one search holds; more items are searched in further passes.  A searcher takes
+#: about seven times that, on the driver and in each Python worker.
+PASS_BYTES = 8 << 20
 
 
 class Searcher:
-    """Patterns of m words each."""
+    """Patterns of m words each: windows of items, held as ranges of one text.
+
+    ``joined`` has the items' words with single spaces between; pattern p is joined[begin[p]:end[p]], of item[p].  Patterns
+    are sorted by the hash of their last block, so that a bucket is a range of them.
+    """
 
-    def __init__(self, m: int, patterns: dict[tuple[bytes, ...], set]):
+    def __init__(self, m: int, texts: list[bytes], item: np.ndarray):
         self.m, self.b = m, min(BLOCK, m)
-        self.patterns = list(patterns.items())
-        self.shift = np.full(1 << SLOTS, m - self.b + 1, np.uint8 if m < 255 else np.int64)
-        self.buckets: dict[int, list[int]] = {}
-        flat = [b" ".join(p) for p, _ in self.patterns]
-        for at in range(0, len(flat), 1 << 14):
-            part = flat[at : at + (1 << 14)]
-            w = words(part)
-            h = self.blocks(w.hashes).reshape(-1)
-            for i in range(len(part)):
-                first = w.first[i]
-                for end in range(self.b - 1, m):
-                    slot = int(h[first + end - self.b + 1]) >> (64 - SLOTS)
-                    self.shift[slot] = min(self.shift[slot], m - 1 - end)
-                self.buckets.setdefault(int(h[first + m - self.b]), []).append(at + i)
+        begins, ends, items, hashes = [], [], [], []
+        parts, size, tables = [], 0, []
+        for i, j in groups(texts):
+            w = words(texts[i:j])
+            counts = np.diff(w.first)
+            folded = [x.translate(FOLD) for x in texts[i:j]]
+            joined = [b" ".join([f[s:e] for s, e in zip(w.start[a:z], w.end[a:z])]) for f, a, z in zip(folded, w.first[:-1], w.first[1:])]
+            # where each word stands in the joined text: its own text's place, and a space behind each word
+            lens = w.end - w.start
+            at = np.cumsum(lens + 1) - lens - 1 + size
+            starts = np.arange(len(w.hashes))[: max(0, len(w.hashes) - m + 1)]
+            of = np.repeat(np.arange(j - i), counts)
+            starts = starts[of[starts] == of[starts + m - 1]]
+            h = self.blocks(w.hashes)
+            begins.append(at[starts]), ends.append(at[starts + m - 1] + lens[starts + m - 1])
+            items.append(item[i:j][of[starts]]), hashes.append(h[starts + m - self.b])
+            tables.append((h, starts))
+            parts.append(b" ".join(joined))
+            size += len(parts[-1]) + 1
+        n = sum(map(len, hashes))
+        self.slots = min(MOST_SLOTS, max(SLOTS, (8 * n).bit_length()))
+        self.shift = np.full(1 << self.slots, m - self.b + 1, np.uint8 if m < 255 else np.int64)
+        for end in range(self.b - 1, m):  # the jump falls as the block comes nearer to the end
+            for h, starts in tables:
+                self.shift[self.slot(h[starts + end - self.b + 1])] = m - 1 - end
+        self.joined = b" ".join(parts)
+        self.last = np.concatenate(hashes)
+        order = np.argsort(self.last, kind="stable")
+        self.last = self.last[order]
+        self.begin, self.end, self.item = (np.concatenate(x)[order] for x in (begins, ends, items))
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.slots)).astype(np.int64)
 
     def blocks(self, hashes: np.ndarray) -> np.ndarray:
         """Hash of the b words that begin at each position."""
@@ -61,40 +82,41 @@ class Searcher:
 
     def search(self, blocks: np.ndarray, jumps, n: int, word) -> list[tuple[int, int]]:
         """(first word, pattern) of each occurrence; ``blocks``/``jumps`` by block start, ``word(i)`` gives word i."""
-        found, m, b, buckets = [], self.m, self.b, self.buckets
+        found, m, b = [], self.m, self.b
         last, at = n - b, m - b
         while at <= last:
             jump = jumps[at]
             if jump:
                 at += jump
                 continue
-            for p in buckets.get(int(blocks[at]), ()):
+            low, high = np.searchsorted(self.last, blocks[at], "left"), np.searchsorted(self.last, blocks[at], "right")
+            if low < high:
                 begin = at - m + b
-                if all(word(begin + i) == x for i, x in enumerate(self.patterns[p][0])):
-                    found.append((begin, p))
+                own = b" ".join([word(begin + i) for i in range(m)])
+                found += [(begin, p) for p in range(low, high) if self.joined[self.begin[p] : self.end[p]] == own]
             at += 1
         return found
 
 
 def searchers(items: list[tuple[object, bytes]], window: int) -> list[Searcher]:
-    by_length: dict[int, dict[tuple[bytes, ...], set]] = {}
-    for item, text in items:
-        w = words_of(text)
-        m = min(window, len(w))
-        for i in range(len(w) - m + 1 if w else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(w[i : i + m]), set()).add(item)
-    return [Searcher(m, p) for m, p in sorted(by_length.items())]
+    """A searcher for each length of pattern; they find items by their places in ``items``."""
+    by_length: dict[int, list[int]] = {}
+    for i, (_, text) in enumerate(items):
+        n = min(window, len(_WORD.findall(text.translate(FOLD))))
+        if n:
+            by_length.setdefault(n, []).append(i)
+    return [Searcher(m, [items[i][1] for i in found], np.array(found, np.int32)) for m, found in sorted(by_length.items())]
 
 
-def scan(texts: list[bytes], found_by: list[Searcher]) -> list[tuple[int, list[list[int]], set]]:
-    """Of each text: number of words, merged [begin, end) word spans that occurrences cover, items."""
+def scan(texts: list[bytes], found_by: list[Searcher]) -> list[tuple[int, list[list[int]], set[int]]]:
+    """Of each text: number of words, merged [begin, end) word spans that occurrences cover, items by their places."""
     out = []
     for i, j in groups(texts):
         w = words(texts[i:j])
         tables = []
         for s in found_by:
             h = s.blocks(w.hashes)
-            tables.append((s, h, s.shift[(h >> np.uint64(64 - SLOTS)).astype(np.int64)]))
+            tables.append((s, h, s.shift[s.slot(h)]))
         for d in range(j - i):
             a, z = w.first[d], w.first[d + 1]
             n = int(z - a)
@@ -110,7 +132,7 @@ def scan(texts: list[bytes], found_by: list[Searcher]) -> list[tuple[int, list[l
                 word = lambda x, f=folded, a=a: f[w.start[a + x] : w.end[a + x]]
                 for begin, p in s.search(h[a : z - s.b + 1], own.tobytes() if own.dtype == np.uint8 else own, n, word):
                     spans.append([begin, begin + s.m])
-                    items |= s.patterns[p][1]
+                    items.add(int(s.item[p]))
             merged: list[list[int]] = []
             for b, e in sorted(spans):
                 if merged and b <= merged[-1][1]:
@@ -127,12 +149,13 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
 
     Null and empty texts have no words and no spans.  Items that are null, empty or without words match nothing; an item
     whose id is null is named ''.  Repeated items and repeated rows count each by themselves.  No benchmark, no hits.
-    Input columns named like an output are replaced.  The benchmark's bytes are counted first: one search holds at most
-    ``pass_bytes`` of them and a larger benchmark is searched in several passes over the same batches.
+    Input columns named like an output are replaced.  The benchmark's bytes are counted first: a benchmark beyond
+    ``pass_bytes`` is searched in several passes over the same batches, each for about half of that (items are dealt by hash;
+    an item is never split).
     """
     b = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
     size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    passes = max(1, -(-size // pass_bytes))
+    passes = 1 if size <= pass_bytes else -(-2 * size // pass_bytes)
     fields = [
         T.StructField("n_words", T.LongType()),
         T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
@@ -144,14 +167,16 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     for k in range(passes):
         part = b if passes == 1 else b.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         items = [(x.item, x.text.encode()) for x in part.collect()]
-        held = df.sparkSession.sparkContext.broadcast(searchers(items, window))
+        held = df.sparkSession.sparkContext.broadcast(([n for n, _ in items], searchers(items, window)))
+        del items
         last = k == passes - 1
 
         def make(held=held):
             def f(texts):
-                rows = scan(texts, held.value)
+                names, found_by = held.value
+                rows = scan(texts, found_by)
                 spans = [[{"begin": b, "end": e} for b, e in s] for _, s, _ in rows]
-                return [pa.array(x, kind) for x, kind in zip(([n for n, _, _ in rows], spans, [sorted(i) for _, _, i in rows]), kinds, strict=True)]
+                return [pa.array(x, kind) for x, kind in zip(([n for n, _, _ in rows], spans, [sorted({names[k] for k in i}) for _, _, i in rows]), kinds, strict=True)]
 
             return f
 
