@@ -12,14 +12,13 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .arrowmap import small_batches
-
-from .storage import written
+from .storage import dropped, written
 
 RANGE, FANOUT, FILE_BYTES = 1 << 16, 16, 1 << 28
 
@@ -60,8 +59,10 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def leaves(replica: DataFrame) -> DataFrame:
-    """file, offset, length, digest of the records; a null record has the digest of no bytes."""
-    return replica.select("file", "offset", "length", F.sha2(F.coalesce("record", F.lit(b"")), 256).alias("digest"))
+    """file, offset, length, digest of the records and k, which numbers the rows of one file and offset; a null record has
+    the digest of no bytes."""
+    rows = replica.select("file", "offset", "length", F.sha2(F.coalesce("record", F.lit(b"")), 256).alias("digest"))
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("file", "offset").orderBy("digest", "length")))
 
 
 def levels(leaf: DataFrame, name: str, file_bytes: int = FILE_BYTES) -> list[DataFrame]:
@@ -85,10 +86,15 @@ def levels(leaf: DataFrame, name: str, file_bytes: int = FILE_BYTES) -> list[Dat
 
 def audit(a: DataFrame, b: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """The records in which two replicas differ: file, offset, length_a/length_b, digest_a/digest_b (hex), status
-    (changed, missing: only in a, extra: only in b).  Equal replicas, empty ones included, give no rows."""
+    (changed, missing: only in a, extra: only in b), as a written table.  Equal replicas, empty ones included, give no rows.
+
+    Records are compared at their file and offset.  Rows that repeat one file and offset are paired in order of their
+    digests; one more of them in a replica is missing or extra.  A record that is inserted or cut short moves those behind
+    it in its file, which then all differ.
+    """
     leaf = [written(leaves(x), f"leaves-{n}") for x, n in ((a, "a"), (b, "b"))]
     trees = [levels(x, n, file_bytes) for x, n in zip(leaf, "ab", strict=True)]
-    differing = None
+    differing, done = None, []
     for depth in range(len(trees[0]) - 1, -1, -1):
         left, right = (t[depth] for t in trees)
         if differing is not None:
@@ -96,10 +102,13 @@ def audit(a: DataFrame, b: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame
             left, right = (x.withColumn("up", up).join(differing, ["file", "up"], "left_semi").drop("up") for x in (left, right))
         both = left.toDF("file", "at", "x").join(right.toDF("file", "at", "y"), ["file", "at"], "full")
         differing = written(both.where(~F.col("x").eqNullSafe(F.col("y"))).select("file", F.col("at").alias("up")), f"differing-{depth}")
+        done.append(differing)
     left, right = (x.withColumn("up", (F.col("offset") / RANGE).cast("long")).join(differing, ["file", "up"], "left_semi").drop("up") for x in leaf)
-    both = left.toDF("file", "offset", "length_a", "digest_a").join(right.toDF("file", "offset", "length_b", "digest_b"), ["file", "offset"], "full")
+    both = left.toDF("file", "offset", "length_a", "digest_a", "k").join(right.toDF("file", "offset", "length_b", "digest_b", "k"), ["file", "offset", "k"], "full").drop("k")
     status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("changed")
-    return both.where(~F.col("digest_a").eqNullSafe(F.col("digest_b"))).withColumn("status", status)
+    out = written(both.where(~F.col("digest_a").eqNullSafe(F.col("digest_b"))).withColumn("status", status), "found")
+    dropped(*leaf, *trees[0], *trees[1], *done)
+    return out
 
 
 def checked(data: bytes) -> str:

@@ -152,13 +152,23 @@ def test_licence_digests(spark, docs, empty):
     known = licenses.known_digests(spark)
     mit = dict(licenses.known_licenses()[:1])["MIT"]
     texts = [
-        ("a", "Copyright (c) 2020 Somebody\n" + mit.upper().replace(" ", "  ")), ("b", mit.replace("License", "Licence") + "\n"), ("c", mit + " extra"), ("d", None), ("e", ""), ("f", "(c) me"),
+        ("a", "Copyright (c) 2020 Somebody\n" + mit.upper().replace(" ", "  ")), ("b", mit.replace("License", "Licence") + "\n"), ("c", mit + " extra"), ("d", None), ("e", ""), ("f", "(c) 2020 me"),
         ("g", "hello\nReleased under the MIT Licence\n released UNDER the mit license!\nLicensed under CC BY-NC 4.0"),
     ]
     got = {r.k: r for r in licenses.scan(spark.createDataFrame(texts, "k string, text string"), known).collect()}
     assert got["a"].license_id == got["b"].license_id == "MIT" and got["c"].license_id is None
     assert got["d"].text_digest == got["e"].text_digest == got["f"].text_digest and got["d"].license_id is None
     assert got["g"].line_licenses == ["MIT", "MIT", "CC-BY-NC-4.0"]
+    # any number of known digests: lines are joined then
+    many = known.union(spark.range(300).select(F.sha2(F.col("id").cast("string"), 256), F.lit("x")))
+    assert {r.k: (r.license_id, r.line_licenses) for r in licenses.scan(spark.createDataFrame(texts, "k string, text string"), many).collect()} == {k: (r.license_id, r.line_licenses) for k, r in got.items()}
+    # text that differs in substance has digests of its own; spellings are of whole words, copyright lines name a year or a sign
+    pairs = [("(c) You must retain all notices", "(c) You may drop all notices", False), ("copyright notice, this list", "copyright notice, that list", False), ("the organism", "the organizm", False), ("x\nCopyright (c) 2020 A. B.\ny", "x\n# copyright 1999-2004 the C authors\ny", True), ("to organise, recognise; authorisation", "TO ORGANIZE recognize authorization", True), ("x\n© me", "x\n© you", False), ("copyright holders' sub-licence", "Copyright owners' sublicense", True)]
+    digests = spark.createDataFrame([p[:2] for p in pairs], "a string, b string").select(licenses.digest(F.col("a")), licenses.digest(F.col("b"))).collect()
+    assert [a == b for a, b in digests] == [p[2] for p in pairs]
+    whole = [(n, t) for n, t in licenses.known_licenses() if len(t) > 300]
+    copies = spark.createDataFrame([(n, f"Copyright {1990 + i} Author {i}\n\n" + (t.upper() if i % 2 else t.replace(" ", "  "))) for n, t in whole for i in range(20)], "k string, text string")
+    assert len(whole) >= 7 and licenses.scan(copies, known).where("license_id = k").count() == 20 * len(whole)
     assert licenses.scan(docs, known).count() == docs.count() and licenses.scan(empty, known).count() == 0
 
 
@@ -287,6 +297,45 @@ def test_toxicity_on_held_out(spark, docs, empty):
     assert ordinal.score_toxicity(empty, m).count() == 0
 
 
+def test_ordinal_likelihood_and_gradient_against_plain_ones():
+    import math
+
+    texts = ["bad bad word", "", "fine words here", "bad idiot", "word idiot idiot idiot", "fine"]
+    grade = np.array([1, 0, 0, 2, 3, 0])
+    x = ordinal.features([t.encode() for t in texts])
+    rng = np.random.default_rng(3)
+    m = ordinal.Model(rng.normal(0, 0.5, 1 << ordinal.BITS), np.array([-0.3, 0.4, 1.1]))
+
+    def eta(model, d):
+        w = textvec.words([texts[d].encode()], ordinal.PREFIX)
+        keys = [int(h) >> 64 - ordinal.BITS for h in [*w.hashes, *w.prefix]]
+        return sum(model.w[k] * math.log1p(keys.count(k)) for k in set(keys))
+
+    def tail(model, d, k):
+        return 1.0 if k == 0 else 0.0 if k > 3 else 1 / (1 + math.exp(model.theta[k - 1] - eta(model, d)))
+
+    def loss(model):
+        return -sum(math.log(tail(model, d, g) - tail(model, d, g + 1)) for d, g in enumerate(grade)) / len(texts)
+
+    got = m.tails(x)
+    for d in range(len(texts)):
+        assert np.allclose(got[d], [tail(m, d, k) for k in (1, 2, 3)], atol=1e-5)
+        assert abs(got[d].sum() - sum(k * (tail(m, d, k) - tail(m, d, k + 1)) for k in (1, 2, 3))) < 1e-5  # expected severity
+    value, per = np.log1p(x.count, dtype=np.float32), np.repeat(np.arange(len(texts)), np.diff(x.first))
+    gw, gt = ordinal.gradient(m, x, grade, value, per)
+    for array, g, places in ((m.w, gw, np.unique(x.bucket)), (m.theta, gt, range(3))):
+        for i in places:
+            kept = array[i]
+            array[i] = kept + 1e-4
+            high = loss(m)
+            array[i] = kept - 1e-4
+            slope = (high - loss(m)) / 2e-4
+            array[i] = kept
+            assert abs(slope - g[i]) < 1e-4
+    fitted = ordinal.fit(x, grade)
+    assert loss(fitted) < 0.5 * loss(ordinal.Model(np.zeros(1 << ordinal.BITS), m.theta)) and (np.diff(fitted.theta) > 0).all()
+
+
 # --- 5 Merkle
 
 
@@ -303,6 +352,11 @@ def test_fixity(spark):
     b = spark.createDataFrame([(r.file, r.offset, r.length, r.id, spoil(r)) for r in kept if (r.file, r.offset) not in lost] + [("new.warc", 0, 1, 1, b"x")], a.schema)
     got = {(r.file, r.offset): r.status for r in warc.audit(a, b, 1 << 17).collect()}
     assert got == {**dict.fromkeys(bad, "changed"), **dict.fromkeys(lost, "missing"), ("new.warc", 0): "extra"}
+    # repeated rows of a replica are paired one by one; an insertion moves what follows in its file
+    twice = a.where("offset < 3000").limit(2)
+    assert sorted(r.status for r in warc.audit(a, a.union(twice), 1 << 17).collect()) == ["extra", "extra"] and warc.audit(a.union(twice), a.union(twice), 1 << 17).count() == 0
+    moved = a.withColumn("offset", F.when(F.col("file") == kept[0].file, F.col("offset") + 10).otherwise(F.col("offset")))
+    assert {r.file for r in warc.audit(a, moved, 1 << 17).collect()} == {kept[0].file}
     assert warc.audit(a, a, 1 << 17).count() == 0 and warc.audit(a.limit(0), a.limit(0)).count() == 0
 
 

@@ -46,8 +46,23 @@ def test_media(spark, duck):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
-def test_packing_leaves_little_padding(spark):
+def test_packing_leaves_little_padding(spark, duck):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
     got = queries.op3_packing(spark, SF).toPandas()
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for doc, text in duck.execute("select doc_id, text from documents").fetchall():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in got[got.doc_id == doc].sort_values("start").itertuples():
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for _, pieces in got.groupby("sequence_id"):
+        pieces = pieces.sort_values("offset")
+        assert (pieces.offset.to_numpy() == np.concatenate(([0], np.cumsum(pieces.length)[:-1]))).all()
     assert got.groupby("doc_id").length.sum().equals(got.groupby("doc_id").doc_tokens.first())
     used = got.groupby("sequence_id").length.sum()
     assert used.max() <= 1024 and used.sum() / (1024 * len(used)) > 0.97
