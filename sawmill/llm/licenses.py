@@ -10,15 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Canonical spelling of each variant, after case and punctuation are normalised.
+from .storage import written
+
+# Fixed values: (variant, canonical form) of whole words, after case and punctuation are normalised; both are patterns in
+# which words are two spaces apart, and \\1 is the ending.
 SPELLINGS = [
-    ("licenc", "licens"), ("sub licens", "sublicens"), ("non infringement", "noninfringement"), ("non commercial", "noncommercial"),
-    ("organis", "organiz"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("utilis", "utiliz"), ("favour", "favor"), ("honour", "honor"),
-    ("fulfil ", "fulfill "), ("judgement", "judgment"), ("acknowledgement", "acknowledgment"), ("whilst", "while"), ("wilful", "willful"),
-    ("copyright holder", "copyright owner"), ("per cent", "percent"), ("https www", "http www"),
+    (r"licenc(e|es|ed|ee|ees|or|ors|ing)", r"licens\1"), (r"sub  licens(e|es|ed|ing)", r"sublicens\1"), (r"non  (infringement|commercial)", r"non\1"),
+    (r"organis(e|es|ed|ing|ation|ations|ational)", r"organiz\1"), (r"authoris(e|es|ed|ing|ation|ations)", r"authoriz\1"), (r"recognis(e|es|ed|ing)", r"recogniz\1"),
+    (r"utilis(e|es|ed|ing|ation)", r"utiliz\1"), (r"favour(|s|able|ed)", r"favor\1"), (r"honour(|s|ed|able)", r"honor\1"), (r"fulfil(|s|ment)", r"fulfill\1"),
+    (r"acknowledgement(|s)", r"acknowledgment\1"), (r"judgement(|s)", r"judgment\1"), (r"whilst", "while"), (r"wilful(|ly)", r"willful\1"),
+    (r"copyright  holder(|s)", r"copyright  owner\1"), (r"per  cent", "percent"), (r"https", "http"),
 ]
-_COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-_VARIANT = "|".join(a for a, _ in SPELLINGS)
+#: A line that names a copyright: it begins so and gives a year or a second sign, or reserves all rights and says no more.
+_YEAR = r"[\[<{]?(\d{4}|yyyy|year)"
+_COPYRIGHT = rf"(?m)^[ \t#*/;-]*(copyright[ \t]*:?[ \t]*{_YEAR}|copyright[ \t]*(\(c\)|©)|(\(c\)|©)[ \t]*(copyright|{_YEAR})|all rights reserved[ \t.]*$)[^\n]*$"
+_VARIANT = "licenc|sub licens|non (infringement|commercial)|anis(e|ing|ation)|horis|cognis|utilis|favour|honour|fulfil|gement|whilst|wilful|copyright holder|per cent|https"
 
 _NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "This project is licensed under the terms of the MIT license."],
@@ -30,10 +36,15 @@ _NOTICES = {
 }
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _ISC_TAIL = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 _TEXTS = {
     "MIT": "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS,
     "ISC": "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n" + _ISC_TAIL,
     "0BSD": "BSD Zero Clause License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_TAIL,
+    "BSD-2-Clause": "BSD 2-Clause License\n\n" + _BSD_HEAD + "\n\n" + _BSD_TAIL,
+    "BSD-3-Clause": "BSD 3-Clause License\n\n" + _BSD_HEAD + "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + _BSD_TAIL,
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n" + _AS_IS.replace(" OR COPYRIGHT HOLDERS", "") + "\n\nFor more information, please refer to <https://unlicense.org/>",
     "Zlib": "zlib License\n\nThis software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution.",
 }
 
@@ -48,10 +59,10 @@ def canonical(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     t = F.when(t.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(t, _COPYRIGHT, "")).otherwise(t)
     t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
-    same = t
+    same = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        same = F.replace(same, F.lit(a), F.lit(b))
-    return F.when(t.rlike(_VARIANT), same).otherwise(t)
+        same = F.regexp_replace(same, f" {a} ", " " + b.replace("\\", "$") + " ")
+    return F.when(t.rlike(_VARIANT), F.trim(F.replace(same, F.lit("  "), F.lit(" ")))).otherwise(t)
 
 
 def digest(text: Column) -> Column:
@@ -66,6 +77,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 
 #: Known digests are broadcast up to so many rows (about 100 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 100_000
+#: Up to so many known digests, lines are looked up in the row; beyond, they are exploded and hash-joined.
+MAP_ROWS = 256
 
 
 def scan(df: DataFrame, known: DataFrame, text_col: str = "text", lines: bool = True) -> DataFrame:
@@ -73,21 +86,30 @@ def scan(df: DataFrame, known: DataFrame, text_col: str = "text", lines: bool =
     null) and, with ``lines``, line_licenses: ids of the lines that are whole notices, in order, a line each.
 
     A null or empty text has the digest of no text and no licence; a text of copyright lines only likewise.  Columns named
-    like an output are replaced.  Every row stays, repeated ones too.
+    like an output are replaced.  Every row stays, repeated ones too.  ``known`` may have any number of rows.
     """
-    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    count = known.limit(BROADCAST_ROWS + 1).count()
+    few = count <= BROADCAST_ROWS
     table = known.select(F.col("digest").alias("text_digest"), "license_id").dropDuplicates(["text_digest"])
-    kept = [f"`{c}`" for c in df.columns if c not in ("text_digest", "license_id", "line_licenses")]
+    names = [c for c in df.columns if c not in ("text_digest", "license_id", "line_licenses")]
+    kept = [f"`{c}`" for c in names]
     text = F.col(f"`{text_col}`")
-    out = df.select(*kept, digest(text).alias("text_digest"))
-    if lines:
-        notices = {r.text_digest: r.license_id for r in table.collect()} if few else None
-        if notices is None:
-            raise ValueError(f"lines are looked up in at most {BROADCAST_ROWS} digests")
-        per = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair]) if notices else None
-        each = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)
-        found = F.filter(F.transform(each, lambda x: F.try_element_at(per, digest(x))), lambda x: x.isNotNull()) if notices else F.array().cast("array<string>")
+    each = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)
+    if not lines:
+        out = df.select(*kept, digest(text).alias("text_digest"))
+    elif not count:
+        out = df.select(*kept, digest(text).alias("text_digest"), F.array().cast("array<string>").alias("line_licenses"))
+    elif count <= MAP_ROWS:
+        per = F.create_map(*[F.lit(x) for r in sorted(table.collect()) for x in r])
+        found = F.filter(F.transform(each, lambda x: F.try_element_at(per, digest(x))), lambda x: x.isNotNull())
         out = df.select(*kept, digest(text).alias("text_digest"), found.alias("line_licenses"))
+    else:
+        # rows get a number, kept in a table so that both sides see the same; only lines that match come back
+        numbered = written(df.select(*kept, digest(text).alias("text_digest"), each.alias("_lines"), F.monotonically_increasing_id().alias("_row")), "licences")
+        exploded = numbered.select("_row", F.posexplode("_lines").alias("_n", "_line")).select("_row", "_n", digest(F.col("_line")).alias("text_digest"))
+        matched = exploded.join(F.broadcast(table) if few else table, "text_digest").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_n", "license_id"))).alias("_found"))
+        out = numbered.drop("_lines").join(matched, "_row", "left")
+        found = F.coalesce(F.transform("_found", lambda x: x["license_id"]), F.array().cast("array<string>"))
+        out = out.select(*kept, "text_digest", found.alias("line_licenses"))
     out = out.join(F.broadcast(table) if few else table, "text_digest", "left")
-    order = [*kept, "text_digest", "license_id", *(["line_licenses"] if lines else [])]
-    return out.select(*order)
+    return out.select(*kept, "text_digest", "license_id", *(["line_licenses"] if lines else []))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, crf, fm, gif, labelled_pages, licenses, omh, ordinal, packing, warc, wumanber
-from .storage import written
+from .storage import dropped, written
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.4
 
@@ -59,7 +59,10 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = first.where(F.coalesce(F.col("id") % 211 != 3, F.lit(True))).withColumn("record", F.when(F.col("id") % 97 == 5, spoilt).otherwise(F.col("record")))
     second = written(second, "replica-b")
     found = warc.audit(first, second)
-    return found.join(first.select("file", "offset", F.col("id").alias("page_id")), ["file", "offset"], "left").select("page_id", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("length_a", "length_b")], "digest_a", "digest_b")
+    named = found.join(first.select("file", "offset", F.col("id").alias("page_id")), ["file", "offset"], "left")
+    out = written(named.select("page_id", "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("length_a", "length_b")], "digest_a", "digest_b"), "audit")
+    dropped(first, second, found)
+    return out
 
 
 @functools.cache
@@ -128,9 +131,10 @@ def _canonical_sql(text: str) -> str:
     t = f"lower(coalesce({text}, ''))"
     t = f"regexp_replace({t}, '{licenses._COPYRIGHT}', '', 'g')"
     t = rf"trim(regexp_replace({t}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    t = f"concat(' ', replace({t}, ' ', '  '), ' ')"
     for a, b in licenses.SPELLINGS:
-        t = f"replace({t}, '{a}', '{b}')"
-    return t
+        t = f"regexp_replace({t}, ' {a} ', ' {b} ', 'g')"
+    return f"trim(replace({t}, '  ', ' '))"
 
 
 def _license_sql() -> str:
