@@ -58,6 +58,21 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.theta[None, :] - total[:, None], -30, 30)))
 
 
+def gradient(model: Model, x: Sparse, grade: np.ndarray, value: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood, by w and by theta.  ``value``: log1p of the counts; ``per``: their texts."""
+    n, grades = len(grade), len(model.theta)
+    rows = np.arange(n)
+    tail = np.concatenate((np.ones((n, 1)), model.tails(x), np.zeros((n, 1))), axis=1)
+    p = np.maximum(tail[rows, grade] - tail[rows, grade + 1], 1e-9)
+    slope = tail * (1 - tail)  # of each tail by eta, and its negative by theta
+    up, down = slope[rows, grade], slope[rows, grade + 1]
+    g_theta = np.zeros((n, grades + 2))
+    g_theta[rows, grade] += up / p / n
+    g_theta[rows, grade + 1] -= down / p / n
+    g_eta = -(up - down) / p / n
+    return np.bincount(x.bucket, g_eta.astype(np.float32)[per] * value, len(model.w)), g_theta[:, 1:-1].sum(0)
+
+
 def fit(x: Sparse, grade: np.ndarray, grades: int = GRADES, rounds: int = 150, rate: float = 0.3, l1: float = 2e-4) -> Model:
     """Proximal gradient with steps that shrink with the squares seen, on the cumulative-link likelihood; ``grade``: 0 to ``grades``."""
     n, size = len(grade), 1 << BITS
@@ -71,20 +86,10 @@ def fit(x: Sparse, grade: np.ndarray, grades: int = GRADES, rounds: int = 150, r
     per = np.repeat(np.arange(n, dtype=np.int32), np.diff(x.first))
     free = np.concatenate(([theta[0]], np.log(np.maximum(np.diff(theta), 1e-3))))
     squares, squares_free = np.full(size, 1e-8), np.full(grades, 1e-8)
-    rows = np.arange(n)
     for _ in range(rounds):
-        tail = np.concatenate((np.ones((n, 1)), model.tails(x), np.zeros((n, 1))), axis=1)
-        p = np.maximum(tail[rows, grade] - tail[rows, grade + 1], 1e-9)
-        slope = tail * (1 - tail)  # of each tail by eta, and its negative by theta
-        up, down = slope[rows, grade], slope[rows, grade + 1]
-        g_eta = -(up - down) / p / n
-        g_theta = np.zeros((n, grades + 2))
-        g_theta[rows, grade] += up / p / n
-        g_theta[rows, grade + 1] -= down / p / n
-        gt = g_theta[:, 1:-1].sum(0)
+        gw, gt = gradient(model, x, grade, value, per)
         g_free = np.cumsum(gt[::-1])[::-1].copy()
         g_free[1:] *= np.exp(free[1:])
-        gw = np.bincount(x.bucket, g_eta.astype(np.float32)[per] * value, size)
         squares += gw * gw
         squares_free += g_free * g_free
         pace = rate / (np.sqrt(squares) + 1e-3)
