@@ -619,6 +619,53 @@ def test_short_texts_are_linked(spark):
     assert got == brute_classes([(i, t) for i, t in rows])
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.81, 0.85, 0.9])
+@pytest.mark.parametrize("spread", ["evenly", "anywhere", "mixed kinds"])
+def test_recall_of_candidates(similarity, spread):
+    """Pairs right at a similarity, the edits spread evenly (the worst case) or anywhere: nine of ten share a band."""
+    rng = random.Random(int(100 * similarity) + len(spread))
+    found, pairs = 0, 150
+    for _ in range(pairs):
+        n = rng.choice([40, 100, 200, 400])
+        a = [f"v{rng.randrange(3000)}" for _ in range(n)]
+        most = int((1 - similarity) * n + 1e-9)
+        places = [(2 * e + 1) * n // (2 * most) for e in range(most)] if spread == "evenly" else sorted(rng.sample(range(n), most))
+        b = list(a)
+        for at in reversed(places):
+            kind = rng.randrange(3) if spread == "mixed kinds" else 0
+            b[at : at + (kind != 1)] = ["x"] if kind == 0 else ["y", "z"][:1] if kind == 1 else []
+        w = textvec.words([" ".join(a).encode(), " ".join(b).encode()])
+        (s, f), (t, g) = textvec.shingles(w, 5), textvec.shingles(w, 3)
+        bands = [{*omh.sketch(s[f[i] : f[i + 1]]).tolist(), *omh.sketch(t[g[i] : g[i + 1]], omh.SPREAD_BANDS, omh.PICKS, omh.BANDS).tolist()} for i in (0, 1)]
+        found += bool(bands[0] & bands[1])
+    assert found >= 0.9 * pairs, found
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=30), st.lists(st.integers(0, 40), max_size=30), st.integers(1, 60))
+def test_only_far_pairs_are_ruled_out(a, b, times):
+    a, b = a * times, b * times
+    x, y = ((np.array(v, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) for v in (a, b))
+    bags = [np.frombuffer(omh.bag(v), np.uint8)[None] for v in (x, y)]
+    if omh.similar(x, y, 0.8):
+        assert omh.plausible(np.array([len(a)]), bags[0], np.array([len(b)]), bags[1], 0.8).all()
+
+
+def test_spread_edits_are_linked(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        a = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([30, 60, 150, 300]))]
+        b = list(a)
+        most = int((0.2, 0.19, 0.15, 0.1)[k % 4] * len(a) + 1e-9)
+        for e in range(most):
+            b[(2 * e + 1) * len(a) // (2 * most)] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = {r.row_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert sum(got[i] == want[i] for i in range(1, len(rows), 2)) >= 54 and all(got[i] == i or got[i] == want[i] for i in got)
+
+
 def test_leftovers_meet_in_tiles(spark):
     """A bucket of many unlike texts around one shared passage, and links that no leader sees."""
     rng = random.Random(4)
