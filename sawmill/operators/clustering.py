@@ -30,13 +30,28 @@ def token_distance(a: Column, b: Column) -> Column:
 
 
 def near_pairs(templates: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, distance) nearer than ``threshold``: only lengths that can be so near are joined."""
-    t = encoded(templates).select("template_id", "code", F.char_length("code").alias("n"))
-    # a distance below the threshold needs |n - m| < threshold * max(n, m)
-    band = t.select(F.col("template_id").alias("a"), F.col("code").alias("ca"), F.col("n").alias("na"), F.explode(F.sequence(F.floor(F.col("n") * (1 - threshold)).cast("int"), F.col("n"))).alias("n"))
-    pairs = band.join(t.select(F.col("template_id").alias("b"), F.col("code").alias("cb"), "n"), "n")
-    pairs = pairs.where((F.col("na") != F.col("n")) | (F.col("a") < F.col("b"))).where(F.col("a") != F.col("b"))
-    return pairs.withColumn("distance", token_distance(F.col("ca"), F.col("cb"))).where(F.col("distance") < threshold).select("a", "b", "distance")
+    """Pairs (a, b, distance) nearer than ``threshold``.
+
+    With k edits at most, k + 1 segments of the longer list leave one untouched, which stands in the other list no more
+    than k places away.  So pairs come from an equi-join on (length of the longer, segment, its tokens), exactly, and only
+    these are compared.
+    """
+    t = encoded(templates).select("template_id", "code", F.char_length("code").alias("n")).where("n > 0")
+    k = lambda n: (F.ceil(n * threshold + 1e-9) - 1).cast("int")
+    begin = lambda i, n: F.floor(i * n / (k(n) + 1)).cast("int")
+    long = t.select(F.col("template_id").alias("a"), F.col("code").alias("ca"), "n", F.explode(F.sequence(F.lit(0), k(F.col("n")))).alias("i"))
+    at, to = begin(F.col("i"), F.col("n")), begin(F.col("i") + 1, F.col("n"))
+    long = long.select("a", "ca", "n", "i", F.substring("ca", at + 1, to - at).alias("segment"))
+    most = F.floor(F.col("m") / (1 - threshold)).cast("int") + 1
+    short = t.select(F.col("template_id").alias("b"), F.col("code").alias("cb"), F.col("n").alias("m")).withColumn("n", F.explode(F.sequence(F.col("m"), most)))
+    short = short.where(F.col("n") - k(F.col("n")) <= F.col("m")).withColumn("i", F.explode(F.sequence(F.lit(0), k(F.col("n")))))
+    short = short.withColumn("at", at).withColumn("width", to - at)
+    low, high = F.greatest(F.col("at") - k(F.col("n")), F.lit(0)), F.least(F.col("at") + k(F.col("n")), F.col("m") - F.col("width"))
+    short = short.where(low <= high).withColumn("s", F.explode(F.sequence(low, high))).select("b", "cb", "n", "i", F.substring("cb", F.col("s") + 1, F.col("width")).alias("segment")).distinct()
+    pairs = long.join(short, ["n", "i", "segment"]).where(F.col("a") != F.col("b"))
+    swap = F.col("a") > F.col("b")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
+    return pairs.withColumn("distance", token_distance(F.col("ca"), F.col("cb"))).where(F.col("distance") < threshold).select("a", "b", "distance").distinct()
 
 
 def leaders(order: list[str], near: dict[str, list[tuple[str, float]]]) -> dict[str, str]:

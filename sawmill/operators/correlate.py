@@ -36,8 +36,13 @@ def frequent(counts: DataFrame, min_count: int = 10) -> DataFrame:
 
 def burst_templates(events: DataFrame, window: int, threshold: int) -> DataFrame:
     """(template_id, peak): templates of which more than ``threshold`` events begin within [t, t + window] of one event."""
-    w = Window.partitionBy("template_id").orderBy("u").rangeBetween(0, window * 1_000_000)
-    counted = events.where("ts is not null").withColumn("u", micros(F.col("ts"))).withColumn("k", F.count("*").over(w))
+    width = window * 1_000_000
+    # a window's events lie in one stretch of time or the next, so each is dealt to its own and the one before: no
+    # template is sorted in one task
+    e = events.where("ts is not null").select("template_id", micros(F.col("ts")).alias("u")).withColumn("at", F.floor(F.col("u") / width))
+    e = e.withColumn("part", F.explode(F.array(F.col("at"), F.col("at") - 1)))
+    w = Window.partitionBy("template_id", "part").orderBy("u").rangeBetween(0, width)
+    counted = e.withColumn("k", F.count("*").over(w)).where("part = at")
     return counted.groupBy("template_id").agg(F.max("k").alias("peak")).where(F.col("peak") > threshold)
 
 

@@ -210,7 +210,10 @@ class Merger:
         self.ids: list[str] = []
         self.tokens: list[list[str] | None] = []
         self.where: dict[tuple[str, ...], int] = {}
+        # by key: its templates in order, the places of the first live one and of the one it was last paired with, the pair on offer
         self.buckets: dict[tuple, list[int]] = {}
+        self.place: dict[tuple, tuple[int, int]] = {}
+        self.offered: dict[tuple, tuple[int, int]] = {}
         self.heap: list[tuple[int, int, tuple]] = []
         self.last = last_id if last_id is not None else max((int(t[1:]) for t, _ in templates if t[1:].isdigit()), default=0)
         #: (merged id, into id, kind): kinds are wildcard, existing, created
@@ -228,18 +231,30 @@ class Merger:
         self.tokens.append(tokens)
         self.where.setdefault(tuple(tokens), at)
         for key in self._keys(tokens):
-            bucket = self.buckets.setdefault(key, [])
-            bucket.append(at)
-            self._offer(key)
+            self.buckets.setdefault(key, []).append(at)
+            if key not in self.offered:
+                self._offer(key)
         return at
 
     def _offer(self, key: tuple) -> None:
-        bucket = self.buckets[key] = [i for i in self.buckets[key] if self.tokens[i] is not None]
-        for i, first in enumerate(bucket):
-            second = next((j for j in bucket[i + 1 :] if self.tokens[j] != self.tokens[first]), None)
-            if second is not None:
-                heapq.heappush(self.heap, (first, second, key))
+        """Puts the first pair of the bucket on offer.  Places only move on, so a bucket is walked once for each first."""
+        bucket, tokens = self.buckets[key], self.tokens
+        first, second = self.place.get(key, (0, 1))
+        self.offered.pop(key, None)
+        while first < len(bucket):
+            if tokens[bucket[first]] is None:
+                first, second = first + 1, first + 2
+                continue
+            while second < len(bucket) and (tokens[bucket[second]] is None or tokens[bucket[second]] == tokens[bucket[first]]):
+                second += 1
+            if second < len(bucket):
+                self.place[key] = first, second
+                self.offered[key] = bucket[first], bucket[second]
+                heapq.heappush(self.heap, (bucket[first], bucket[second], key))
                 return
+            # equal ones alone are left behind it: none pairs with it until one is added
+            break
+        self.place[key] = first, second
 
     def _drop(self, at: int, into: int, kind: str) -> None:
         tokens = self.tokens[at]
@@ -248,15 +263,15 @@ class Merger:
             del self.where[tuple(tokens)]
         self.events.append((self.ids[at], self.ids[into], kind))
         for key in self._keys(tokens):
-            self._offer(key)
+            if at in self.offered.get(key, ()):
+                self._offer(key)
 
     def run(self) -> list[tuple[str, list[str]]]:
         while self.heap:
             a, b, key = heapq.heappop(self.heap)
-            x, y = self.tokens[a], self.tokens[b]
-            if x is None or y is None:
-                self._offer(key)
+            if self.offered.get(key) != (a, b):
                 continue
+            x, y = self.tokens[a], self.tokens[b]
             p = key[0]
             if WILDCARD in (x[p], y[p]):
                 gone, into = (b, a) if x[p] == WILDCARD else (a, b)
@@ -283,7 +298,7 @@ class Merger:
         return {i: root(i) for i in self.ids}
 
 
-def merge_templates(templates: DataFrame, most: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_templates(templates: DataFrame, most: int = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merged templates (template_id, template, tokens, rank), lineage (raw_id, template_id) and events (template_id,
     related_template_id, kind, step).  Runs on the driver over the table of templates, whose size is checked first."""
     spark = templates.sparkSession

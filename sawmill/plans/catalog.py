@@ -96,10 +96,14 @@ def _fields(df: DataFrame, **options: str) -> DataFrame:
 # --- scans and parsing
 
 
-@query("SELECT n AS line_no, count(*) AS n_lines, CAST(sum(length(value)) AS BIGINT) AS n_chars FROM (SELECT unnest(string_split(text, chr(10))) AS value, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) GROUP BY 1")
+@query("SELECT CAST(f AS INT) AS file_idx, value, count(*) AS n, count(DISTINCT seq) AS n_seq FROM (SELECT *, row_number() OVER () AS seq FROM (SELECT doc_id % 3 AS f, unnest(string_split(text, chr(10))) AS value FROM documents) WHERE NOT contains(value, chr(13))) GROUP BY 1, 2")
 def scan_lines(spark, sf):
-    d = table(spark, sf, "documents").select(F.posexplode(F.split("text", "\n")).alias("line_no", "value"))
-    return d.groupBy(F.col("line_no").cast("bigint").alias("line_no")).agg(F.count("*").alias("n_lines"), F.sum(F.char_length("value")).alias("n_chars"))
+    """The documents' lines written as text to three folders of files and scanned from there."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("value")).where(~F.contains("value", F.lit("\r")))
+    paths = [new_path(spark, f"lines-{k}") for k in range(3)]
+    for k, path in enumerate(paths):
+        d.where(F.col("doc_id") % 3 == k).select("value").write.text(path)
+    return line_source.scan_lines(spark, paths).groupBy("file_idx", "value").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("n_seq"))
 
 
 @query(r"SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents) WHERE regexp_matches(value, '[^\s]') GROUP BY doc_id")
@@ -108,11 +112,6 @@ def blank_filter(spark, sf):
     return line_source.not_blank(d).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-@query()
-def parse_dispatch(spark, sf):
-    return _fields(mixed_lines(spark, sf))
-
-
 @query(rf"SELECT seq, CASE WHEN value LIKE '{{%}}' THEN 'json' WHEN regexp_matches(value, '^<\d{{1,3}}>\d\s+\S+\s+\S+\s+\S+\s+\S+\s+\S+\s+') THEN 'rfc5424' WHEN regexp_matches(value, '^[A-Z][a-z]{{2}}\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}}\s+\S+\s+') THEN 'rfc3164' ELSE 'text' END AS format FROM {_DUCK_MIXED}")
 def detect_format(spark, sf):
     return mixed_lines(spark, sf).select("seq", parsing.detect_format(F.col("value")).alias("format"))
@@ -146,6 +145,11 @@ def parse_text(spark, sf):
     return _fields(event_lines(spark, sf), format="text")
 
 
+@query(" UNION ALL ".join(f"SELECT * FROM ({SQL[q]}) WHERE seq % 4 = {k}" for k, q in enumerate(("parse_text", "parse_json", "parse_syslog5424", "parse_syslog3164"))))
+def parse_dispatch(spark, sf):
+    return _fields(mixed_lines(spark, sf))
+
+
 _HEADS = "concat(CASE event_id % 5 WHEN 0 THEN 'warning svc1 started ' WHEN 1 THEN '[svc2] ERROR in ' WHEN 2 THEN 'svc3: fatal at ' WHEN 3 THEN 'INFO [svc4] got ' ELSE 'no level word ' END, event_type)"
 
 
@@ -580,10 +584,23 @@ def co_occurrence_sym(spark, sf):
     return correlate.symmetrised(_co(spark, sf))
 
 
-@query(f"SELECT a, b, CAST(sum(co) AS BIGINT) AS co, CAST(sum(sim) AS BIGINT) AS sim FROM (SELECT * FROM {_CO} UNION ALL SELECT * FROM {_CO}) GROUP BY a, b")
+_HALVES = ["event_id % 2 = 0", "event_id % 2 = 1"]
+
+
+def _co_half(k: int) -> str:
+    return _CO.replace("FROM events x JOIN events y", f"FROM (SELECT * FROM events WHERE {_HALVES[k]}) x JOIN (SELECT * FROM events WHERE {_HALVES[k]}) y")
+
+
+@query(f"SELECT a, b, CAST(sum(co) AS BIGINT) AS co, CAST(sum(sim) AS BIGINT) AS sim FROM (SELECT * FROM {_co_half(0)} UNION ALL SELECT * FROM {_co_half(1)}) GROUP BY a, b")
 def correlate_merge_state(spark, sf):
-    p = _co(spark, sf)
-    return correlate.merged_state(p, p)
+    """Half of the events counted, saved as a state, loaded and added to the counts of the other half."""
+    from sawmill.sources import libraries
+
+    half = lambda k: templated(spark, sf).where(F.col("seq") % 2 == k).select("template_id", "ts")
+    at = new_path(spark, "correlation")
+    libraries.save_correlation(correlate.co_occurrence(half(0), 600), correlate.event_counts(half(0)), at)
+    pairs, _ = libraries.load_correlation(spark, at)
+    return correlate.merged_state(correlate.co_occurrence(half(1), 600), pairs)
 
 
 _RULES = f"""(WITH c AS (SELECT event_type AS t, count(*) AS n FROM events GROUP BY 1), g AS (SELECT count(*)::DOUBLE AS total FROM events),
@@ -646,6 +663,19 @@ def synthetic_events(spark, sf):
     return made(t)
 
 
+@query("SELECT concat('T', p_partkey) AS template_id, p_name AS template, CAST(p_size AS BIGINT) AS count, p_size % 7 = 0 AS is_error, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INT) AS rank FROM part")
+def library_load(spark, sf):
+    """The parts as a JSON library of one document, written and loaded again."""
+    from sawmill.sources import libraries
+
+    levels = F.when(F.col("p_size") % 7 == 0, F.create_map(F.lit("ERROR"), F.lit(1))).otherwise(F.create_map(F.lit("INFO"), F.lit(1)))
+    one = F.struct(F.concat(F.lit("T"), "p_partkey").alias("template_id"), F.col("p_name").alias("template_str"), F.struct(F.col("p_size").alias("count"), levels.alias("level_counts")).alias("stats"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.to_json(one).alias("t")))), lambda x: x["t"])
+    at = new_path(spark, "library")
+    table(spark, sf, "part").agg(F.concat(F.lit('{"templates":['), F.array_join(ordered, ","), F.lit("]}")).alias("value")).coalesce(1).write.text(at)
+    return libraries.load_library(spark, at).select("template_id", "template", "count", "is_error", "rank")
+
+
 # --- diff
 
 _LIB = "(SELECT concat(p_brand, ' ', p_type) AS template, {agg}(concat('{k}', p_partkey)) AS template_id, count(*) AS count, bool_or(l_returnflag = 'R') AS is_error FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {where} GROUP BY 1)"
@@ -794,7 +824,7 @@ def incremental_mining(spark, sf):
     return second.select("template_id", "template", "count", "is_error")
 
 
-@query()
+@query(SQL["bucket_hour"])
 def stream_available_now(spark, sf):
     """Event counts by hour as a stream that ends with the input."""
     from sawmill.streaming import incremental

@@ -101,6 +101,43 @@ def test_merge_order(seed):
     assert set(merger.lineage().values()) == final
 
 
+def test_merging_one_position_takes_no_square():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        began = time.perf_counter()
+        merger = mining.Merger([(f"T{i:06d}", ["user", f"u{i}", "in", "room", f"r{i % 7}"]) for i in range(n)])
+        assert len(merger.run()) == 1
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.5])
+def test_near_pairs_against_all_pairs(spark, threshold):
+    from functools import cache
+
+    rng = random.Random(int(10 * threshold))
+    lists = list({tuple(rng.choice("abcdef") for _ in range(rng.randint(1, 12))) for _ in range(90)})
+
+    def edits(a, b):
+        @cache
+        def d(i, j):
+            return max(i, j) if not i or not j else min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]))
+
+        return d(len(a), len(b))
+
+    t = spark.createDataFrame([(f"T{i}", list(x)) for i, x in enumerate(lists)], "template_id string, tokens array<string>")
+    got = {(r.a, r.b): r.distance for r in clustering.near_pairs(t, threshold).collect()}
+    want = {}
+    for i, a in enumerate(lists):
+        for j, b in enumerate(lists):
+            d = edits(a, b) / max(len(a), len(b))
+            if f"T{i}" < f"T{j}" and d < threshold:
+                want[f"T{i}", f"T{j}"] = d
+    assert got == want
+
+
 def entries(spark, messages, level="INFO"):
     rows = [(i, None, level if not isinstance(m, tuple) else m[1], f"s{i % 3}", m if not isinstance(m, tuple) else m[0]) for i, m in enumerate(messages)]
     return spark.createDataFrame(rows, "seq long, ts timestamp_ntz, level string, source string, message string")
