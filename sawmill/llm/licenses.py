@@ -24,7 +24,6 @@ SPELLINGS = [
 #: A line that names a copyright: it begins so and gives a year or a second sign, or reserves all rights and says no more.
 _YEAR = r"[\[<{]?(\d{4}|yyyy|year)"
 _COPYRIGHT = rf"(?m)^[ \t#*/;-]*(copyright[ \t]*:?[ \t]*{_YEAR}|copyright[ \t]*(\(c\)|©)|(\(c\)|©)[ \t]*(copyright|{_YEAR})|all rights reserved[ \t.]*$)[^\n]*$"
-_VARIANT = "licenc|sub licens|non (infringement|commercial)|anis(e|ing|ation)|horis|cognis|utilis|favour|honour|fulfil|gement|whilst|wilful|copyright holder|per cent|https"
 
 _NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "This project is licensed under the terms of the MIT license."],
@@ -54,19 +53,58 @@ def known_licenses() -> list[tuple[str, str]]:
     return [(k, t) for k, t in _TEXTS.items()] + [(k, t) for k, ts in _NOTICES.items() for t in ts]
 
 
+def _let(x: Column, f) -> Column:
+    """f(x), with x computed once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _flat(text: Column) -> Column:
+    """Lower case without copyright lines; every run of other characters than letters, digits and line ends is a space."""
+
+    def kept(t: Column) -> Column:
+        named = t.contains("copyright") | t.contains("(c)") | t.contains("©") | t.contains("all rights reserved")
+        return F.when(named, F.regexp_replace(t, _COPYRIGHT, "")).otherwise(t)
+
+    return F.regexp_replace(_let(F.lower(F.coalesce(text, F.lit(""))), kept), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def _swap(variant: str, form: str):
+    """Replaces one spelling; a plain search for its first letters comes before the pattern."""
+    return lambda s: F.when(s.contains(" " + variant.split("(")[0]), F.regexp_replace(s, f" {variant} ", " " + form.replace("\\", "$") + " ")).otherwise(s)
+
+
+def _spelled(words: Column) -> Column:
+    """Words that are a space apart, in equal spellings and two spaces apart."""
+    same = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
+    for variant, form in SPELLINGS:
+        same = _let(same, _swap(variant, form))
+    return same
+
+
+def _single(spelled: Column) -> Column:
+    return F.trim(F.replace(spelled, F.lit("  "), F.lit(" ")))
+
+
+def _whole(flat: Column) -> Column:
+    return _single(_spelled(F.trim(F.regexp_replace(flat, r"[ \n]+", " "))))
+
+
+def _lines(flat: Column) -> Column:
+    """The canonical form of each line, from one pass over the text: no spelling spans a line end."""
+    return F.transform(F.split(_spelled(F.replace(flat, F.lit("\n"), F.lit(" \n "))), "\n"), _single)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; '' for a null or empty text and for one of copyright lines only."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.when(t.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(t, _COPYRIGHT, "")).otherwise(t)
-    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
-    same = F.concat(F.lit(" "), F.replace(t, F.lit(" "), F.lit("  ")), F.lit(" "))
-    for a, b in SPELLINGS:
-        same = F.regexp_replace(same, f" {a} ", " " + b.replace("\\", "$") + " ")
-    return F.when(t.rlike(_VARIANT), F.trim(F.replace(same, F.lit("  "), F.lit(" ")))).otherwise(t)
+    return _whole(_flat(text))
+
+
+def _sha(form: Column) -> Column:
+    return F.sha2(form.cast("binary"), 256)
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+    return _sha(canonical(text))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -86,7 +124,7 @@ def scan(df: DataFrame, known: DataFrame, text_col: str = "text", lines: bool =
     null) and, with ``lines``, line_licenses: ids of the lines that are whole notices, in order, a line each.
 
     A null or empty text has the digest of no text and no licence; a text of copyright lines only likewise.  Columns named
-    like an output are replaced.  Every row stays, repeated ones too.  ``known`` may have any number of rows.
+    like an output are replaced.  A line without letters and digits has no licence.  Every row stays, repeated ones too.  ``known`` may have any number of rows.
     """
     count = known.limit(BROADCAST_ROWS + 1).count()
     few = count <= BROADCAST_ROWS
@@ -94,22 +132,29 @@ def scan(df: DataFrame, known: DataFrame, text_col: str = "text", lines: bool =
     names = [c for c in df.columns if c not in ("text_digest", "license_id", "line_licenses")]
     kept = [f"`{c}`" for c in names]
     text = F.col(f"`{text_col}`")
-    each = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)
     if not lines:
         out = df.select(*kept, digest(text).alias("text_digest"))
-    elif not count:
-        out = df.select(*kept, digest(text).alias("text_digest"), F.array().cast("array<string>").alias("line_licenses"))
-    elif count <= MAP_ROWS:
-        per = F.create_map(*[F.lit(x) for r in sorted(table.collect()) for x in r])
-        found = F.filter(F.transform(each, lambda x: F.try_element_at(per, digest(x))), lambda x: x.isNotNull())
-        out = df.select(*kept, digest(text).alias("text_digest"), found.alias("line_licenses"))
     else:
-        # rows get a number, kept in a table so that both sides see the same; only lines that match come back
-        numbered = written(df.select(*kept, digest(text).alias("text_digest"), each.alias("_lines"), F.monotonically_increasing_id().alias("_row")), "licences")
-        exploded = numbered.select("_row", F.posexplode("_lines").alias("_n", "_line")).select("_row", "_n", digest(F.col("_line")).alias("text_digest"))
-        matched = exploded.join(F.broadcast(table) if few else table, "text_digest").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_n", "license_id"))).alias("_found"))
-        out = numbered.drop("_lines").join(matched, "_row", "left")
-        found = F.coalesce(F.transform("_found", lambda x: x["license_id"]), F.array().cast("array<string>"))
-        out = out.select(*kept, "text_digest", found.alias("line_licenses"))
+        # both forms come from one column, whose name no other has
+        at = "_forms"
+        while at in {c.lower() for c in df.columns}:
+            at += "_"
+        forms = _let(_flat(text), lambda f: F.struct(_sha(_whole(f)).alias("whole"), F.filter(_lines(f), lambda x: x != "").alias("lines")))
+        formed = df.select(*kept, forms.alias(at))
+        whole = F.col(f"{at}.whole").alias("text_digest")
+        if not count:
+            out = formed.select(*kept, whole, F.array().cast("array<string>").alias("line_licenses"))
+        elif count <= MAP_ROWS:
+            per = F.create_map(*[F.lit(x) for r in sorted(table.collect()) for x in r])
+            found = F.filter(F.transform(f"{at}.lines", lambda x: F.try_element_at(per, _sha(x))), lambda x: x.isNotNull())
+            out = formed.select(*kept, whole, found.alias("line_licenses"))
+        else:
+            # rows get a number, kept in a table so that both sides see the same; only lines that match come back
+            numbered = written(formed.select(*kept, whole, F.col(f"{at}.lines").alias("_lines"), F.monotonically_increasing_id().alias("_row")), "licences")
+            exploded = numbered.select("_row", F.posexplode("_lines").alias("_n", "_line")).select("_row", "_n", _sha(F.col("_line")).alias("text_digest"))
+            matched = exploded.join(F.broadcast(table) if few else table, "text_digest").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_n", "license_id"))).alias("_found"))
+            out = numbered.drop("_lines").join(matched, "_row", "left")
+            found = F.coalesce(F.transform("_found", lambda x: x["license_id"]), F.array().cast("array<string>"))
+            out = out.select(*kept, "text_digest", found.alias("line_licenses"))
     out = out.join(F.broadcast(table) if few else table, "text_digest", "left")
     return out.select(*kept, "text_digest", "license_id", *(["line_licenses"] if lines else []))
