@@ -265,6 +265,50 @@ def mining_lines(spark: SparkSession, sf: str) -> DataFrame:
     return plans.masked_lines(entries(spark, sf), Settings())
 
 
+# Messages of many shapes, by event_id % 10: first words that differ in one word, words that vary within a leaf, other
+# lengths.  (message, what masking makes of it, its template's name, the name of what its template is merged into).
+_SHAPES = [
+    ("concat(event_type, ' request by user ', user_id, ' took ', event_id % 997, ' ms')", "concat(event_type, ' request by user <NUM> took <NUM> ms')", "event_type", "<*> request by user <NUM> took <NUM> ms"),
+    ("concat('Connection opened to 10.0.', user_id % 250, '.', event_id % 250, ' after ', event_id % 97, ' ms')", "'Connection opened to <IP> after <NUM> ms'", "'opened'", "Connection <*> to <IP> after <NUM> ms"),
+    ("concat('Connection closed to 10.0.', user_id % 250, '.', event_id % 250, ' after ', event_id % 97, ' ms')", "'Connection closed to <IP> after <NUM> ms'", "'closed'", "Connection <*> to <IP> after <NUM> ms"),
+    ("concat('Cache refresh of region ', event_type, ' finished')", "concat('Cache refresh of region ', event_type, ' finished')", "'cache'", ""),
+    ("concat('GET /api/v', user_id % 3, '/', event_type, ' returned ', 200 + event_id % 5)", "'GET <PATH> returned <NUM>'", "'get'", ""),
+    ("concat('Payment of ', event_id % 1009, ' for order ', event_id, ' declined by gateway code ', user_id % 9)", "'Payment of <NUM> for order <NUM> declined by gateway code <NUM>'", "'payment'", ""),
+    ("concat('Job ', event_id, ' started')", "'Job <NUM> started'", "'job'", ""),
+    ("concat('Job ', event_id, ' stopped')", "'Job <NUM> stopped'", "'job'", ""),
+    ("'Timeout'", "'Timeout'", "'timeout'", ""),
+    ("concat('Session of user ', user_id, ' expired in zone z', user_id % 40)", "concat('Session of user <NUM> expired in zone z', user_id % 40)", "'session'", ""),
+]
+
+
+def _shaped(k: int) -> str:
+    return "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN {x[k]}" for i, x in enumerate(_SHAPES)) + " END"
+
+
+def mining_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Parsed plain lines of the events, with messages of many shapes."""
+    line = f"concat({_SPARK_TIMES['ts']}, ' ', {LEVEL}, ' svc', user_id % 5, ' ', {_shaped(0)})"
+    e = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.expr(line).alias("value"))
+    return line_source.parsed(e, Section(Settings().input), YEAR)
+
+
+# g: the template of a line before merging; f: after it, where that has another text
+_INTO = "CASE event_id % 10 " + " ".join(f"WHEN {i} THEN '{x[3]}'" for i, x in enumerate(_SHAPES) if x[3]) + f" ELSE {_shaped(2)} END"
+_MINED = f"(SELECT event_id AS seq, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts, {LEVEL} AS level, concat('svc', user_id % 5) AS source, {_shaped(1)} AS masked, {_shaped(2)} AS g, {_INTO} AS f FROM events)"
+_MADE = f"(SELECT f, g, arg_min(masked, seq) AS template, row_number() OVER (ORDER BY min(seq)) AS k FROM {_MINED} GROUP BY f, g)"
+# j: the place of a template among the m that become one; those get the next ids, by their first
+_FAMILIES = f"(SELECT *, row_number() OVER (PARTITION BY f ORDER BY k) AS j, count(*) OVER (PARTITION BY f) AS m, min(k) OVER (PARTITION BY f) AS k1, max(k) OVER () AS last FROM {_MADE})"
+_FINAL = f"(SELECT f, g, k, j, m, CASE WHEN m = 1 THEN template ELSE f END AS template, CASE WHEN m = 1 THEN k ELSE last + dense_rank() OVER (ORDER BY m = 1, k1) END AS id FROM {_FAMILIES})"
+
+
+def _mined_stats(keys: str, more: str) -> str:
+    return f"SELECT printf('T%06d', x.id) AS template_id, x.template AS template, count(*) AS count, {more} FROM {_MINED} l JOIN {keys} x ON l.g = x.g GROUP BY 1, 2"
+
+
+_RAW = f"(SELECT *, k AS id FROM {_MADE})"
+_SEEN = "min(ts) AS first_seen, max(ts) AS last_seen, bool_or(level IN ('ERROR', 'FATAL')) AS is_error"
+
+
 def conversation_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Natural lines: all sentences of the turns."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("source"), F.posexplode(F.split("text", r"[.\n]")).alias("k", "message"))
@@ -296,9 +340,12 @@ def template_similarity(spark, sf):
     return p.join(F.broadcast(first), F.lit(True)).select("template_id", mining.similarity(F.col("tokens"), F.col("b"), 0.5).alias("score"))
 
 
-@query()
+_MAIN = f"(SELECT g, arg_max(level, n * 100000000 - s) AS main_level FROM (SELECT g, level, count(*) AS n, min(seq) AS s FROM {_MINED} GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(f"SELECT t.* EXCLUDE (g), main_level FROM ({_mined_stats(_RAW, _SEEN + ', min(l.g) AS g')}) t JOIN {_MAIN} m ON t.g = m.g")
 def drain_templates(spark, sf):
-    rows, templates, _ = plans.mine(entries(spark, sf), Settings(), merge=False)
+    rows, templates, _ = plans.mine(mining_entries(spark, sf), Settings(), merge=False)
     return templates.select("template_id", "template", "count", "first_seen", "last_seen", "is_error", "main_level")
 
 
@@ -346,9 +393,9 @@ def merge_templates(spark, sf):
     return mining.merge_templates(part_templates(spark, sf))[0].select("template_id", "template", "rank")
 
 
-@query()
+@query(_mined_stats(_FINAL, _SEEN + ", CAST(count(DISTINCT source) AS INT) AS n_sources"))
 def merged_stats(spark, sf):
-    rows, templates, _ = plans.mine(entries(spark, sf), Settings(), merge=True)
+    rows, templates, _ = plans.mine(mining_entries(spark, sf), Settings(), merge=True)
     return templates.select("template_id", "template", "count", "first_seen", "last_seen", "is_error", F.size("sources").alias("n_sources"))
 
 
@@ -358,9 +405,13 @@ def rare_templates(spark, sf):
     return mining.compress(t, 10, 12)
 
 
-@query()
+_KIND = "CASE WHEN j <= 2 THEN 'created' WHEN j = m AND m % 2 = 1 THEN 'wildcard' ELSE 'existing' END"
+_EVENTS = f"(SELECT first_seen AS at, 'created' AS event_type, template_id, NULL::VARCHAR AS related_template_id, '' AS details FROM ({_mined_stats(_FINAL, _SEEN)}) UNION ALL SELECT NULL, 'merged', printf('T%06d', k), printf('T%06d', id), {_KIND} FROM {_FINAL} WHERE m > 1)"
+
+
+@query(f"SELECT * FROM {_EVENTS}")
 def template_events(spark, sf):
-    rows, templates, merges = plans.mine(entries(spark, sf), Settings())
+    rows, templates, merges = plans.mine(mining_entries(spark, sf), Settings())
     return mining.lifecycle_events(mining.compress(templates, 10, 5), merges)
 
 
@@ -375,9 +426,17 @@ def reconcile_exact(spark, sf):
     return _reconciled(spark, sf).where("match = 'exact'").select("a_id", "b_id")
 
 
-@query()
+_SIDE = "(SELECT template, string_split(template, ' ') AS tokens, concat('{n}', min(p_partkey)) AS template_id FROM (SELECT p_partkey, concat(p_name, ' ', p_type, ' ', p_brand) AS template FROM part WHERE p_partkey % 2 = {k}) GROUP BY template)"
+
+
+@query(f"""WITH a AS {_SIDE.format(n='A', k=0)}, b AS (SELECT * FROM {_SIDE.format(n='B', k=1)} WHERE template NOT IN (SELECT template FROM a)),
+p AS (SELECT b.template_id AS b_id, a.template_id AS a_id, len(a.tokens) AS n, list_transform(list_zip(a.tokens, b.tokens), lambda x: x[1] = x[2]) AS e FROM a JOIN b ON len(a.tokens) = len(b.tokens)),
+s AS (SELECT *, len(list_filter(e, lambda x: x)) AS same FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY same / n DESC, a_id) AS r FROM s WHERE same / n >= 0.4)
+SELECT b_id, a_id, 'similar' AS match, same / n AS score, CASE WHEN n - same = 1 THEN CAST(list_position(e, false) - 1 AS INT) ELSE -1 END AS wildcard_pos FROM k WHERE r = 1
+UNION ALL SELECT template_id, NULL, 'new', 0.0, -1 FROM b WHERE template_id NOT IN (SELECT b_id FROM k)""")
 def reconcile_similar(spark, sf):
-    return _reconciled(spark, sf).where("match <> 'exact'")
+    """wildcard_pos is -1 where not just one position differs."""
+    return _reconciled(spark, sf).where("match <> 'exact'").withColumn("wildcard_pos", F.coalesce("wildcard_pos", F.lit(-1)))
 
 
 def _reconciled(spark, sf):
@@ -403,7 +462,18 @@ def _cluster_templates(spark, sf):
     return p.join(seen, "template_id")
 
 
-@query()
+_LEADERS = f"""(WITH RECURSIVE o AS MATERIALIZED (SELECT template_id, tokens, CAST(row_number() OVER (ORDER BY count DESC, template_id) AS BIGINT) AS r FROM {_PARTS} JOIN (SELECT concat('T', lpad(CAST(l_partkey AS VARCHAR), 6, '0')) AS template_id, count(*) AS count FROM lineitem GROUP BY 1) USING (template_id)),
+w AS (SELECT token, row_number() OVER (ORDER BY token) AS k FROM (SELECT DISTINCT unnest(tokens) AS token FROM o)),
+c AS MATERIALIZED (SELECT r, string_agg(chr(CAST(65536 + k AS INT)), '' ORDER BY p) AS code, count(*) AS n FROM (SELECT r, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS p FROM o) JOIN w USING (token) GROUP BY r),
+d AS MATERIALIZED (SELECT a.r AS r, b.r AS s, levenshtein(a.code, b.code) / greatest(a.n, b.n) AS distance FROM c a JOIN c b ON b.r < a.r WHERE levenshtein(a.code, b.code) / greatest(a.n, b.n) < 0.3),
+near AS MATERIALIZED (SELECT o.r AS r, coalesce(list(s) FILTER (s IS NOT NULL), []) AS before FROM o LEFT JOIN d ON o.r = d.r GROUP BY o.r),
+l(k, leaders) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT k + 1, CASE WHEN list_has_any(before, leaders) THEN leaders ELSE list_append(leaders, k + 1) END FROM l JOIN near ON near.r = k + 1),
+leader AS (SELECT unnest(leaders) AS s, generate_subscripts(leaders, 1) AS age FROM (SELECT arg_max(leaders, k) AS leaders FROM l)),
+joined AS (SELECT d.r AS r, arg_min(d.s, d.distance * 1000000000 + age) AS s FROM d JOIN leader USING (s) WHERE d.r NOT IN (SELECT s FROM leader) GROUP BY d.r UNION ALL SELECT s, s FROM leader)
+SELECT printf('C%04d', age) AS cluster_id, x.template_id AS representative_id, o.template_id AS template_id, CAST(o.r - 1 AS INT) AS rank FROM joined j JOIN leader ON leader.s = j.s JOIN o ON o.r = j.r JOIN o x ON x.r = j.s)"""
+
+
+@query(f"SELECT * FROM {_LEADERS}")
 def leader_clusters(spark, sf):
     return clustering.cluster(_cluster_templates(spark, sf), 0.3)
 
@@ -532,14 +602,26 @@ def _wave(spark, sf):
     return hours.withColumn("value", F.col("value") + F.when(F.hour("bucket") == 12, 50).otherwise(0))
 
 
-@query(f"SELECT template_id, true AS is_periodic, 24.0 AS period_hours FROM (SELECT DISTINCT template_id FROM {_FILLED})")
+def _periods(lagged: str) -> str:
+    return f"""(SELECT template_id, coalesce(max(value) FILTER (peak) > 0.5, false) AS is_periodic, CASE WHEN max(value) FILTER (peak) > 0.5 THEN CAST(arg_max(lag, value - lag * 1e-12) FILTER (peak) AS DOUBLE) END AS period_hours
+FROM (SELECT *, coalesce(value > lag(value) OVER w AND value > lead(value) OVER w, false) AND value > 0.3 AND n >= 24 AS peak FROM {lagged} WINDOW w AS (PARTITION BY template_id ORDER BY lag)) GROUP BY template_id)"""
+
+
+_WAVE = f"(SELECT template_id, bucket, value + CASE WHEN hour(bucket) = 12 THEN 50 ELSE 0 END AS value FROM {_FILLED})"
+
+
+@query(f"SELECT template_id, is_periodic, period_hours FROM {_periods(_LAGGED.replace(_FILLED, _WAVE))}")
 def periodicity(spark, sf):
     return timeseries.periodicity(timeseries.autocorrelation(_wave(spark, sf)))
 
 
-@query()
+@query(f"""WITH s AS (SELECT template_id, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std FROM {_FILLED} GROUP BY 1), x AS (SELECT template_id FROM {_FILLED} f JOIN s USING (template_id) WHERE f.value > mean + 2 * std)
+SELECT template_id, n, round(mean, 6) AS mean, round(std, 6) AS std, n >= 24 AS sufficient, n >= 24 AND template_id IN (SELECT template_id FROM x) AS has_spike, false AS has_vanished, NULL::TIMESTAMP AS vanished_since, n >= 24 AND coalesce(is_periodic, false) AS is_periodic, period_hours
+FROM s LEFT JOIN {_periods(_LAGGED)} p USING (template_id)""")
 def timeseries_analysis(spark, sf):
-    return timeseries.analyze(templated(spark, sf).select("template_id", "ts"), n_std=2.0).drop("spike_timestamps")
+    """Series end at their own last bucket, so that none vanishes."""
+    got = timeseries.analyze(templated(spark, sf).select("template_id", "ts"), n_std=2.0).drop("spike_timestamps")
+    return got.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 # --- correlation
@@ -780,9 +862,11 @@ def top_templates(spark, sf):
     return reports.top_templates(t.withColumn("main_level", F.lit("INFO"))).drop("main_level")
 
 
-@query()
+@query(f"""WITH t AS ({_mined_stats(_FINAL, _SEEN)}), e AS (SELECT CASE WHEN event_type = 'created' THEN 'created' ELSE 'ended' END AS part, template_id, "at", coalesce(epoch_us("at"), 0) AS k FROM {_EVENTS}
+UNION ALL SELECT 'longest', template_id, first_seen, epoch_us(last_seen) - epoch_us(first_seen) FROM t)
+SELECT part, template_id, strftime("at", '%Y-%m-%d %H:%M:%S') AS "at", CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k DESC, template_id) AS r FROM e) WHERE r <= 5""")
 def evolution(spark, sf):
-    rows, templates, merges = plans.mine(entries(spark, sf), Settings())
+    rows, templates, merges = plans.mine(mining_entries(spark, sf), Settings())
     return reports.evolution(mining.lifecycle_events(templates, merges), templates)
 
 
@@ -802,22 +886,22 @@ def chart_points(spark, sf):
 # --- state and streams
 
 
-@query()
+@query(f"SELECT template_id, template, count FROM ({_mined_stats(_RAW, _SEEN)})")
 def state_roundtrip(spark, sf):
     from sawmill.sources import libraries
 
-    rows, templates, _ = plans.mine(entries(spark, sf), Settings(), merge=False)
+    rows, templates, _ = plans.mine(mining_entries(spark, sf), Settings(), merge=False)
     at = new_path(spark, "state")
     libraries.save_state(templates, at)
     return libraries.load_state(spark, at).select("template_id", "template", "count")
 
 
-@query()
+@query(f"SELECT template_id, template, count, is_error FROM ({_mined_stats(_RAW, _SEEN)})")
 def incremental_mining(spark, sf):
     """Two batches, one after the other, against one stored state."""
     from sawmill.streaming import incremental
 
-    settings, e, at = Settings(), stored(entries(spark, sf), "entries"), new_path(spark, "state")
+    settings, e, at = Settings(), stored(mining_entries(spark, sf), "entries"), new_path(spark, "state")
     middle = e.agg((F.max("seq") / 2).alias("m")).first().m
     incremental.advance(incremental.empty_state(spark), e.where(F.col("seq") <= middle), settings).write.parquet(f"{at}/v=0")
     second = incremental.advance(incremental.current_state(spark, at), e.where(F.col("seq") > middle), settings)
@@ -840,5 +924,5 @@ def stream_available_now(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Lines to templates with statistics, the most frequent first."""
-    rows, templates, _ = plans.mine(entries(spark, sf), overridden(Settings(), {}), merge=True)
+    rows, templates, _ = plans.mine(mining_entries(spark, sf), overridden(Settings(), {}), merge=True)
     return templates.select("template_id", "template", "count", "first_seen", "last_seen", "is_error", "main_level").orderBy(F.desc("count"), "template_id")
