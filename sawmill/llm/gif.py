@@ -30,12 +30,11 @@ class GifError(ValueError):
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """LZW codes of samples of ``bits`` bits, low bits first, of growing width; the table restarts when it is full."""
     clear, end = 1 << bits, (1 << bits) + 1
-    codes, table, new, last = [clear], {}, end + 1, -1
+    codes, table, new = [clear], {}, end + 1
     put, get = codes.append, table.get
-    for b in data:
-        if last < 0:
-            last = b
-            continue
+    samples = iter(data)
+    last = next(samples, -1)
+    for b in samples:
         key = last << 8 | b
         code = get(key)
         if code is not None:
@@ -86,54 +85,92 @@ def _or(out: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
     out += np.bincount(at, value, len(out)).astype(np.uint8)
 
 
+def _grown(codes: np.ndarray, end: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(samples, begin, length of each code) of the codes behind a clear code, while the table grows.
+
+    The entry that a code adds is that code's own samples and the one behind them, so every code is a literal or a copy of
+    samples further front: lengths and samples come by following those copies, twice as far in each step.  Only codes that
+    begin before ``most`` samples count; one beyond the table raises unless that many samples come before it.
+    """
+    n = len(codes)
+    par = codes - (end + 1)
+    bad = np.flatnonzero(par >= np.arange(n))
+    n = int(bad[0]) if len(bad) else n
+    codes, par = codes[:n], par[:n]
+    literal = par < 0
+    length, up = np.ones(n + 1, np.int64), np.append(np.where(literal, n, par), n)
+    length[n] = 0
+    while (up != n).any():
+        length, up = length + length[up], up[up]
+    length = length[:n]
+    begin = np.cumsum(length) - length
+    total = int(begin[-1] + length[-1]) if n else 0
+    if len(bad) and total < most:
+        raise GifError("a code beyond the table")
+    if total > most:
+        n = int(np.searchsorted(begin, most))
+        literal, par, length, begin, codes = literal[:n], par[:n], length[:n], begin[:n], codes[:n]
+        total = int(begin[-1] + length[-1]) if n else 0
+    back = np.where(literal, 0, begin[np.maximum(par, 0)] - begin).astype(np.int32)
+    source = np.arange(total, dtype=np.int32) + np.repeat(back, length)
+    value = np.zeros(total, np.uint8)
+    value[begin[literal]] = codes[literal]
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return value[source], begin, length
+        source = further
+
+
+def _full(codes: np.ndarray, end: int, grown: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Samples of codes that come once the table is full: literals and entries of the codes that made it."""
+    samples, begin, length = grown
+    literal, par = codes < end, np.maximum(codes - (end + 1), 0)
+    size = np.where(literal, 1, length[par] + 1)
+    at = np.cumsum(size) - size
+    out = samples[np.arange(int(size.sum())) + np.repeat(np.where(literal, 0, begin[par]) - at, size)]
+    out[at[literal]] = codes[literal]
+    return out
+
+
 def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
     """Samples of a code stream; it ends at the end code, after ``most`` samples or with the data."""
     clear, end = 1 << bits, (1 << bits) + 1
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
-    total, at, out, size = len(data) * 8, 0, [], 0
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    while at + bits + 1 <= total and size < most:
+    total, at, out, size, ended = len(data) * 8, 0, [], 0, False
+    while not ended and at + bits + 1 <= total and size < most:
         # codes up to the next clear code, whose widths are known beforehand
-        table, prev, seen = base.copy(), None, 0
-        add = table.append
-        done = False
-        while not done:
-            width = int(_widths(seen + 1, bits)[-1]) if seen < 4096 else 12
-            n = min(4096, (total - at) // width) if seen >= 4096 or width == 12 else min((1 << width) - (end + seen), (total - at) // width)
+        parts, seen, grown, done = [], 0, None, False
+        while not done and size < most:
+            width = min(end + seen, 4095).bit_length()
+            left = (total - at) // width
+            n = min(4096 if width == 12 else (1 << width) - (end + seen), left)
             if n <= 0:
-                return b"".join(out)[:most]
-            place = at + width * np.arange(n)
-            byte = place >> 3
-            codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7)) & ((1 << width) - 1)
-            stop = np.flatnonzero((codes == clear) | (codes == end))
-            if len(stop):
-                n, done = int(stop[0]), True
-                ended = codes[n] == end
-                at += width
-            at += width * n
-            seen += n
-            for code in codes[:n].tolist():
-                if prev is None:
-                    if code > end:
-                        raise GifError("a stream begins with an unknown code")
-                    word = table[code]
-                elif code < len(table):
-                    word = table[code]
-                    if len(table) < 4096:
-                        add(prev + word[:1])
-                elif code == len(table) and code < 4096:
-                    word = prev + prev[:1]
-                    add(word)
-                else:
-                    raise GifError("a code beyond the table")
-                out.append(word)
-                size += len(word)
-                prev = word
-            if done and ended:
-                return b"".join(out)[:most]
-            if size >= most and not done:
-                break
-    return b"".join(out)[:most]
+                done = ended = True
+                codes = np.zeros(0, np.int64)
+            else:
+                place = at + width * np.arange(n)
+                byte = place >> 3
+                codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7)) & ((1 << width) - 1)
+                stop = np.flatnonzero((codes == clear) | (codes == end))
+                if len(stop):
+                    n, done = int(stop[0]), True
+                    ended = bool(codes[n] == end)
+                    codes = codes[:n]
+                    at += width
+                at += width * n
+                seen += n
+            if grown is None:
+                parts.append(codes)
+                if not done and seen < 4096:
+                    continue
+                grown = _grown(np.concatenate(parts), end, most - size)
+                made = grown[0]
+            else:
+                made = _full(codes, end, grown)
+            out.append(made)
+            size += len(made)
+    return b"".join(x.tobytes() for x in out)[:most]
 
 
 @dataclass
@@ -246,9 +283,12 @@ def decode(data: bytes, keep_canvas: bool = True) -> Gif:
         y, x = min(top + h, height), min(left + w, width)
         part = samples[: max(0, y - top), : max(0, x - left)]
         area = canvas[top:y, left:x]
-        shown = part != transparent if transparent is not None else np.ones(part.shape, bool)
-        area[shown, :3] = colours[part[shown]]
-        area[shown, 3] = 255
+        drawn = np.column_stack([colours, np.full(256, 255, np.uint8)])[part]
+        if transparent is None:
+            area[...] = drawn
+        else:
+            shown = part != transparent
+            area[shown] = drawn[shown]
         gif.frames.append(Frame(left, top, w, h, delay, disposal, transparent, samples, colours, canvas.copy() if keep_canvas else canvas[top:y, left:x].copy(), start))
         start += delay
         if disposal == 2:
