@@ -726,3 +726,26 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         bare_out = stage(spark, bare, str(tmp_path))
         assert bare_out.count() == 0
+
+
+def test_lzw_with_a_table_that_stays_full():
+    """No clear code follows a full table; codes are checked against a plain decoder, also with an end at any sample."""
+    rng = np.random.default_rng(5)
+    clear, end, table, words, packed, at, prev = 256, 257, [bytes([i]) for i in range(256)] + [b"", b""], [], 256, 9, None
+    for seen in range(6000):
+        top = len(table) + (prev is not None and len(table) < 4096)
+        code = int(rng.integers(258, top)) if top > 258 and rng.random() < 0.7 else int(rng.integers(0, 256))
+        packed |= code << at
+        at += min(end + seen, 4095).bit_length()
+        word = table[code] if code < len(table) else prev + prev[:1]
+        if prev is not None and len(table) < 4096:
+            table.append(prev + word[:1])
+        words.append(word)
+        prev = word
+    packed |= end << at
+    data, plain = packed.to_bytes((at + 12 + 7) // 8, "little"), b"".join(words)
+    assert gif.lzw_decode(data, 8, 1 << 28) == plain
+    for most in (0, 1, 999, len(plain) - 1):
+        assert gif.lzw_decode(data, 8, most) == plain[:most]
+    with pytest.raises(gif.GifError):
+        gif.lzw_decode((256 | 300 << 9 | end << 18).to_bytes(4, "little"), 8, 100)
