@@ -75,7 +75,7 @@ def features(texts: list[bytes]) -> Features:
 
 def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of x (rows) between bounds; 0 for empty ranges."""
-    out = np.zeros((len(first) - 1, *x.shape[1:]), np.float32)
+    out = np.zeros((len(first) - 1, *x.shape[1:]), x.dtype)
     some = np.flatnonzero(np.diff(first) > 0)
     if len(some):
         out[some] = np.add.reduceat(x, first[:-1][some], axis=0)
@@ -101,7 +101,22 @@ class Model:
         return z, vx, s, linear + 0.5 * (s * s - q).sum(1)
 
     def score(self, x: Features) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.parts(x)[3], -30, 30).astype(np.float64)))
+        """In double precision and in a fixed order of additions for each text, so that a score doesn't depend on the texts
+        beside it: matrix products round differently for other numbers of rows."""
+        k, val = 1 << BITS, x.value.astype(np.float64)
+        z = np.clip((x.dense.astype(np.float64) - self.mean) / self.scale, -4, 4)
+        w, v, b = self.w.astype(np.float64), self.v.astype(np.float64), x.bucket
+        vx = v[b] * val[:, None]
+        sums = _sums(np.concatenate(((w[b] * val)[:, None], vx, vx * vx), axis=1), x.first)
+        linear, s, q = self.bias + sums[:, 0], sums[:, 1 : RANK + 1].copy(), sums[:, RANK + 1 :].copy()
+        for d in range(z.shape[1]):
+            linear += z[:, d] * w[k + d]
+            s += z[:, d, None] * v[k + d]
+            q += (z[:, d, None] * v[k + d]) ** 2
+        pairs = np.zeros(len(z))
+        for f in range(RANK):
+            pairs += s[:, f] * s[:, f] - q[:, f]
+        return 1 / (1 + np.exp(-np.clip(linear + 0.5 * pairs, -30, 30)))
 
 
 def fit(x: Features, y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.02, l2: float = 1e-5, seed: int = 7) -> Model:
