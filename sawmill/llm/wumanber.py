@@ -148,12 +148,13 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     and item_ids (of the benchmark items with an occurring window, as sorted strings).
 
     Null and empty texts have no words and no spans.  Items that are null, empty or without words match nothing; an item
-    whose id is null is named ''.  Repeated items and repeated rows count each by themselves.  No benchmark, no hits.
+    whose id is null is named ''.  Repeated items count once (they change no result), repeated rows each by
+    themselves.  No benchmark, no hits.
     Input columns named like an output are replaced.  The benchmark's bytes are counted first: a benchmark beyond
     ``pass_bytes`` is searched in several passes over the same batches, each for about half of that (items are dealt by hash;
     an item is never split).
     """
-    b = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
+    b = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null").distinct()
     size = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     passes = 1 if size <= pass_bytes else -(-2 * size // pass_bytes)
     fields = [
