@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, fm, gif, labelled_pages, licenses, omh, ordinal, packing, warc, wumanber
+from . import bpe, chat, crf, fm, gif, labelled_pages, licenses, omh, ordinal, packing, warc, wumanber
 from .storage import dropped, written
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.4
@@ -110,6 +110,15 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("row_id").alias("doc_id"), "class_id")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.from_tiktoken(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    digest = lambda c: F.sha2(c, 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(bpe.decode(F.col("ids"), vocabulary)).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_gif_media": op1_gif_media,
     "op2_license_digest": op2_license_digest,
@@ -121,6 +130,7 @@ QUERIES = {
     "op8_wu_manber": op8_wu_manber,
     "op9_chat_round_trip": op9_chat_round_trip,
     "op10_order_minhash": op10_order_minhash,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
