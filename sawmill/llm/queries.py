@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crf, fm, gif, labelled_pages, licenses, omh, ordinal, packing, warc, wumanber
+from . import bpe, chat, crf, fm, gif, hardneg, labelled_pages, licenses, omh, ordinal, packing, pq, warc, wumanber
 from .storage import dropped, written
 
 QUALITY_CUT, TOXIC_CUT = 0.7, 0.4
@@ -119,6 +119,17 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(bpe.decode(F.col("ids"), vocabulary)).alias("decoded_sha256"))
 
 
+def op12_l2ap_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pq.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_gif_media": op1_gif_media,
     "op2_license_digest": op2_license_digest,
@@ -131,6 +142,8 @@ QUERIES = {
     "op9_chat_round_trip": op9_chat_round_trip,
     "op10_order_minhash": op10_order_minhash,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_l2ap_negatives": op12_l2ap_negatives,
+    "op13_gnat_codes": op13_gnat_codes,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -188,7 +201,48 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_NEGATIVES = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5
+"""
+
+
+def _assigned_sql(k: int) -> str:
+    """Each part's nearest entry of codebook k: least squared distance, then least number."""
+    return f"""a{k} AS MATERIALIZED (SELECT vec_id, p, min(CAST(list_dot_product(x, x) + list_dot_product(c, c) - 2 * list_dot_product(x, c) AS BIGINT) * 64 + e) AS m
+      FROM parts JOIN c{k} USING (p) GROUP BY vec_id, p)"""
+
+
+def _refined_sql(k: int) -> str:
+    return f"""c{k} AS MATERIALIZED (SELECT o.p, o.e, coalesce(n.c, o.c) AS c FROM c{k - 1} o LEFT JOIN (
+      SELECT p, e, list(c ORDER BY i) AS c FROM (SELECT p, m % 64 AS e, i, floor(sum(x[i]) / count(*)) AS c
+        FROM a{k - 1} JOIN parts USING (vec_id, p), (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM parts))) AS i) GROUP BY ALL) GROUP BY p, e) n
+      ON n.p = o.p AND n.e = o.e)"""
+
+
+_CODES = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (SELECT vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM k, (SELECT unnest(range(16)) AS p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 64),
+{_assigned_sql(0)}, {_refined_sql(1)}, {_assigned_sql(1)}, {_refined_sql(2)}, {_assigned_sql(2)},
+coded AS (SELECT vec_id, string_agg(lpad(lower(hex(m % 64)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256
+          FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS i FROM c2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN k USING (vec_id), books
+"""
+
 SQL = {
+    "op12_l2ap_negatives": _NEGATIVES,
+    "op13_gnat_codes": _CODES,
     "op2_license_digest": _license_sql(),
     "op5_merkle_fixity": _FIXITY,
     "op9_chat_round_trip": _CHAT,
