@@ -11,11 +11,13 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sawmill.config import Section
 from sawmill.functions.masking import WILDCARD
+from sawmill.plans.stored import dropped, stored
 
 SOURCES = 100
 
@@ -54,49 +56,82 @@ def leaf_routing(lists: DataFrame, depth: int = 4, max_child: int = 100) -> Data
     return out
 
 
+class Fit:
+    """The templates of one leaf, in order: token lists of one length as codes."""
+
+    def __init__(self, n: int, sim_th: float):
+        self.n, self.need, self.used = n, min_required(n, sim_th), 0
+        self.codes: dict[str, int] = {WILDCARD: 0}
+        self.table = np.zeros((16, n), np.int64)
+
+    def code(self, tokens: list[str]) -> np.ndarray:
+        return np.array([self.codes.setdefault(t, len(self.codes)) for t in tokens], np.int64)
+
+    def find(self, x: np.ndarray) -> int | None:
+        """The first template that agrees in enough positions."""
+        known = self.table[: self.used]
+        hit = np.flatnonzero(((known == x) | (known == 0) | (x == 0)).sum(1) >= max(self.need, 1)) if self.n else ()
+        return int(hit[0]) if len(hit) else 0 if self.need <= 0 and self.used else None
+
+    def add(self, x: np.ndarray) -> int:
+        if self.used == len(self.table):
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        self.table[self.used] = x
+        self.used += 1
+        return self.used - 1
+
+    def first_of(self, lists: list[list[str]]) -> np.ndarray:
+        """``find`` for many lists at once, which become no templates; -1: none."""
+        known, out = self.table[: self.used], np.full(len(lists), -1)
+        x = np.array([[self.codes.get(t, -1) for t in ts] for ts in lists], np.int64).reshape(len(lists), self.n)
+        step = max(1, (8 << 20) // max(1, self.used))
+        for at in range(0, len(lists), step):
+            part = x[at : at + step]
+            agree = np.zeros((len(part), self.used), np.uint16)
+            for p in range(self.n):
+                agree += (part[:, p, None] == known[None, :, p]) | (known[None, :, p] == 0) | (part[:, p, None] == 0)
+            hit = agree >= max(self.need, 1)
+            out[at : at + step] = np.where(hit.any(1), hit.argmax(1), -1) if self.used else -1
+        return np.where(out < 0, 0, out) if self.need <= 0 and self.used else out
+
+
 def first_fit(tokens: list[list[str]], sim_th: float, seeds: list[list[str]] | None = None) -> list[int]:
     """For equally long lists in order: the index of the first template that takes each (templates: ``seeds``, then lists
     that none took, as len(seeds), len(seeds)+1, ...)."""
-    seeds = seeds or []
-    n = len(tokens[0]) if tokens else 0
-    codes: dict[str, int] = {WILDCARD: 0}
-    code = lambda ts: [codes.setdefault(t, len(codes)) for t in ts]
-    table = np.zeros((max(16, 2 * len(seeds)), n), np.int64)
-    used, need, out = 0, min_required(n, sim_th), []
-    for s in seeds:
-        table[used], used = code(s), used + 1
+    fit = Fit(len(tokens[0]) if tokens else 0, sim_th)
+    for s in seeds or [] if tokens else []:
+        fit.add(fit.code(s))
+    out = []
     for ts in tokens:
-        x = np.array(code(ts), np.int64)
-        known = table[:used]
-        agree = ((known == x) | (known == 0) | (x == 0)).sum(1)
-        hit = np.flatnonzero(agree >= max(need, 1)) if n else np.zeros(0, int)
-        if not len(hit) and need <= 0 and used:
-            hit = np.zeros(1, int)
-        if len(hit):
-            out.append(int(hit[0]))
-            continue
-        if used == len(table):
-            table = np.concatenate((table, np.zeros_like(table)))
-        table[used] = x
-        out.append(used)
-        used += 1
+        x = fit.code(ts)
+        found = fit.find(x)
+        out.append(fit.add(x) if found is None else found)
     return out
 
 
+_SOLVED = "leaf string, at bigint, line string, tokens array<string>, seed boolean, template string"
+
+
 def _kernel(sim_th: float):
+    """Entries of one leaf with their templates; a seed is its own."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first_seq", kind="stable")
-        got = first_fit([list(t) for t in pdf["tokens"]], sim_th)
-        lead: dict[int, int] = {}
+        pdf = pdf.sort_values("at", kind="stable")
+        pdf = pd.concat([pdf[pdf["seed"]], pdf[~pdf["seed"]]])
+        n = int(pdf["seed"].sum())
+        lines = pdf["line"].to_numpy()
+        got = first_fit([list(t) for t in pdf["tokens"].iloc[n:]], sim_th, [list(t) for t in pdf["tokens"].iloc[:n]])
+        lead = dict(enumerate(range(n)))
         for i, g in enumerate(got):
-            lead.setdefault(g, i)
-        return pd.DataFrame({"line": pdf["line"], "template": pdf["line"].to_numpy()[[lead[g] for g in got]] if got else pdf["line"]})
+            lead.setdefault(g, n + i)
+        pdf["template"] = np.concatenate((lines[:n], lines[[lead[g] for g in got]] if got else lines[:0]))
+        return pdf[["leaf", "at", "line", "tokens", "seed", "template"]]
 
     return run
 
 
 class _Trie:
-    """The sequential miner of one token count, for lists that hold literal wildcards."""
+    """The sequential miner of one token count, for lists whose leading tokens hold literal wildcards."""
 
     def __init__(self, depth: int, max_child: int, sim_th: float):
         self.levels, self.most, self.sim, self.root = depth - 2, max_child, sim_th, {}
@@ -115,41 +150,137 @@ class _Trie:
                 at = kids.setdefault(WILDCARD, {})
             else:
                 return None
-        return at.setdefault("templates", [])
+        if "fit" not in at:
+            at["fit"], at["names"] = Fit(len(tokens), self.sim), []
+        return at
+
+    def insert(self, tokens: list[str], line: str, live: bool = True) -> None:
+        """A template; one that isn't live only shapes the routing."""
+        leaf = self.leaf(tokens, True)
+        if live:
+            leaf["fit"].add(leaf["fit"].code(tokens))
+            leaf["names"].append(line)
 
     def add(self, tokens: list[str], line: str) -> str:
-        found = self.leaf(tokens, False)
-        if found:
-            need = max(1, min_required(len(tokens), self.sim))
-            for its, name in found:
-                if sum(a == b or WILDCARD in (a, b) for a, b in zip(its, tokens, strict=True)) >= need:
-                    return name
-            if min_required(len(tokens), self.sim) <= 0:
-                return found[0][1]
-        self.leaf(tokens, True).append((tokens, line))
+        leaf = self.leaf(tokens, False)
+        found = leaf["fit"].find(leaf["fit"].code(tokens)) if leaf else None
+        if found is not None:
+            return leaf["names"][found]
+        self.insert(tokens, line)
         return line
 
 
-def assign_templates(lines: DataFrame, options: Section) -> DataFrame:
-    """(line, template): the joined tokens of each distinct list and of the list that created its template.
+#: A leaf of more entries is mined in rounds of about BLOCK of its entries; templates that a pass over the rest compares with.
+HOT, BLOCK, COMPARED = 20_000, 4096, 100_000
+
 
-    Token counts in which some list has a literal wildcard are mined in order by one task each, as a wildcard child may
-    then exist before a node is full.
+def assign_templates(lines: DataFrame, options: Section, seeds: DataFrame | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(line, template): the joined tokens of each distinct list of ``lines`` (seq, tokens) and of the template that takes it.
+
+    ``seeds`` (seq, tokens, gone) are templates from before, with seqs below all lines'; those that are gone (merged into
+    others) only keep their place in the routing.  Leaves are mined a task each, large ones in rounds (``_rounds``).  Token
+    counts in which a leading token is a literal wildcard are mined in order by one task each, as a wildcard child may then
+    exist before a node is full.  The result is a stored table.
     """
-    lists = distinct_lists(lines)
-    odd = lists.where(F.array_contains("tokens", WILDCARD)).select(F.size("tokens").alias("n")).distinct()
-    routed = leaf_routing(lists, options.depth, options.max_child)
+    levels = max(0, options.depth - 2)
+    rows = lines.select("seq", "tokens", F.lit(False).alias("seed"), F.lit(True).alias("live"))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.select("seq", "tokens", F.lit(True).alias("seed"), (~F.col("gone")).alias("live")))
+    when = lambda test: F.min(F.when(test, F.col("seq")))
+    lists = rows.groupBy(F.array_join("tokens", " ").alias("line")).agg(
+        F.min("seq").alias("first_seq"), F.first("tokens").alias("tokens"), when(~F.col("seed")).alias("own"), when(F.col("seed") & F.col("live")).alias("was"), F.bool_or("seed").alias("seeded")
+    )
+    lists = stored(lists.withColumn("n", F.size("tokens")), "lists")
+    odd = lists.where(F.array_contains(F.slice("tokens", 1, levels), WILDCARD)).select("n").distinct() if levels else lists.select("n").limit(0)
+    routed = leaf_routing(lists.join(odd, "n", "left_anti"), options.depth, options.max_child)
     keys = [c for c in routed.columns if c == "n" or (c[0] == "r" and c[1:].isdigit())]
-    schema = "line string, template string"
-    plain = routed.join(odd, "n", "left_anti").groupBy(*keys).applyInPandas(_kernel(options.sim_th), schema)
+    kinds = F.array(F.struct(F.lit(True).alias("seed"), F.col("was").alias("at")), F.struct(F.lit(False).alias("seed"), F.col("own").alias("at")))
+    entries = routed.select(F.to_json(F.struct(*keys)).alias("leaf"), "line", "tokens", F.inline(kinds)).where("at is not null")
+    entries = stored(entries, "entries")
+    large = entries.groupBy("leaf").count().where(F.col("count") > hot).select("leaf")
+    pairs = lambda df: df.where(~F.col("seed")).select("line", "template")
+    is_large = not large.isEmpty()
+    small = entries.join(large, "leaf", "left_anti") if is_large else entries
+    out = pairs(small.groupBy("leaf").applyInPandas(_kernel(options.sim_th), _SOLVED))
 
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = _Trie(options.depth, options.max_child, options.sim_th)
-        pdf = pdf.sort_values("first_seq", kind="stable")
-        return pd.DataFrame({"line": pdf["line"], "template": [trie.add(list(t), x) for t, x in zip(pdf["tokens"], pdf["line"], strict=True)]})
+        for x in pdf[pdf["seeded"]].sort_values("first_seq", kind="stable").itertuples():
+            trie.insert(list(x.tokens), x.line, not np.isnan(x.was))
+        own = pdf[pdf["own"].notna()].sort_values("own", kind="stable")
+        return pd.DataFrame({"line": own["line"], "template": [trie.add(list(t), x) for t, x in zip(own["tokens"], own["line"], strict=True)]})
+
+    out = out.unionByName(lists.join(odd, "n", "left_semi").withColumns({c: F.col(c).cast("double") for c in ("own", "was")}).groupBy("n").applyInPandas(in_order, "line string, template string"))
+    rounds = _rounds(entries.join(large, "leaf", "left_semi"), options.sim_th, block) if is_large else []
+    for part in rounds:
+        out = out.unionByName(pairs(part))
+    assigned = stored(out, "assigned")
+    dropped(lists, entries, *rounds)
+    return assigned
+
+
+def _rounds(entries: DataFrame, sim_th: float, block: int) -> list[DataFrame]:
+    """Stored tables (leaf, at, line, tokens, seed, template) of the entries of large leaves.
+
+    The lexicographically first greedy choice in rounds: the next entries of each leaf, about ``block``, are mined in order
+    by one task; their templates stand before all later ones, so the rest of the leaf is compared with them in parallel, and
+    what one takes is settled.  What none takes goes to the next round.
+    """
+    out: list[DataFrame] = []
+    left = stored(entries, "left")
+    shares = [2.0**-k for k in range(41)]
+    while not left.isEmpty():
+        cuts = left.groupBy("leaf").agg(F.count("*").alias("n"), F.percentile_approx("at", F.array(*[F.lit(x) for x in shares]), F.lit(1 << 16)).alias("q"))
+        step = F.least(F.lit(40), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(float(block)))))).cast("int")
+        cuts = cuts.select("leaf", F.get("q", step).alias("cut"))
+        marked = left.join(cuts, "leaf")
+        solved = stored(marked.where("at <= cut").drop("cut").groupBy("leaf").applyInPandas(_kernel(sim_th), _SOLVED), "solved")
+        made = solved.where(F.col("seed") | (F.col("line") == F.col("template"))).select("leaf", "at", "line", "tokens", "seed")
+        passes = -(-made.count() // COMPARED)
+        rest = marked.where("at > cut").drop("cut")
+        taken = None
+        for k in range(passes):
+            mine = lambda df, k=k: df if passes == 1 else df.where(F.pmod(F.xxhash64("leaf"), F.lit(passes)) == k)
+            part = _taken(mine(rest), mine(made), sim_th)
+            taken = part if taken is None else taken.unionByName(part)
+        compared = stored(taken, "compared")
+        later = stored(compared.where("template is null").drop("template"), "left")
+        settled = stored(compared.where("template is not null"), "settled")
+        dropped(left, compared)
+        out, left = [*out, solved, settled], later
+    dropped(left)
+    return out
+
+
+def _taken(rest: DataFrame, made: DataFrame, sim_th: float) -> DataFrame:
+    """``rest`` with the first of its leaf's templates ``made`` (at most COMPARED) that takes each, or null; seeds are taken
+    by none."""
+    by_leaf: dict[str, list] = {}
+    for r in made.collect():
+        by_leaf.setdefault(r.leaf, []).append((not r.seed, r.at, r.line, list(r.tokens)))
+    held = rest.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in by_leaf.items()})
+
+    def run(batches):
+        fits: dict[str, tuple[Fit, list[str]]] = {}
+        for batch in batches:
+            pdf = batch.to_pandas()
+            pdf["template"] = None
+            for leaf, at in pdf[~pdf["seed"]].groupby("leaf").groups.items():
+                if leaf not in fits:
+                    templates = held.value.get(leaf, [])
+                    fit = Fit(len(templates[0][3]) if templates else 0, sim_th)
+                    for t in templates:
+                        fit.add(fit.code(t[3]))
+                    fits[leaf] = fit, [t[2] for t in templates]
+                fit, names = fits[leaf]
+                found = fit.first_of([list(t) for t in pdf.loc[at, "tokens"]]) if names else np.full(len(at), -1)
+                pdf.loc[at, "template"] = [names[g] if g >= 0 else None for g in found]
+            yield pa.RecordBatch.from_pandas(pdf[["leaf", "at", "line", "tokens", "seed", "template"]], schema=_ARROW, preserve_index=False)
+
+    return rest.select("leaf", "at", "line", "tokens", "seed").mapInArrow(run, _SOLVED)
+
 
-    literal = lists.withColumn("n", F.size("tokens")).join(odd, "n", "left_semi").groupBy("n").applyInPandas(in_order, schema)
-    return plain.unionByName(literal)
+_ARROW = pa.schema([("leaf", pa.string()), ("at", pa.int64()), ("line", pa.string()), ("tokens", pa.list_(pa.string())), ("seed", pa.bool_()), ("template", pa.string())])
 
 
 def template_ids(lines: DataFrame, assigned: DataFrame, first: int = 1) -> DataFrame:
@@ -298,14 +429,14 @@ class Merger:
         return {i: root(i) for i in self.ids}
 
 
-def merge_templates(templates: DataFrame, most: int = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_templates(templates: DataFrame, last_id: int | None = None, most: int = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merged templates (template_id, template, tokens, rank), lineage (raw_id, template_id) and events (template_id,
     related_template_id, kind, step).  Runs on the driver over the table of templates, whose size is checked first."""
     spark = templates.sparkSession
     ordered = templates.select("template_id", "tokens").orderBy("template_id").limit(most + 1).collect()
     if len(ordered) > most:
         raise ValueError(f"more than {most} templates; raise sim_th's generality or the masks before merging")
-    merger = Merger([(r.template_id, list(r.tokens)) for r in ordered])
+    merger = Merger([(r.template_id, list(r.tokens)) for r in ordered], last_id)
     kept = merger.run()
     merged = spark.createDataFrame([(i, " ".join(t), t, k) for k, (i, t) in enumerate(kept)], "template_id string, template string, tokens array<string>, rank int")
     lineage = spark.createDataFrame(list(merger.lineage().items()), "raw_id string, template_id string")
@@ -313,9 +444,11 @@ def merge_templates(templates: DataFrame, most: int = 2_000_000) -> tuple[DataFr
     return merged, lineage, events
 
 
-def merged_rows(rows: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Assignments under their final ids."""
-    return rows.withColumnRenamed("template_id", "raw_id").join(lineage, "raw_id").drop("raw_id")
+def merged_rows(rows: DataFrame, lineage: DataFrame, how: str = "inner") -> DataFrame:
+    """Assignments under their final ids; with ``how="left"`` an id without a lineage stays."""
+    final = lineage.withColumnRenamed("template_id", "_final")
+    joined = rows.withColumnRenamed("template_id", "raw_id").join(final, "raw_id", how)
+    return joined.withColumn("template_id", F.coalesce("_final", "raw_id")).drop("raw_id", "_final")
 
 
 def compress(templates: DataFrame, max_templates: int, rare_count: int) -> DataFrame:

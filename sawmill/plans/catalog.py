@@ -901,10 +901,10 @@ def incremental_mining(spark, sf):
     """Two batches, one after the other, against one stored state."""
     from sawmill.streaming import incremental
 
-    settings, e, at = Settings(), stored(mining_entries(spark, sf), "entries"), new_path(spark, "state")
+    settings, e = Settings(), stored(mining_entries(spark, sf), "entries")
     middle = e.agg((F.max("seq") / 2).alias("m")).first().m
-    incremental.advance(incremental.empty_state(spark), e.where(F.col("seq") <= middle), settings).write.parquet(f"{at}/v=0")
-    second = incremental.advance(incremental.current_state(spark, at), e.where(F.col("seq") > middle), settings)
+    first = stored(incremental.advance(incremental.empty_state(spark), e.where(F.col("seq") <= middle), settings), "state")
+    second = incremental.advance(first, e.where(F.col("seq") > middle), settings)
     return second.select("template_id", "template", "count", "is_error")
 
 

@@ -1,7 +1,7 @@
-"""Mining as a stream: each micro-batch is matched against the templates so far, and the state tables grow.
+"""Mining as a stream: each micro-batch is matched against the templates so far, and the state grows by a version.
 
-State lives in Parquet under one folder, a directory per version; the version of a batch is its number, so a batch that
-runs again after a failure replaces its own version and nothing is counted twice.
+The state is a ``StateStore``; the name of a version's batch is the micro-batch's number, so a batch that runs again after a
+failure adds nothing twice.
 """
 
 from __future__ import annotations
@@ -11,84 +11,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sawmill.config import Settings
-from sawmill.operators import mining
-from sawmill.plans.analyze import masked_lines
-from sawmill.plans.stored import stored
+from sawmill.plans.analyze import advance_state, mine_batch
 from sawmill.sources.lines import parsed
-
-STATE = "template_id string, template string, tokens array<string>, count bigint, first_seen timestamp_ntz, last_seen timestamp_ntz, level_counts map<string,bigint>, sources array<string>, is_error boolean"
-
-
-def seeded(lines: DataFrame, state: DataFrame, settings: Settings) -> DataFrame:
-    """(line, template) where the state's templates stand before the batch's own in every leaf."""
-    old = state.select((F.row_number().over(_order()) - F.lit(1 << 62)).alias("seq"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit("INFO").alias("level"), F.lit("").alias("source"), "tokens")
-    return mining.assign_templates(lines.select("seq", "ts", "level", "source", "tokens").unionByName(old), settings.drain)
-
-
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("template_id")
-
-
-def merged_levels(a, b):
-    keys = F.array_union(F.map_keys(a), F.map_keys(b))
-    at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: (at(a, k) + at(b, k)).cast("bigint")))
+from sawmill.sources.state import TEMPLATES, StateStore, merged_templates
 
 
 def advance(state: DataFrame, lines: DataFrame, settings: Settings) -> DataFrame:
-    """The state after a batch of parsed lines (seq, ts, level, source, message).  ``state`` is a stored table: it is read
-    several times."""
-    lines = stored(masked_lines(lines, settings).select("seq", "ts", "level", "source", "tokens"), "lines")
-    assigned = stored(seeded(lines, state, settings), "assigned")
-    last = state.agg(F.coalesce(F.max(F.substring("template_id", 2, 9).cast("int")), F.lit(0)).alias("n")).first().n
-    fresh = mining.template_ids(lines, assigned.join(state.select("template"), "template", "left_anti"), last + 1)
-    ids = state.select("template_id", "template", "tokens").unionByName(fresh.select("template_id", "template", "tokens"))
-    rows = mining.assignments(lines, assigned, ids)
-    batch = ids.join(mining.template_stats(rows), "template_id").drop("main_level")
-    old = state.select("template_id", *[F.col(c).alias(f"o_{c}") for c in ("template", "tokens", "count", "first_seen", "last_seen", "level_counts", "sources", "is_error")])
-    j = batch.join(old, "template_id", "full")
-    none = F.create_map().cast("map<string,bigint>")
-    sources = F.slice(F.array_union(F.coalesce("o_sources", F.array().cast("array<string>")), F.coalesce("sources", F.array().cast("array<string>"))), 1, mining.SOURCES)
-    return j.select(
-        "template_id", F.coalesce("o_template", "template").alias("template"), F.coalesce("o_tokens", "tokens").alias("tokens"), (F.coalesce("o_count", F.lit(0)) + F.coalesce("count", F.lit(0))).alias("count"),
-        F.least("o_first_seen", "first_seen").alias("first_seen"), F.greatest("o_last_seen", "last_seen").alias("last_seen"),
-        merged_levels(F.coalesce("o_level_counts", none), F.coalesce("level_counts", none)).alias("level_counts"), sources.alias("sources"),
-        (F.coalesce("o_is_error", F.lit(False)) | F.coalesce("is_error", F.lit(False))).alias("is_error"),
-    )
+    """The whole state (``TEMPLATES``) after a batch of parsed lines (seq, ts, level, source, message), without merging.
+    ``state`` is a stored table: it is read several times."""
+    last = state.agg(F.coalesce(F.max(F.substring("template_id", 2, 18).cast("bigint")), F.lit(0)).alias("n")).first().n
+    mined = mine_batch(lines, settings, False, state, last)
+    columns = [c.split()[0] for c in TEMPLATES.split(", ")]
+    both = state.select(*columns, F.lit(0).cast("bigint").alias("version")).unionByName(mined.increments.select(*columns, F.lit(1).cast("bigint").alias("version")))
+    return merged_templates(both)
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], STATE)
+    return spark.createDataFrame([], TEMPLATES)
 
 
-def state_versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    done = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n))
+def current_state(spark: SparkSession, path: str) -> DataFrame:
+    """The templates of the newest version of a stored state."""
+    return StateStore(spark, path).templates()
 
 
-def current_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    found = [v for v in state_versions(spark, path) if before is None or v < before]
-    return spark.read.schema(STATE).parquet(f"{path}/v={found[-1]}") if found else empty_state(spark)
+def numbered(df: DataFrame, path_col: str = "path", position_col: str = "position") -> DataFrame:
+    """``df`` with seq, which follows paths and positions: files are numbered (a row a file), never lines."""
+    from pyspark.sql import Window
 
+    ends = df.groupBy(path_col).agg((F.max(position_col) + 1).alias("_size"))
+    before = Window.orderBy(path_col).rowsBetween(Window.unboundedPreceding, -1)
+    bases = ends.select(path_col, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    return df.join(bases, path_col).withColumn("seq", (F.col("_base") + F.col(position_col)).cast("bigint")).drop("_base")
 
-def mine_stream(lines: DataFrame, settings: Settings, state_path: str, checkpoint: str, year: int, seq_cols: tuple[str, ...] = ("path", "position"), available_now: bool = True) -> StreamingQuery:
-    """Starts mining a stream of lines (``value`` and the columns that order them)."""
 
-    def batch(df: DataFrame, number: int) -> None:
-        from pyspark.sql import Window
+def mine_stream(lines: DataFrame, settings: Settings, state_path: str, checkpoint: str, year: int, available_now: bool = True, merge: bool = False) -> StreamingQuery:
+    """Starts mining a stream of lines (path, position, value)."""
 
-        spark = df.sparkSession
-        ordered = df.withColumn("seq", F.row_number().over(Window.orderBy(*seq_cols)).cast("bigint")).select("seq", "value")
-        entries = parsed(ordered, settings.input, year)
-        advance(current_state(spark, state_path, number), entries, settings).write.mode("overwrite").parquet(f"{state_path}/v={number}")
+    def batch(df: DataFrame, number: int) -> None:
+        if df.isEmpty():
+            return
+        store = StateStore(df.sparkSession, state_path)
+        entries = parsed(numbered(df).select("seq", "value"), settings.input, year)
+        advance_state(store, entries, settings, batch=f"stream-{number}", merge=merge)
+        store.expire()
 
     writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
