@@ -34,7 +34,9 @@ def _arguments() -> argparse.ArgumentParser:
         c.add_argument("--similarity", type=float)
         c.add_argument("--top", type=int)
         c.add_argument("--tag")
-        c.add_argument("--state")
+        c.add_argument("--state", help="folder of the state; one of another engine's .json files is taken over into it")
+        if name != "stream":
+            c.add_argument("-i", "--incremental", action="store_true", help="go on from the state, at the offsets of the files")
     c = sub.add_parser("diff")
     c.add_argument("old")
     c.add_argument("new")
@@ -90,10 +92,16 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     over = {"drain.depth": args.depth, "drain.st": args.similarity, "drain.sim_th": args.similarity, "output.top_n": args.top, "output.format": args.format, "output.output_dir": args.output_dir}
     settings = overridden(load_settings(args.config), over)
-    raw = lines.from_iterable(spark, sys.stdin) if args.command == "stream" else lines.scan_lines(spark, args.files)
-    a = plans.analyze(lines.parsed(raw, settings.input, year), settings, libraries.load_baseline(spark, args.baseline), args.tag)
-    if args.state or args.command == "save-state":
-        libraries.save_state(a.templates, args.state or settings.incremental.state_file.removesuffix(".json"))
+    baseline, state = libraries.load_baseline(spark, args.baseline), args.state or settings.incremental.state_file
+    if args.command == "stream":
+        a = plans.analyze(lines.parsed(lines.from_iterable(spark, sys.stdin), settings.input, year), settings, baseline, args.tag)
+    elif args.incremental or args.state or args.command == "save-state":
+        a = plans.analyze_incremental(spark, args.files, plans.state_folder(spark, state, args.incremental), settings, year, baseline, args.tag)
+    else:
+        a = plans.analyze(lines.parsed(lines.scan_lines(spark, args.files), settings.input, year), settings, baseline, args.tag)
+    if args.command == "save-state":
+        print(f"{a.total_logs} lines, {a.templates.count()} templates, state: {state.removesuffix('.json')}")
+        return 0
     report, fmt, folder = _report(a, settings, spark), settings.output.format, settings.output.output_dir
     if fmt in ("terminal", "all"):
         print(reports.text_report(report, settings.output.top_n))

@@ -15,6 +15,7 @@ from sawmill.functions.parsing import sealed
 from sawmill.operators import alerts, anomaly, clustering, correlate, mining, tags, timeseries
 from sawmill.plans.stored import dropped, stored
 from sawmill.sources.lines import parsed
+from sawmill.sources.libraries import text_of_file
 from sawmill.sources.state import StateStore
 
 
@@ -204,6 +205,20 @@ def advance_state(store: StateStore, entries: DataFrame, settings: Settings, off
     return mined, made
 
 
+def state_folder(spark: SparkSession, path: str, resume: bool = True) -> str:
+    """The folder of the state that ``path`` names.  A .json path stands for the folder beside it; a state that another
+    engine saved there is taken over if the folder has none.  Without ``resume`` what the folder has is emptied by a new
+    version."""
+    folder = path.removesuffix(".json")
+    store = StateStore(spark, folder)
+    if not resume:
+        if store.versions():
+            store.reset()
+    elif path.endswith(".json") and not store.versions():
+        store.load_json(text_of_file(spark, path) or "")
+    return folder
+
+
 def analyze_incremental(spark: SparkSession, paths: list[str], state: str, settings: Settings | None = None, year: int | None = None, baseline: DataFrame | None = None, tag: str | None = None, unfinished: str = "read") -> Analysis:
     """Goes on from a stored state: reads what the files have since its offsets, mines it against its templates, publishes
     the next version, and analyses all templates with their whole statistics; series, rows and totals are the new lines'."""

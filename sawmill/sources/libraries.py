@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LIBRARY = "template_id string, template string, count bigint, level_counts map<string,bigint>, is_error boolean, first_seen string, last_seen string, rank int"
 
 
-def _text(spark: SparkSession, path: str) -> str | None:
+def text_of_file(spark: SparkSession, path: str) -> str | None:
     """The whole file through Spark's readers, or None if it isn't there."""
     try:
         rows = spark.read.text(path, wholetext=True).head(1)
@@ -44,8 +44,16 @@ def library(spark: SparkSession, data: Any) -> DataFrame:
 
 
 def load_library(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON library; a missing or broken file raises."""
-    text = _text(spark, path)
+    """A JSON library, or the newest version of a stored state's folder; a missing or broken file raises."""
+    if not path.endswith(".json"):
+        from sawmill.sources.state import StateStore
+
+        store = StateStore(spark, path)
+        if store.versions():
+            t = store.templates()
+            rank = F.row_number().over(Window.orderBy("template_id")) - 1
+            return t.select("template_id", "template", "count", "level_counts", "is_error", F.col("first_seen").cast("string"), F.col("last_seen").cast("string"), rank.alias("rank"))
+    text = text_of_file(spark, path)
     if text is None:
         raise FileNotFoundError(path)
     return library(spark, json.loads(text))
@@ -56,7 +64,7 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
     if not path:
         return None
     try:
-        text = _text(spark, path)
+        text = text_of_file(spark, path)
         return None if text is None else library(spark, json.loads(text)).select("template_id", "template")
     except ValueError:
         return None
@@ -64,9 +72,11 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
 
 def is_state_file(spark: SparkSession, path: str) -> bool:
     if not path.endswith(".json"):
-        return False
+        from sawmill.sources.state import StateStore
+
+        return bool(StateStore(spark, path).versions())
     try:
-        data = json.loads(_text(spark, path) or "")
+        data = json.loads(text_of_file(spark, path) or "")
     except ValueError:
         return False
     return isinstance(data, dict) and {"drain_state", "version"} <= set(data)
@@ -95,7 +105,7 @@ def load_correlation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     """(pairs, counts) of Parquet tables, or of a JSON state with keys 'A|B'; None if missing or broken."""
     if path.endswith(".json"):
         try:
-            data = json.loads(_text(spark, path) or "")
+            data = json.loads(text_of_file(spark, path) or "")
             pairs = []
             for k, v in (data.get("co_occurrence") or {}).items():
                 a, _, b = k.partition("|")

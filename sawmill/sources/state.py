@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sawmill.operators.mining import SOURCES
 from sawmill.sources.growing import OFFSETS
-from sawmill.sources.libraries import _text
+from sawmill.sources.libraries import text_of_file
 
 #: n: the number of tokens, by which batches read; gone: merged away, and kept because it still shapes the routing.
 TEMPLATES = (
@@ -79,7 +79,7 @@ class StateStore:
         found = self.versions()
         if version is None and not found:
             return {"version": 0, "counter": 0, "batch": None, "tables": {k: [] for k in _KINDS}}
-        text = _text(self.spark, f"{self.path}/manifests/v{found[-1] if version is None else version:012d}.json")
+        text = text_of_file(self.spark, f"{self.path}/manifests/v{found[-1] if version is None else version:012d}.json")
         return json.loads(text)
 
     def _read(self, table: str, manifest: dict | None = None) -> DataFrame:
@@ -157,6 +157,12 @@ class StateStore:
         self._publish(made)
         return made
 
+    def reset(self) -> dict:
+        """A version of no rows, whose ids start over."""
+        made = {"version": self.manifest()["version"] + 1, "counter": 0, "batch": None, "tables": {k: [] for k in _KINDS}}
+        self._publish(made)
+        return made
+
     def expire(self, keep: int = 2) -> int:
         """Deletes manifests but the newest ``keep``, and the folders that none of those name; the number of folders deleted.
         Not to be run while a batch is being written: its folders are in no manifest yet."""
