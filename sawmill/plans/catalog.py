@@ -12,7 +12,7 @@ from sawmill.functions import masking, parsing
 from sawmill.operators import alerts, anomaly, clustering, correlate, diff, mining, tags, timeseries
 from sawmill.plans import analyze as plans
 from sawmill.plans import reports
-from sawmill.plans.stored import new_path, stored
+from sawmill.plans.stored import dropped, new_path, stored
 from sawmill.sources import lines as line_source
 
 YEAR = 2024
@@ -908,6 +908,48 @@ def incremental_mining(spark, sf):
     return second.select("template_id", "template", "count", "is_error")
 
 
+# Files of lines by user, as they are first and then: appended to, cut (the last eighth alone), replaced, left alone.
+_GROWN = f"(SELECT event_id, user_id % 4 AS c, concat('u', user_id % 40, '.log') AS name, {_FORMATS['text'].format(**_DUCK_TIMES)} AS value, event_id > m / 2 AS late, event_id > m * 7 / 8 AS final FROM events, (SELECT max(event_id) AS m FROM events))"
+_TWICE = f"(SELECT 1 AS round, event_id, c, name, value, late FROM {_GROWN} WHERE NOT late UNION ALL SELECT 2, event_id, c, name, CASE c WHEN 2 THEN concat('x', value) ELSE value END, late FROM {_GROWN} WHERE c = 0 OR c = 2 OR (c = 1 AND final))"
+
+
+@query(f"SELECT round, name, position, value FROM (SELECT *, CAST(sum(strlen(value) + 1) OVER (PARTITION BY round, name ORDER BY event_id) - strlen(value) - 1 AS BIGINT) AS position FROM {_TWICE}) WHERE round = 1 OR c > 0 OR late")
+def incremental_append(spark, sf):
+    """Log files written twice, and what each batch reads of them."""
+    from sawmill.sources import growing
+
+    m = table(spark, sf, "events").agg(F.max("event_id").alias("m")).first().m or 0
+    e = event_lines(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("seq"), "user_id"), "seq")
+    e = e.select("seq", (F.col("user_id") % 4).alias("c"), F.concat(F.lit("u"), F.col("user_id") % 40, F.lit(".log")).alias("name"), "value")
+    e = stored(e.withColumns({"late": F.col("seq") > m / 2, "final": F.col("seq") > m * 7 / 8}), "grown")
+    root, out, offsets = new_path(spark, "logs"), None, None
+    first = e.where("not late")
+    second = e.where("c in (0, 2) or (c = 1 and final)").withColumn("value", F.when(F.col("c") == 2, F.concat(F.lit("x"), "value")).otherwise(F.col("value")))
+    for k, lines in enumerate((first, second), 1):
+        growing.write_files(lines, root).agg(F.sum("bytes")).collect()
+        read, after = growing.incremental_append(spark, [f"{root}/*.log"], offsets)
+        got = stored(read.select(F.lit(k).alias("round"), F.element_at(F.split("path", "/"), -1).alias("name"), "position", "value"), "appended")
+        out, offsets = got if out is None else out.unionByName(got), stored(after, "offsets")
+    dropped(e)
+    return out
+
+
+@query(f"SELECT template, count, first_seen, last_seen, is_error, n_sources FROM ({_mined_stats(_FINAL, _SEEN + ', CAST(count(DISTINCT source) AS INT) AS n_sources')})")
+def state_versions(spark, sf):
+    """Three batches mined and merged into one versioned state, which is compacted and read back."""
+    from sawmill.sources.state import StateStore
+
+    e, store = stored(mining_entries(spark, sf), "entries"), StateStore(spark, new_path(spark, "state"))
+    m = e.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m
+    for k in range(3):
+        part = e.where((F.col("seq") > m * k // 3) & (F.col("seq") <= m * (k + 1) // 3) if k else F.col("seq") <= m // 3)
+        plans.advance_state(store, part, Settings(), batch=str(k))
+    store.compact()
+    store.expire(1)
+    dropped(e)
+    return store.templates().select("template", "count", "first_seen", "last_seen", "is_error", F.size("sources").alias("n_sources"))
+
+
 @query(SQL["bucket_hour"])
 def stream_available_now(spark, sf):
     """Event counts by hour as a stream that ends with the input."""
