@@ -5,85 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sawmill.operators.ordering import ranked
+from sawmill.plans.stored import dropped, stored
 
-def encoded(templates: DataFrame) -> DataFrame:
-    """``templates`` (template_id, tokens, ...) with ``code``: a string of one character per token, equal for equal
-    tokens, so that the built-in levenshtein counts tokens."""
-    words = templates.select(F.explode("tokens").alias("token")).distinct()
-    words = words.withColumn("k", F.row_number().over(_by("token")))
-    char = F.decode(F.unhex(F.lpad(F.hex(F.col("k") + 0x10000), 8, "0")), "UTF-32")
-    spelled = templates.select("template_id", F.posexplode("tokens").alias("p", "token")).join(words.select("token", char.alias("c")), "token")
-    spelled = spelled.groupBy("template_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]), "").alias("code"))
-    return templates.join(spelled, "template_id")
 
-
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+def spelled(tokens: Column, alphabet: Column) -> Column:
+    """The tokens as a string of one character each: that of a token's place in ``alphabet``."""
+    char = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(alphabet, t) + 0x10000), 8, "0")), "UTF-32")
+    return F.array_join(F.transform(tokens, char), "")
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Edits of the codes, divided by the longer length; 0 for two empty ones."""
-    longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longer == 0, 0.0).otherwise(F.levenshtein(a, b) / longer)
+    """Edits between two lists of tokens, divided by the longer length; 0 for two empty ones.  Both are spelled in the
+    alphabet of the pair, so that the built-in levenshtein counts tokens whatever their number in all lists."""
+    longer, union = F.greatest(F.size(a), F.size(b)), F.array_union(a, b)
+    return F.when(longer == 0, 0.0).otherwise(F.levenshtein(spelled(a, union), spelled(b, union)) / longer)
 
 
 def near_pairs(templates: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, distance) nearer than ``threshold``.
+    """Pairs (a, b, distance) nearer than ``threshold``, a before b by name.
 
     With k edits at most, k + 1 segments of the longer list leave one untouched, which stands in the other list no more
     than k places away.  So pairs come from an equi-join on (length of the longer, segment, its tokens), exactly, and only
     these are compared.
     """
-    t = encoded(templates).select("template_id", "code", F.char_length("code").alias("n")).where("n > 0")
+    t = templates.select("template_id", "tokens", F.size("tokens").alias("n")).where("n > 0")
     k = lambda n: (F.ceil(n * threshold + 1e-9) - 1).cast("int")
     begin = lambda i, n: F.floor(i * n / (k(n) + 1)).cast("int")
-    long = t.select(F.col("template_id").alias("a"), F.col("code").alias("ca"), "n", F.explode(F.sequence(F.lit(0), k(F.col("n")))).alias("i"))
+    segment = lambda at, width: F.xxhash64(F.slice("tokens", at + 1, width)).alias("segment")
+    long = t.select(F.col("template_id").alias("a"), "tokens", "n", F.explode(F.sequence(F.lit(0), k(F.col("n")))).alias("i"))
     at, to = begin(F.col("i"), F.col("n")), begin(F.col("i") + 1, F.col("n"))
-    long = long.select("a", "ca", "n", "i", F.substring("ca", at + 1, to - at).alias("segment"))
+    long = long.select("a", F.col("tokens").alias("ta"), "n", "i", segment(at, to - at))
     most = F.floor(F.col("m") / (1 - threshold)).cast("int") + 1
-    short = t.select(F.col("template_id").alias("b"), F.col("code").alias("cb"), F.col("n").alias("m")).withColumn("n", F.explode(F.sequence(F.col("m"), most)))
+    short = t.select(F.col("template_id").alias("b"), "tokens", F.col("n").alias("m")).withColumn("n", F.explode(F.sequence(F.col("m"), most)))
     short = short.where(F.col("n") - k(F.col("n")) <= F.col("m")).withColumn("i", F.explode(F.sequence(F.lit(0), k(F.col("n")))))
     short = short.withColumn("at", at).withColumn("width", to - at)
     low, high = F.greatest(F.col("at") - k(F.col("n")), F.lit(0)), F.least(F.col("at") + k(F.col("n")), F.col("m") - F.col("width"))
-    short = short.where(low <= high).withColumn("s", F.explode(F.sequence(low, high))).select("b", "cb", "n", "i", F.substring("cb", F.col("s") + 1, F.col("width")).alias("segment")).distinct()
-    pairs = long.join(short, ["n", "i", "segment"]).where(F.col("a") != F.col("b"))
-    swap = F.col("a") > F.col("b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("ca"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("cb"))
-    return pairs.withColumn("distance", token_distance(F.col("ca"), F.col("cb"))).where(F.col("distance") < threshold).select("a", "b", "distance").distinct()
-
-
-def leaders(order: list[str], near: dict[str, list[tuple[str, float]]]) -> dict[str, str]:
-    """The representative of each template, taken in ``order``: the nearest one so far within the threshold (of equally
-    near ones the older), else itself."""
-    rep: dict[str, str] = {}
-    age: dict[str, int] = {}
-    for t in order:
-        close = [(d, age[o], o) for o, d in near.get(t, ()) if o in age]
-        if close:
-            rep[t] = min(close)[2]
-        else:
-            rep[t], age[t] = t, len(age)
-    return rep
-
-
-def cluster(templates: DataFrame, threshold: float = 0.3, most: int = 200_000) -> DataFrame:
+    short = short.where(low <= high).withColumn("s", F.explode(F.sequence(low, high))).select("b", F.col("tokens").alias("tb"), "n", "i", segment(F.col("s"), F.col("width"))).dropDuplicates(["b", "n", "i", "segment"])
+    pairs = long.join(short, ["n", "i", "segment"])
+    # equally long lists meet twice; where they differ in length, a is the longer one
+    once = (F.col("n") > F.size("tb")) | (F.col("a") < F.col("b"))
+    pairs = pairs.where((F.col("a") != F.col("b")) & once)
+    # tokens in common, with repeats left out: a cheap bound before the distance
+    lost = F.size(F.array_distinct("ta")) - F.size(F.array_intersect("ta", "tb"))
+    pairs = pairs.where(lost <= k(F.col("n"))).dropDuplicates(["a", "b"])
+    found = pairs.withColumn("distance", token_distance(F.col("ta"), F.col("tb"))).where(F.col("distance") < threshold)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+
+
+#: So many pairs at most are finished in one step on the driver instead of in rounds.
+HERE = 100_000
+
+
+def leaders(pairs: DataFrame, here: int = HERE) -> DataFrame:
+    """Of (x, y), x before y, the y that are no leaders: those with a leader among their x.
+
+    The lexicographically first choice in rounds: who has nobody left before it leads, who has a leader before it doesn't,
+    and the pairs of both are done with; once at most ``here`` pairs are left, they are walked in order.
+    """
+    out, left = None, stored(pairs.select("x", "y"), "pairs")
+    while n := left.count():
+        if n <= here:
+            followers: set = set()
+            for y, x in sorted((r.y, r.x) for r in left.collect()):
+                if x not in followers:
+                    followers.add(y)
+            last = left.sparkSession.createDataFrame([(y,) for y in followers], left.select("y").schema)
+            out = last if out is None else out.unionByName(last)
+            break
+        free = left.select("x").distinct().join(left.select(F.col("y").alias("x")).distinct(), "x", "left_anti")
+        led = stored(left.join(free, "x", "left_semi").select("y").distinct(), "led")
+        done = free.select(F.col("x").alias("z")).unionByName(led.select(F.col("y").alias("z")))
+        rest = left.join(done, left["x"] == done["z"], "left_anti").join(led, "y", "left_anti")
+        later = stored(rest.select("x", "y"), "pairs")
+        dropped(left)
+        out, left = led if out is None else out.unionByName(led), later
+    dropped(left)
+    return pairs.select("y").limit(0) if out is None else out
+
+
+def cluster(templates: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(cluster_id, representative_id, template_id, rank): templates by count, descending, join the nearest leader closer
-    than ``threshold``.  Distances come from the cluster's executors; the greedy pass runs on the driver over the ids of
-    the templates, whose number is checked, and the pairs that are near."""
-    spark = templates.sparkSession
-    rows = templates.select("template_id", "count").orderBy(F.desc("count"), "template_id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} templates")
-    near: dict[str, list[tuple[str, float]]] = {}
-    for r in near_pairs(templates, threshold).toLocalIterator():
-        near.setdefault(r.a, []).append((r.b, r.distance))
-        near.setdefault(r.b, []).append((r.a, r.distance))
-    rep = leaders([r.template_id for r in rows], near)
-    number = {r: i + 1 for i, r in enumerate(dict.fromkeys(rep.values()))}
-    made = [(f"C{number[r]:04d}", r, t, k) for k, (t, r) in enumerate(rep.items())]
-    return spark.createDataFrame(made, "cluster_id string, representative_id string, template_id string, rank int")
+    than ``threshold`` (of equally near ones the older), else lead themselves.  Any number of templates: near pairs, rounds
+    of leaders and places are joins and aggregates."""
+    order = ranked(templates.select("template_id", "count"), [F.desc("count"), F.asc("template_id")], "rank").select("template_id", "rank")
+    order = stored(order, "order")
+    of = lambda c, to: order.select(F.col("template_id").alias(c), F.col("rank").alias(to))
+    near = near_pairs(templates, threshold).join(of("a", "ra"), "a").join(of("b", "rb"), "b")
+    near = stored(near.select(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"), "distance"), "near")
+    led = stored(leaders(near), "led")
+    joined = near.join(led, "y").join(led.select(F.col("y").alias("x")), "x", "left_anti")
+    best = joined.groupBy("y").agg(F.min(F.struct("distance", "x")).alias("m")).select(F.col("y").alias("rank"), F.col("m.x").alias("lead"))
+    heads = ranked(order.join(led.select(F.col("y").alias("rank")), "rank", "left_anti"), [F.asc("rank")], "age")
+    heads = heads.select(F.col("rank").alias("lead"), F.col("template_id").alias("representative_id"), F.format_string("C%04d", F.col("age") + 1).alias("cluster_id"))
+    placed = order.join(best, "rank", "left").withColumn("lead", F.coalesce("lead", "rank"))
+    return placed.join(heads, "lead").select("cluster_id", "representative_id", "template_id", F.col("rank").cast("int").alias("rank"))
 
 
 def cluster_stats(members: DataFrame, templates: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ significant rules, whose size is checked, is walked on the driver.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,20 +48,119 @@ def burst_templates(events: DataFrame, window: int, threshold: int) -> DataFrame
     return counted.groupBy("template_id").agg(F.max("k").alias("peak")).where(F.col("peak") > threshold)
 
 
-def co_occurrence(events: DataFrame, window: int) -> DataFrame:
+#: Stretches of time a window is cut into: each is swept by one task.
+STRETCHES = 8
+#: Pairs that a sweep gathers before it adds them up.
+GATHERED = 1 << 20
+
+
+class Sweep:
+    """Counts pairs while going back in time: for each template the next event at or behind the present one, as long as the
+    window reaches it.  Memory follows the templates of a window, not its events."""
+
+    def __init__(self, width: int):
+        self.width, self.names, self.codes = width, [], {}
+        self.clear()
+        self.gathered: list[tuple[int, np.ndarray, np.ndarray, int]] = []
+        self.waiting = 0
+
+    def clear(self) -> None:
+        """Forgets what came behind: another stretch begins."""
+        self.ids, self.next, self.n = np.zeros(64, np.int64), np.zeros(64, np.int64), 0
+        self.at: dict[int, int] = {}
+
+    def code(self, name) -> int:
+        if name not in self.codes:
+            self.codes[name] = len(self.names)
+            self.names.append(name)
+        return self.codes[name]
+
+    def see(self, code: int, t: int) -> None:
+        at = self.at.get(code)
+        if at is None:
+            if self.n == len(self.ids):
+                self.ids, self.next = np.concatenate((self.ids, self.ids)), np.concatenate((self.next, self.next))
+            at = self.at[code] = self.n
+            self.ids[at], self.n = code, self.n + 1
+        self.next[at] = t
+
+    def count(self, events: list[tuple[int, int]], t: int) -> None:
+        """All events (code, times) of one instant, after they were seen."""
+        ahead = self.next[: self.n] - t
+        near = ahead <= self.width
+        if near.sum() * 2 + 64 < self.n:
+            self.ids[: near.sum()], self.next[: near.sum()] = self.ids[: self.n][near], self.next[: self.n][near]
+            self.n = int(near.sum())
+            self.at = {int(c): k for k, c in enumerate(self.ids[: self.n])}
+            ahead, near = self.next[: self.n] - t, np.ones(self.n, bool)
+        ids, close = self.ids[: self.n][near], ahead[near] < 1_000_000
+        for code, times in events:
+            self.gathered.append((code, ids, close, times))
+            self.waiting += len(ids)
+
+    def taken(self) -> tuple[list, list, np.ndarray, np.ndarray]:
+        """(a, b, co, sim) of what was gathered."""
+        if not self.gathered:
+            return [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lens = [len(ids) for _, ids, _, _ in self.gathered]
+        a, times = (np.repeat(np.array([g[k] for g in self.gathered], np.int64), lens) for k in (0, 3))
+        b, close = np.concatenate([g[1] for g in self.gathered]), np.concatenate([g[2] for g in self.gathered])
+        keys, place = np.unique(a * len(self.names) + b, return_inverse=True)
+        co, sim = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        np.add.at(co, place, times)
+        np.add.at(sim, place, np.where(close, times, 0))
+        a, b = keys // len(self.names), keys % len(self.names)
+        other = a != b
+        self.gathered, self.waiting = [], 0
+        return [self.names[x] for x in a[other]], [self.names[x] for x in b[other]], co[other], sim[other]
+
+
+def co_occurrence(events: DataFrame, window: int, stretches: int = STRETCHES) -> DataFrame:
     """(a, b, co, sim): a-events with at least one b-event in [t, t + window], and in [t, t + 1 s).
 
-    A range join as an equi-join: b-events lie in the bucket of t or the next one.  b-events are first reduced to one per
-    (template, bucket, microsecond) and a-events of one template and time are counted, so repeats don't multiply.
+    Only the next event of each other template counts, so no pairs of events are made.  Time is cut into stretches shorter
+    than the window; a stretch needs its own events and, of those behind it, the first of each template and stretch.  A task
+    sweeps its stretches from their ends, row by row; events of one template and time are one row with their number.
     """
     width = window * 1_000_000
+    step = max(1, -(-width // stretches))
+    kind = events.schema["template_id"].dataType.simpleString()
     e = events.where("ts is not null").select("template_id", micros(F.col("ts")).alias("u")).groupBy("template_id", "u").agg(F.count("*").alias("k"))
-    e = e.withColumn("bucket", F.floor(F.col("u") / width))
-    a = e.select(F.col("template_id").alias("a"), F.col("u").alias("t"), "k", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    b = e.select(F.col("template_id").alias("b"), "u", "bucket")
-    pairs = a.join(b, "bucket").where((F.col("a") != F.col("b")) & (F.col("u") >= F.col("t")) & (F.col("u") <= F.col("t") + width))
-    near = pairs.groupBy("a", "t", "k", "b").agg(F.min(F.col("u") - F.col("t")).alias("d"))
-    return near.groupBy("a", "b").agg(F.sum("k").alias("co"), F.coalesce(F.sum(F.when(F.col("d") < 1_000_000, F.col("k"))), F.lit(0)).alias("sim"))
+    own = e.withColumn("stretch", F.floor(F.col("u") / step))
+    first = own.groupBy("template_id", "stretch").agg(F.min("u").alias("u"))
+    ahead = first.select("template_id", "u", F.lit(0).cast("bigint").alias("k"), F.explode(F.sequence(F.col("stretch") - -(-width // step), F.col("stretch") - 1)).alias("stretch"))
+    rows = own.unionByName(ahead).repartition(F.col("stretch")).sortWithinPartitions("stretch", F.desc("u"))
+    schema = f"a {kind}, b {kind}, co bigint, sim bigint"
+
+    def run(batches):
+        sweep, now, instant = Sweep(width), None, []
+        types = None
+
+        def flushed():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(sweep.taken(), (types, types, pa.int64(), pa.int64()), strict=True)], names=["a", "b", "co", "sim"])
+
+        for batch in batches:
+            types = batch.column(0).type
+            for name, u, k, stretch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if (stretch, u) != now:
+                    if instant:
+                        sweep.count(instant, now[1])
+                    if now is None or stretch != now[0]:
+                        sweep.clear()
+                    now, instant = (stretch, u), []
+                code = sweep.code(name)
+                sweep.see(code, u)
+                if k:
+                    instant.append((code, k))
+                if sweep.waiting >= GATHERED:
+                    yield flushed()
+        if instant:
+            sweep.count(instant, now[1])
+        if sweep.gathered:
+            yield flushed()
+
+    near = rows.select("template_id", "u", "k", "stretch").mapInArrow(run, schema)
+    return near.groupBy("a", "b").agg(F.sum("co").alias("co"), F.sum("sim").alias("sim"))
 
 
 def symmetrised(pairs: DataFrame) -> DataFrame:
