@@ -349,6 +349,8 @@ class Merger:
         self.last = last_id if last_id is not None else max((int(t[1:]) for t, _ in templates if t[1:].isdigit()), default=0)
         #: (merged id, into id, kind): kinds are wildcard, existing, created
         self.events: list[tuple[str, str, str]] = []
+        #: the places of the first template of the pair that each event comes from
+        self.firsts: list[int] = []
         for name, tokens in templates:
             self._add(name, list(tokens))
 
@@ -393,6 +395,7 @@ class Merger:
         if self.where.get(tuple(tokens)) == at:
             del self.where[tuple(tokens)]
         self.events.append((self.ids[at], self.ids[into], kind))
+        self.firsts.append(self.first)
         for key in self._keys(tokens):
             if at in self.offered.get(key, ()):
                 self._offer(key)
@@ -403,7 +406,7 @@ class Merger:
             if self.offered.get(key) != (a, b):
                 continue
             x, y = self.tokens[a], self.tokens[b]
-            p = key[0]
+            p, self.first = key[0], a
             if WILDCARD in (x[p], y[p]):
                 gone, into = (b, a) if x[p] == WILDCARD else (a, b)
                 self._drop(gone, into, "wildcard")
@@ -429,18 +432,26 @@ class Merger:
         return {i: root(i) for i in self.ids}
 
 
-def merge_templates(templates: DataFrame, last_id: int | None = None, most: int = 2_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: So many templates at most are merged in one step on the driver (about 9 KB each of 15 tokens), more by components.
+HERE = 20_000
+_MERGES = "template_id string, related_template_id string, kind string, step {}"
+
+
+def merge_templates(templates: DataFrame, last_id: int | None = None, here: int = HERE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merged templates (template_id, template, tokens, rank), lineage (raw_id, template_id) and events (template_id,
-    related_template_id, kind, step).  Runs on the driver over the table of templates, whose size is checked first."""
+    related_template_id, kind, step) of templates (template_id, tokens) in order of their ids; made ones get the ids behind
+    ``last_id`` (by default the largest).  Any number of templates: see ``merging``."""
     spark = templates.sparkSession
-    ordered = templates.select("template_id", "tokens").orderBy("template_id").limit(most + 1).collect()
-    if len(ordered) > most:
-        raise ValueError(f"more than {most} templates; raise sim_th's generality or the masks before merging")
+    ordered = templates.select("template_id", "tokens").orderBy("template_id").limit(here + 1).collect()
+    if len(ordered) > here:
+        from sawmill.operators import merging
+
+        return merging.merge_by_components(templates, last_id)
     merger = Merger([(r.template_id, list(r.tokens)) for r in ordered], last_id)
     kept = merger.run()
     merged = spark.createDataFrame([(i, " ".join(t), t, k) for k, (i, t) in enumerate(kept)], "template_id string, template string, tokens array<string>, rank int")
     lineage = spark.createDataFrame(list(merger.lineage().items()), "raw_id string, template_id string")
-    events = spark.createDataFrame([(*e, k) for k, e in enumerate(merger.events)], "template_id string, related_template_id string, kind string, step int")
+    events = spark.createDataFrame([(*e, k) for k, e in enumerate(merger.events)], _MERGES.format("int"))
     return merged, lineage, events
 
 
