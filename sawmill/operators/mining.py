@@ -485,21 +485,56 @@ def active_seconds(start: Column, end: Column) -> Column:
     return F.greatest(F.lit(0.0), (micros(end) - micros(start)) / 1e6)
 
 
+#: Scores that are looked for first, from above: the best match of most templates is a close one.
+SCORES = (0.9, 0.75, 0.5)
+
+
 def reconcile(a: DataFrame, b: DataFrame, sim_th: float) -> DataFrame:
     """Template library ``b`` joined into ``a`` (template_id, template, tokens, count): rows of b by where they go.
 
     match: exact (equal text), similar (the best positional similarity of at least sim_th among a's templates of that
-    length; ``wildcard_pos`` if just one position differs) or new.
+    length, the least a_id of equally good ones; ``wildcard_pos`` if just one position differs) or new.
     """
     exact = b.alias("b").join(a.alias("a"), F.col("a.template") == F.col("b.template")).select(F.col("b.template_id").alias("b_id"), F.col("a.template_id").alias("a_id"), F.lit("exact").alias("match"), F.lit(1.0).alias("score"), F.lit(None).cast("int").alias("wildcard_pos"))
     rest = b.join(exact.select(F.col("b_id").alias("template_id")), "template_id", "left_anti")
-    left, right = a.select("template_id", "tokens", F.size("tokens").alias("n")).alias("a"), rest.select("template_id", "tokens", F.size("tokens").alias("n")).alias("b")
-    equal = F.zip_with("a.tokens", "b.tokens", lambda x, y: (x == y) | (x == WILDCARD) | (y == WILDCARD))
-    pairs = left.join(right, F.col("a.n") == F.col("b.n")).select(F.col("b.template_id").alias("b_id"), F.col("a.template_id").alias("a_id"), F.col("a.n").alias("n"), equal.alias("e"))
-    pairs = pairs.withColumn("same", F.size(F.filter("e", lambda x: x))).withColumn("score", F.col("same") / F.col("n")).where(F.col("score") >= sim_th)
-    best = pairs.withColumn("k", F.row_number().over(Window.partitionBy("b_id").orderBy(F.desc("score"), "a_id"))).where("k = 1")
-    pos = F.when(F.col("n") - F.col("same") == 1, F.array_position(F.transform("e", lambda x: (~x).cast("int")), 1).cast("int") - 1)
+    left, right = (stored(x.select("template_id", "tokens", F.size("tokens").alias("n")), "side") for x in (a, rest))
+    equal = F.zip_with("ta", "tb", lambda x, y: (x == y) | (x == WILDCARD) | (y == WILDCARD))
+    best = _best_matches(left, right, sim_th, equal)
+    pos = F.when(F.col("n") - F.col("same") == 1, F.array_position(F.transform(equal, lambda x: (~x).cast("int")), 1).cast("int") - 1)
     similar = best.select("b_id", "a_id", F.lit("similar").alias("match"), "score", pos.alias("wildcard_pos"))
     placed = exact.unionByName(similar)
     new = b.join(placed.select(F.col("b_id").alias("template_id")), "template_id", "left_anti").select(F.col("template_id").alias("b_id"), F.lit(None).cast("string").alias("a_id"), F.lit("new").alias("match"), F.lit(0.0).alias("score"), F.lit(None).cast("int").alias("wildcard_pos"))
     return placed.unionByName(new)
+
+
+def _best_matches(a: DataFrame, b: DataFrame, sim_th: float, equal: Column) -> DataFrame:
+    """(b_id, a_id, ta, tb, n, same, score) of the best match of each of b's lists that has one.
+
+    A prefix filter over an inverted index (length, position, token), exactly: with k positions at most that differ, one of
+    any k + 1 positions of a list agrees.  So the k + 1 positions whose tokens are rarest in a are looked up, each under its
+    token and under the wildcard, and only lists met there are compared.  Scores are lowered in steps: a match of at least a
+    step's score is the best of all, so only lists without one go on, and few need the many positions of a low score.
+    """
+    index = stored(a.select(F.col("template_id").alias("a_id"), "n", F.posexplode("tokens").alias("pos", "token")), "index")
+    often = index.groupBy("n", "pos", "token").agg(F.count("*").alias("f"))
+    wild = often.where(F.col("token") == WILDCARD).select("n", "pos", F.col("f").alias("w"))
+    literal = b.select(F.col("template_id").alias("b_id"), "n", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") != WILDCARD)
+    cost = literal.join(often, ["n", "pos", "token"], "left").join(wild, ["n", "pos"], "left").withColumn("cost", F.coalesce("f", F.lit(0)) + F.coalesce("w", F.lit(0)))
+    w = Window.partitionBy("b_id").orderBy("cost", "pos")
+    rarest = stored(cost.select("b_id", "n", "pos", "token", F.row_number().over(w).alias("r")), "rarest")
+    least = a.groupBy("n").agg(F.min("template_id").alias("a_id"))
+    found, left = None, b.select(F.col("template_id").alias("b_id"), F.col("tokens").alias("tb"), "n")
+    for score in [s for s in SCORES if s > sim_th] + [sim_th]:
+        most = F.col("n") - F.ceil(F.col("n") * F.lit(float(score)) - 1e-9)
+        asked = rarest.where(F.col("r") <= most + 1).join(left.select("b_id"), "b_id", "left_semi")
+        asked = asked.select("b_id", "n", "pos", F.explode(F.array("token", F.lit(WILDCARD))).alias("token"))
+        met = asked.join(index, ["n", "pos", "token"]).select("b_id", "a_id").distinct()
+        # a list of few literals agrees with all where none of them meets any: the least id stands for those
+        lowest = left.where(F.lit(score == sim_th)).join(least, "n").select("b_id", "a_id")
+        pairs = met.unionByName(lowest).distinct().join(left, "b_id").join(a.select(F.col("template_id").alias("a_id"), F.col("tokens").alias("ta")), "a_id")
+        scored = pairs.withColumn("same", F.size(F.filter(equal, lambda x: x))).withColumn("score", F.col("same") / F.col("n")).where(F.col("score") >= score)
+        best = scored.groupBy("b_id").agg(F.min_by(F.struct("a_id", "ta", "tb", "n", "same", "score"), F.struct(-F.col("score"), "a_id")).alias("m"))
+        part = stored(best.select("b_id", "m.*"), "matched")
+        found = part if found is None else found.unionByName(part)
+        left = left.join(part.select("b_id"), "b_id", "left_anti")
+    return found

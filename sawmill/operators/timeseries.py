@@ -18,12 +18,28 @@ def counts(events: DataFrame, unit: str = "hour") -> DataFrame:
     return events.where("ts is not null").groupBy("template_id", bucket(F.col("ts"), unit).alias("bucket")).agg(F.count("*").alias("value"))
 
 
+#: Buckets of a series that are made, or correlated, as one row.
+BLOCK = 4096
+
+
+def _step(unit: str) -> int:
+    return UNITS.get(unit, 3600) * 1_000_000
+
+
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
 def gap_filled(series: DataFrame, unit: str = "hour", until: Column | None = None) -> DataFrame:
-    """Every bucket from a template's first to its last (or ``until``), zeros where there was none."""
-    step = F.expr(f"interval 1 {unit if unit in UNITS else 'hour'}")
+    """Every bucket from a template's first to its last (or ``until``), zeros where there was none.  A long series is made
+    a block at a time, so no row has all of it."""
     ends = series.groupBy("template_id").agg(F.min("bucket").alias("a"), F.max("bucket").alias("z"))
     ends = ends.withColumn("z", F.greatest("z", until)) if until is not None else ends
-    every = ends.select("template_id", F.explode(F.sequence("a", "z", step)).alias("bucket"))
+    last = F.floor((_micros("z") - _micros("a")) / _step(unit)).cast("bigint")
+    ends = ends.select("template_id", _micros("a").alias("a"), last.alias("last"))
+    blocks = ends.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / BLOCK).cast("bigint"))))
+    every = blocks.withColumn("i", F.explode(F.sequence(F.col("b") * BLOCK, F.least(F.col("b") * BLOCK + (BLOCK - 1), "last"))))
+    every = every.select("template_id", F.timestamp_micros(F.col("a") + F.col("i") * _step(unit)).cast("timestamp_ntz").alias("bucket"))
     return every.join(series, ["template_id", "bucket"], "left").withColumn("value", F.coalesce("value", F.lit(0)).cast("bigint"))
 
 
@@ -44,16 +60,26 @@ def vanished(filled: DataFrame, periods: int = 3) -> DataFrame:
     return tail.where(F.col("zeros") >= periods)
 
 
-def autocorrelation(filled: DataFrame, max_lag: int = 48) -> DataFrame:
-    """(template_id, lag, value) for lags 1 to min(n div 2, max_lag) - 1; 0 for a constant series."""
-    arrays = filled.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "value"))), lambda x: x["value"].cast("double")).alias("x"))
-    arrays = arrays.withColumn("n", F.size("x")).withColumn("mu", F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.col("n"))
-    arrays = arrays.withColumn("d", F.transform("x", lambda v: v - F.col("mu"))).withColumn("den", F.aggregate("d", F.lit(0.0), lambda s, v: s + v * v))
+def autocorrelation(filled: DataFrame, max_lag: int = 48, unit: str = "hour", block: int = BLOCK) -> DataFrame:
+    """(template_id, n, lag, value) for lags 1 to min(n div 2, max_lag) - 1; 0 for a constant series.
+
+    A series is cut into blocks; the first values of a block also go to the blocks before it that a lag reaches, and each
+    block gives a part of the sum of each lag.  So no row has more than a block and the largest lag.
+    """
+    stats = filled.groupBy("template_id").agg(F.count("*").alias("n"), F.avg("value").alias("mu"), F.min("bucket").alias("a"))
+    at = filled.join(stats, "template_id").withColumn("i", F.floor((_micros("bucket") - _micros("a")) / _step(unit)).cast("bigint"))
+    at = at.select("template_id", "n", "i", (F.col("value") - F.col("mu")).alias("d"))
+    den = at.groupBy("template_id").agg(F.sum(F.col("d") * F.col("d")).alias("den"))
+    first = F.floor(F.greatest(F.col("i") - max_lag, F.lit(0)) / block).cast("bigint")
+    dealt = at.withColumn("b", F.explode(F.sequence(first, F.floor(F.col("i") / block).cast("bigint"))))
+    cut = dealt.groupBy("template_id", "n", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("x"))
     lags = F.least(F.floor(F.col("n") / 2), F.lit(max_lag)) - 1
-    rows = arrays.where(lags >= 1).withColumn("lag", F.explode(F.sequence(F.lit(1), lags.cast("int"))))
-    shifted = F.zip_with(F.slice("d", F.lit(1), F.col("n") - F.col("lag")), F.slice("d", F.col("lag") + 1, F.col("n") - F.col("lag")), lambda a, b: a * b)
-    value = F.when(F.col("den") == 0, 0.0).otherwise(F.aggregate(shifted, F.lit(0.0), lambda s, v: s + v) / F.col("den"))
-    return rows.select("template_id", "n", "lag", value.alias("value"))
+    parts = cut.where(lags >= 1).withColumn("lag", F.explode(F.sequence(F.lit(1), lags.cast("int"))))
+    own = F.least(F.lit(block), F.size("x") - F.col("lag"))  # values of the block itself that have one a lag behind
+    product = F.aggregate(F.zip_with(F.slice("x", F.lit(1), own), F.slice("x", F.col("lag") + 1, own), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    sums = parts.groupBy("template_id", "n", "lag").agg(F.sum(F.when(own > 0, product)).alias("num"))
+    value = F.when(F.col("den") == 0, 0.0).otherwise(F.col("num") / F.col("den"))
+    return sums.join(den, "template_id").select("template_id", F.col("n").cast("int").alias("n"), "lag", value.alias("value"))
 
 
 def periodicity(correlated: DataFrame, unit: str = "hour", min_points: int = 24) -> DataFrame:
@@ -80,7 +106,7 @@ def analyze(events: DataFrame, unit: str = "hour", n_std: float = 3.0, periods:
     stats = series_stats(filled).withColumn("sufficient", F.col("n") >= min_points)
     spiked = spikes(filled, n_std).groupBy("template_id").agg(F.array_sort(F.collect_list("bucket")).alias("spike_timestamps"))
     out = stats.join(spiked, "template_id", "left").join(vanished(filled, periods).select("template_id", "vanished_since"), "template_id", "left")
-    out = out.join(periodicity(autocorrelation(filled), unit, min_points), "template_id", "left")
+    out = out.join(periodicity(autocorrelation(filled, unit=unit), unit, min_points), "template_id", "left")
     flag = lambda c: F.col("sufficient") & c
     return out.select(
         "template_id", "n", "mean", "std", "sufficient", F.coalesce("spike_timestamps", F.array().cast("array<timestamp_ntz>")).alias("spike_timestamps"),

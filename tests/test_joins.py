@@ -127,3 +127,56 @@ def test_components(spark, seed):
         up[max(root(a), root(b))] = min(root(a), root(b))
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_matches(spark, seed):
+    rng = random.Random(seed)
+    words = ["a", "b", "c", "d", "e", "<*>"] if seed else ["a", "b"]
+    side = lambda name, n: [(f"{name}{k:03d}", [rng.choice(words) if rng.random() < 0.8 else f"{name}{k}" for _ in range(rng.choice([1, 3, 7]))]) for k in range(n)]
+    a, b = side("A", 70), side("B", 70)
+    a += [("A900", ["only", "one", "of", "nine", "tokens", "it", "is", "so", "x"])]
+    b += [("B900", ["<*>"] * 8 + ["y"]), ("B901", ["<*>"] * 3), ("B902", ["far"] * 11)]
+    th = (0.4, 0.6, 0.95)[seed]
+    df = lambda rows: spark.createDataFrame([(i, " ".join(t), t, 1) for i, t in rows], "template_id string, template string, tokens array<string>, count long")
+    got = {}
+    for r in mining.reconcile(df(a), df(b), th).collect():
+        got.setdefault(r.b_id, []).append((r.match, r.a_id, r.score, r.wildcard_pos))
+    for i, t in b:
+        same = sorted(("exact", j, 1.0, None) for j, u in a if u == t)
+        if same:
+            assert sorted(got[i]) == same
+            continue
+        best = min(((-sum(x == y or "<*>" in (x, y) for x, y in zip(t, u)) / len(t), j, u) for j, u in a if len(u) == len(t)), default=(0, "", []))
+        if -best[0] < th:
+            assert got[i] == [("new", None, 0.0, None)]
+            continue
+        off = [k for k, (x, y) in enumerate(zip(t, best[2], strict=True)) if not (x == y or "<*>" in (x, y))]
+        assert got[i] == [("similar", best[1], -best[0], off[0] if len(off) == 1 else None)]
+
+
+@pytest.mark.parametrize("block", [3, 10, 50, 4096])
+def test_series_in_blocks(spark, monkeypatch, block):
+    import numpy as np
+
+    from sawmill.operators import timeseries
+
+    rng = random.Random(block)
+    monkeypatch.setattr(timeseries, "BLOCK", block)
+    hours = {"a": sorted(rng.sample(range(300), 120)), "b": [5], "c": [0, 1], "d": list(range(100)), "e": [0, 4]}
+    rows = [(t, START + dt.timedelta(hours=h), rng.randint(1, 9) if t != "d" else 2) for t, hs in hours.items() for h in hs]
+    filled = timeseries.gap_filled(spark.createDataFrame(rows, "template_id string, bucket timestamp_ntz, value long"))
+    values = {(t, b): v for t, b, v in rows}
+    want = {t: [values.get((t, START + dt.timedelta(hours=h)), 0) for h in range(hs[0], hs[-1] + 1)] for t, hs in hours.items()}
+    got = {}
+    for r in filled.orderBy("bucket").collect():
+        got.setdefault(r.template_id, []).append((r.bucket, r.value))
+    assert {t: [v for _, v in x] for t, x in got.items()} == want
+    assert all(x[0][0] == START + dt.timedelta(hours=hours[t][0]) for t, x in got.items())
+    lagged = {(r.template_id, r.lag): r.value for r in timeseries.autocorrelation(filled, 48, block=block).collect()}
+    for t, x in want.items():
+        d = np.array(x, float) - np.mean(x)
+        lags = range(1, min(len(x) // 2, 48))
+        assert {k for n, k in lagged if n == t} == set(lags)
+        for k in lags:
+            assert abs(lagged[t, k] - (0 if not (d * d).sum() else (d[:-k] * d[k:]).sum() / (d * d).sum())) < 1e-9
