@@ -1,7 +1,7 @@
 """Windowed co-occurrence of templates, association rules and causal chains.
 
-Events are (template_id, ts).  All counting is by equi-joins on time buckets and aggregates; only the graph of the
-significant rules, whose size is checked, is walked on the driver.
+Events are (template_id, ts).  Counting goes by stretches of time and aggregates; the graph of the significant rules is walked
+on the driver where it is small, else by joins in rounds.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sawmill.operators import graph
+from sawmill.plans.stored import stored
+
 MIN_CHI2, STRONG_JACCARD, MANY_TEMPLATES = 3.841, 0.8, 100
 
 
@@ -269,7 +272,7 @@ def longest_chains(edges: list[tuple[str, str, float]]) -> list[tuple[list[str],
     while ready:
         i = ready.pop(0)
         for j, w in sorted(weight[i].items()):
-            if best[i] + w > best[j]:
+            if best[i] + w > best[j] or (best[i] + w == best[j] and j in prev and i < prev[j][0]):
                 best[j], prev[j] = best[i] + w, (i, w)
             entering[j] -= 1
             if not entering[j]:
@@ -286,21 +289,32 @@ def longest_chains(edges: list[tuple[str, str, float]]) -> list[tuple[list[str],
     return sorted(found.values(), key=lambda c: (-len(c[0]), -c[2], c[0]))
 
 
-def chain_edges(significant: DataFrame, most: int = 1_000_000) -> list[tuple[str, str, float]]:
-    rows = directed(significant.where("not is_burst and not is_simultaneous")).select("a", "b", "confidence").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} edges")
-    return sorted((r.a, r.b, r.confidence) for r in rows)
+#: So many edges at most are walked on the driver, more by joins in rounds.
+HERE = 100_000
 
 
-def causal_chains(significant: DataFrame) -> DataFrame:
-    """path, edge_weights, total_confidence, length of the chains of significant rules (no bursts, not simultaneous)."""
-    made = [(p, w, t, len(p)) for p, w, t in longest_chains(chain_edges(significant))]
-    return significant.sparkSession.createDataFrame(made, "path array<string>, edge_weights array<double>, total_confidence double, length int")
+def causal_chains(significant: DataFrame, here: int = HERE) -> DataFrame:
+    """path, edge_weights, total_confidence, length of the chains of significant rules (no bursts, not simultaneous): the
+    heaviest path that ends in each strong component, of at least two of them."""
+    edges = stored(directed(significant.where("not is_burst and not is_simultaneous")).select("a", "b", "confidence"), "edges")
+    if edges.count() <= here:
+        made = [(p, w, t, len(p)) for p, w, t in longest_chains(sorted((r.a, r.b, r.confidence) for r in edges.collect()))]
+        return significant.sparkSession.createDataFrame(made, "path array<string>, edge_weights array<double>, total_confidence double, length int")
+    of = stored(graph.strong_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "strong")
+    named = of.groupBy("component").agg(F.array_sort(F.collect_list("node")).alias("x"))
+    named = named.select("component", F.when(F.size("x") == 1, F.col("component")).otherwise(F.concat(F.lit("["), F.array_join("x", ", "), F.lit("]"))).alias("name"))
+    to = lambda c, d: of.select(F.col("node").alias(c), F.col("component").alias(d))
+    joined = edges.join(to("a", "u"), "a").join(to("b", "v"), "b").where("u <> v").groupBy("u", "v").agg(F.max("confidence").alias("w"))
+    paths = graph.heaviest_paths(stored(joined, "condensed")).where(F.size("path") >= 2)
+    steps = paths.select("node", "weights", "total", F.posexplode("path").alias("k", "component")).join(named, "component")
+    back = steps.groupBy("node", "weights", "total").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("path"))
+    return back.select("path", F.col("weights").alias("edge_weights"), F.col("total").alias("total_confidence"), F.size("path").alias("length"))
 
 
-def scc_table(edges: DataFrame) -> DataFrame:
+def scc_table(edges: DataFrame, here: int = HERE) -> DataFrame:
     """(node, component): the least node of each strongly connected component."""
-    rows = [(r.a, r.b) for r in edges.select("a", "b").distinct().collect()]
-    made = [(x, g[0]) for g in strongly_connected(rows) for x in g]
+    pairs = stored(edges.select("a", "b").distinct(), "edges")
+    if pairs.count() > here:
+        return graph.strong_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    made = [(x, g[0]) for g in strongly_connected([(r.a, r.b) for r in pairs.collect()]) for x in g]
     return edges.sparkSession.createDataFrame(made, "node string, component string")

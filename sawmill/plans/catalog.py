@@ -709,10 +709,14 @@ def significant_rules(spark, sf):
     return _rules(spark, sf, min_support=0.001, min_confidence=0.01, min_lift=0.5).where("is_significant").select("a", "b", F.round("lift", 6).alias("lift")).orderBy(F.desc("lift"))
 
 
-@query(f"""WITH e AS (SELECT * FROM {_RULES}) SELECT x.a AS a, x.b AS b, round(x.confidence, 6) AS confidence FROM e x LEFT JOIN e y ON x.a = y.b AND x.b = y.a
+def _directed(rules: str) -> str:
+    return f"""SELECT x.a AS a, x.b AS b, x.confidence AS confidence FROM {rules} x LEFT JOIN {rules} y ON x.a = y.b AND x.b = y.a
 WHERE y.a IS NULL OR CASE WHEN abs(x.confidence - y.confidence) >= 0.05 OR abs(x.co_count - y.co_count) / greatest(x.co_count, y.co_count, 1) >= 0.05
 THEN x.confidence > y.confidence OR (x.confidence = y.confidence AND (x.co_count > y.co_count OR (x.co_count = y.co_count AND x.a < x.b)))
-ELSE NOT (x.is_simultaneous AND y.is_simultaneous) AND (x.confidence > y.confidence OR (x.confidence = y.confidence AND x.a < x.b)) END""")
+ELSE NOT (x.is_simultaneous AND y.is_simultaneous) AND (x.confidence > y.confidence OR (x.confidence = y.confidence AND x.a < x.b)) END"""
+
+
+@query(f"WITH e AS (SELECT * FROM {_RULES}) SELECT a, b, round(confidence, 6) AS confidence FROM ({_directed('e')})")
 def directed_edges(spark, sf):
     return correlate.directed(_rules(spark, sf)).select("a", "b", F.round("confidence", 6).alias("confidence"))
 
@@ -731,10 +735,22 @@ def scc(spark, sf):
     return correlate.scc_table(_edges(spark, sf))
 
 
-@query()
+_STRONG = f"(SELECT * FROM {_RULES} WHERE support >= 0.001 AND confidence >= 0.01 AND lift >= 0.5 AND chi2 >= 3.841 AND NOT is_simultaneous)"
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED {_STRONG}, e AS MATERIALIZED ({_directed("s")}),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), v AS (SELECT a AS x FROM e UNION SELECT b FROM e),
+c AS MATERIALIZED (SELECT x, least(x, coalesce(min(q.b), x)) AS c FROM v LEFT JOIN (SELECT p.a, p.b FROM r p JOIN r q ON p.a = q.b AND p.b = q.a) q ON q.a = x GROUP BY x),
+names AS (SELECT c, CASE WHEN count(*) = 1 THEN c ELSE '[' || string_agg(x, ', ' ORDER BY x) || ']' END AS name FROM c GROUP BY c),
+w AS MATERIALIZED (SELECT f.c AS i, t.c AS j, max(confidence) AS w FROM e JOIN c f ON e.a = f.x JOIN c t ON e.b = t.x WHERE f.c <> t.c GROUP BY 1, 2),
+p(j, path, total) AS (SELECT j, [i, j], w FROM w UNION ALL SELECT w.j, list_append(p.path, w.j), p.total + w.w FROM p JOIN w ON p.j = w.i),
+best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY j ORDER BY total DESC, list_reverse(path)) = 1)
+SELECT string_agg(name, ' -> ' ORDER BY k) AS path, round(total, 6) AS total_confidence, CAST(count(*) AS INTEGER) AS length
+FROM (SELECT j, total, unnest(path) AS c, generate_subscripts(path, 1) AS k FROM best) JOIN names USING (c) GROUP BY j, total""")
 def causal_chains(spark, sf):
     r = _rules(spark, sf, min_support=0.001, min_confidence=0.01, min_lift=0.5)
-    return correlate.causal_chains(r.where("is_significant"))
+    chains = correlate.causal_chains(r.where("is_significant"))
+    return chains.select(F.array_join("path", " -> ").alias("path"), F.round("total_confidence", 6).alias("total_confidence"), "length")
 
 
 @query("SELECT event_type AS template_id, make_timestamp(epoch_us(a) + CASE WHEN n = 1 THEN 0 ELSE CAST(floor(span * i / (n - 1)) AS BIGINT) END) AS ts FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM (SELECT event_type, count(*) AS n, min(ts) AS a, greatest(epoch_us(max(ts)) - epoch_us(min(ts)), 1000000) AS span FROM events GROUP BY 1))")
