@@ -43,6 +43,7 @@ def _arguments() -> argparse.ArgumentParser:
     c.add_argument("--spike-threshold", type=float, default=2.0)
     c.add_argument("--format", choices=("terminal", "json"), default="terminal")
     c.add_argument("--no-exit-code", action="store_true")
+    c.add_argument("-o", "--output", help="also write the result as JSON")
     c = sub.add_parser("correlate")
     c.add_argument("file")
     c.add_argument("--config")
@@ -50,6 +51,8 @@ def _arguments() -> argparse.ArgumentParser:
         c.add_argument(f"--{option}", type=kind)
     c.add_argument("--save-state")
     c.add_argument("--load-state")
+    c.add_argument("--format", choices=("terminal", "json"), default="terminal")
+    c.add_argument("--top", type=int, default=20)
     c = sub.add_parser("init-config")
     c.add_argument("path", nargs="?", default=CONFIG_FILE)
     sub.add_parser("version")
@@ -75,7 +78,9 @@ def main(argv: list[str] | None = None) -> int:
         compared = diff.compare(libraries.load_library(spark, args.old), libraries.load_library(spark, args.new), args.spike_threshold)
         code = diff.exit_code(compared).first().asDict()
         out = reports.diff_report(compared, code)
-        print(json.dumps(out, ensure_ascii=False, indent=2, default=str) if args.format == "json" else "\n".join(f"{k}: {len(v) if isinstance(v, list) else v}" for k, v in out.items()))
+        print(json.dumps(out, ensure_ascii=False, indent=2, default=str) if args.format == "json" else reports.diff_text(out))
+        if args.output:
+            print(reports.write_json(out, args.output))
         return 0 if args.no_exit_code else code["exit_code"]
     if args.command == "correlate":
         names = {"window": "window_size", "min_support": "min_support", "min_confidence": "min_confidence", "min_lift": "min_lift", "burst_threshold": "burst_threshold"}
@@ -84,11 +89,17 @@ def main(argv: list[str] | None = None) -> int:
             lib = libraries.load_library(spark, args.file)
             events = libraries.synthetic_events(lib.withColumns({c: F.col(c).try_cast("timestamp_ntz") for c in ("first_seen", "last_seen")}))
         else:
-            events = plans.analyze_files(spark, [args.file], settings, year).rows.select("template_id", "ts")
+            a = plans.analyze_files(spark, [args.file], settings, year)
+            events, lib = a.rows.select("template_id", "ts"), a.templates
         got = plans.correlate_events(events, settings, libraries.load_correlation(spark, args.load_state) if args.load_state else None)
         if args.save_state:
             libraries.save_correlation(got.pairs, got.counts, args.save_state)
-        print(json.dumps(reports.correlation_report(got), ensure_ascii=False, indent=2, default=str))
+        report = reports.correlation_report(got, args.top)
+        shown = {x for r in report["rules"] for x in (r["a"], r["b"])} | {x for c in report["chains"] for n in c["path"] for x in n.strip("[]").split(", ")}
+        texts = {r.template_id: r.template for r in lib.where(F.col("template_id").isin(*shown)).collect()} if shown else {}
+        for r in report["rules"]:
+            r["source_template"], r["target_template"] = texts.get(r["a"], r["a"]), texts.get(r["b"], r["b"])
+        print(json.dumps(report, ensure_ascii=False, indent=2, default=str) if args.format == "json" else reports.correlation_text(report, texts))
         return 0
     over = {"drain.depth": args.depth, "drain.st": args.similarity, "drain.sim_th": args.similarity, "output.top_n": args.top, "output.format": args.format, "output.output_dir": args.output_dir}
     settings = overridden(load_settings(args.config), over)

@@ -97,12 +97,66 @@ def nginx_time(c: Column) -> Column:
     return F.when(c.rlike(r"\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}\s+[+-]\d{4}"), _to(bare, "dd/MMM/yyyy:HH:mm:ss"))
 
 
+# Names of months.
+MONTHS = ("jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?", "sept?(?:ember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?")
+_MONTH = "(?:" + "|".join(MONTHS) + ")"
+_CLOCK = r"(?i)(?<![\d:.])(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?(?:\s*([ap])\.?m\b\.?)?"
+_HOUR = r"(?i)(?<![\d:.])(\d{1,2})\s*([ap])\.?m\b\.?"
+_YEAR_FIRST = r"(?<!\d)(\d{4})[-/.](\d{1,2})(?:[-/.](\d{1,2}))?(?!\d)"
+_YEAR_LAST = r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)"
+_COMPACT = r"(?<!\d)(\d{4})(\d{2})(\d{2})(?:[Tt ]?(\d{2})(\d{2})(\d{2})?)?(?!\d)"
+_DAY_MONTH = rf"(?i)(?<!\d)(\d{{1,2}})(?:st|nd|rd|th)?[\s,.\-/]*(?:of\s+)?{_MONTH}\b"
+_MONTH_DAY = rf"(?i)(?<!\p{{L}}){_MONTH}[\s,.\-/]+(\d{{1,2}})(?:st|nd|rd|th)?(?!\d)"
+
+
+def fuzzy_time(c: Column, year: int) -> Column:
+    """A date or time somewhere in a text: month names with a day and a year in any order, numbers with the year first or
+    last (the month before the day unless that can't be), eight or fourteen digits in a row, a clock time with or without
+    am and pm.
+
+    Parts that are missing come from today, a missing year is ``year``, a year of two digits lies within fifty years of it.
+    Zones and words are passed over.  Null where there is neither a date nor a time, or no such day.
+    """
+    # bound as a lambda's variable: the text without its clock is computed once, and the generated code stays small
+    bare = F.transform(F.array(c), lambda t: F.struct(t.alias("text"), F.regexp_replace(F.regexp_replace(t, _CLOCK, " "), _HOUR, " ").alias("rest")))
+    return F.get(F.transform(bare, lambda x: _found_time(x["text"], x["rest"], year)), F.lit(0))
+
+
+def _found_time(c: Column, rest: Column, year: int) -> Column:
+    """A time of the text ``c``, and a date of what is ``rest`` of it without a clock time."""
+    got = lambda text, pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("int")
+    clock, hour = c.rlike(_CLOCK), c.rlike(_HOUR)
+    named = rest.rlike(rf"(?i)(?<!\p{{L}}){_MONTH}(?!\p{{L}})")
+    month = F.lit(None).cast("int")
+    for k in range(12, 0, -1):
+        month = F.when(rest.rlike(rf"(?i)(?<!\p{{L}})(?:{MONTHS[k - 1]})(?!\p{{L}})"), k).otherwise(month)
+    first, last, compact = rest.rlike(_YEAR_FIRST), rest.rlike(_YEAR_LAST), rest.rlike(_COMPACT)
+    short = lambda y: F.when(y >= 100, y).otherwise(y + F.lit(year // 100 * 100) + F.when(y + (year // 100 * 100) >= year + 50, -100).when(y + (year // 100 * 100) < year - 50, 100).otherwise(0))
+    a, b = got(rest, _YEAR_LAST, 1), got(rest, _YEAR_LAST, 2)
+    swapped = (a > 12) & (b <= 12)
+    today = F.current_date()
+    y = F.when(named, got(rest, r"(?<!\d)(\d{4})(?!\d)", 1)).when(first, got(rest, _YEAR_FIRST, 1)).when(last, short(got(rest, _YEAR_LAST, 3))).when(compact, got(rest, _COMPACT, 1))
+    m = F.when(named, month).when(first, got(rest, _YEAR_FIRST, 2)).when(last, F.when(swapped, b).otherwise(a)).when(compact, got(rest, _COMPACT, 2)).otherwise(F.month(today))
+    d = F.when(named, F.coalesce(got(rest, _DAY_MONTH, 1), got(rest, _MONTH_DAY, 1))).when(first, got(rest, _YEAR_FIRST, 3)).when(last, F.when(swapped, a).otherwise(b)).when(compact, got(rest, _COMPACT, 3))
+    noon = lambda h, half: F.when(half == "", h).otherwise(h % 12 + F.when(F.lower(half) == "p", 12).otherwise(0))
+    h = F.when(clock, noon(got(c, _CLOCK, 1), F.regexp_extract(c, _CLOCK, 5))).when(hour, noon(got(c, _HOUR, 1), F.regexp_extract(c, _HOUR, 2))).when(compact, got(rest, _COMPACT, 4))
+    minute = F.when(clock, got(c, _CLOCK, 2)).when(~hour & compact, got(rest, _COMPACT, 5))
+    second = F.when(clock, got(c, _CLOCK, 3)).when(~hour & compact, got(rest, _COMPACT, 6))
+    fraction = F.when(clock, F.rpad(F.regexp_extract(c, _CLOCK, 4), 6, "0").cast("int"))
+    zero, year_ = F.lit(0), F.coalesce(y, F.lit(year))
+    most = F.day(F.last_day(F.try_make_timestamp_ntz(year_, m, F.lit(1), zero, zero, zero.cast("decimal(8,6)")).cast("date")))
+    day = F.coalesce(d, F.least(F.day(today), most))
+    seconds = (F.coalesce(second, zero).cast("decimal(8,6)") + F.coalesce(fraction, zero).cast("decimal(14,6)") / F.lit(1_000_000)).cast("decimal(8,6)")
+    made = F.try_make_timestamp_ntz(year_, m, day, F.coalesce(h, zero), F.coalesce(minute, zero), seconds)
+    return F.when(clock | hour | named | first | last | compact, made)
+
+
 def parse_timestamp(c: Column, year: int, time_format: str = "") -> Column:
     """The first reading that fits: the given format, ISO, ISO with fraction or zone, Unix seconds (UTC), syslog (in
-    ``year``), common log format.  Null where none does."""
+    ``year``), common log format, else a date or time found somewhere in the text.  Null where none does."""
     tries = [_to(c, time_pattern(time_format))] if time_format else []
     tries += [iso_basic(c), iso_fraction(c), iso_zone(c), unix_seconds(c), syslog_time(c, year), nginx_time(c)]
-    return F.coalesce(*tries)
+    return F.coalesce(*tries, fuzzy_time(c, year))
 
 
 _LEVEL_FIRST = r"^ *(?i:(INFO|ERROR|WARN|DEBUG|FATAL|WARNING|CRITICAL))(?= |$) *(?:\[([^\]]*)\]|(?!\[)([^ ]+)|)(.*)$"

@@ -171,6 +171,29 @@ def parse_timestamp(spark, sf):
     return e.select(F.col("event_id").alias("seq"), text.alias("text")).select("seq", parsing.parse_timestamp(F.col("text"), YEAR).alias("ts"))
 
 
+# Dates within texts, by event_id % 12: (text in Spark, what it reads as in DuckDB)
+_DATES = [
+    ("concat('seen on ', date_format(ts, 'd MMM yyyy HH:mm:ss'), ' by the gate')", "date_trunc('second', ts)"),
+    ("date_format(ts, 'MMM d, yyyy h:mm:ss a')", "date_trunc('second', ts)"),
+    ("date_format(ts, 'yyyy/MM/dd HH:mm')", "date_trunc('minute', ts)"),
+    ("date_format(ts, 'MM/dd/yyyy HH:mm:ss')", "date_trunc('second', ts)"),
+    ("date_format(ts, \"yyyyMMdd'T'HHmmss\")", "date_trunc('second', ts)"),
+    ("concat(date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT')", "date_trunc('second', ts)"),
+    ("date_format(ts, 'MMMM d yyyy')", "date_trunc('day', ts)"),
+    ("date_format(ts, 'yyyy-MM-dd')", "date_trunc('day', ts)"),
+    ("'no date in here'", "NULL"),
+    ("date_format(ts, 'dd.MM.yyyy')", "make_timestamp(year(ts), CASE WHEN day(ts) <= 12 THEN day(ts) ELSE month(ts) END, CASE WHEN day(ts) <= 12 THEN month(ts) ELSE day(ts) END, 0, 0, 0)"),
+    ("date_format(ts, 'MM/dd/yy h a')", "date_trunc('hour', ts)"),
+    ("date_format(ts, 'MMM d HH:mm:ss.SSS')", f"CAST(date_trunc('millisecond', ts) AS TIMESTAMP) + to_years(CAST({YEAR} - year(ts) AS INTEGER))"),
+]
+
+
+@query("SELECT event_id, CAST(CASE event_id % 12 " + " ".join(f"WHEN {k} THEN {x[1]}" for k, x in enumerate(_DATES)) + " END AS TIMESTAMP) AS ts FROM events")
+def parse_fuzzy_dates(spark, sf):
+    text = F.expr("CASE event_id % 12 " + " ".join(f"WHEN {k} THEN {x[0]}" for k, x in enumerate(_DATES)) + " END")
+    return table(spark, sf, "events").select("event_id", parsing.parse_timestamp(text, YEAR).alias("ts"))
+
+
 @query(f"SELECT seq, {duck_level('value')} AS level FROM {duck_lines('text')}")
 def extract_level(spark, sf):
     return event_lines(spark, sf).select("seq", parsing.extract_level(F.col("value")).alias("level"))
@@ -478,6 +501,16 @@ def leader_clusters(spark, sf):
     return clustering.cluster(_cluster_templates(spark, sf), 0.3)
 
 
+@query(f"""WITH m AS MATERIALIZED {_LEADERS}, t AS (SELECT concat('T', lpad(CAST(l_partkey AS VARCHAR), 6, '0')) AS template_id, count(*) AS count, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem GROUP BY 1), p AS (SELECT template_id, array_to_string(tokens, ' ') AS template FROM {_PARTS})
+SELECT cluster_id, max(template) FILTER (template_id = representative_id) AS representative_str, CAST(sum(count) AS BIGINT) AS total_count, min(first_seen) AS first_seen, max(last_seen) AS last_seen, string_agg(template_id, ',' ORDER BY rank) AS templates
+FROM m JOIN t USING (template_id) JOIN p USING (template_id) GROUP BY cluster_id""")
+def leader_cluster_stats(spark, sf):
+    """The statistics of the clusters that leader clustering finds."""
+    t = stored(_cluster_templates(spark, sf), "templates")
+    got = clustering.cluster_stats(clustering.cluster(t, 0.3), t)
+    return got.select("cluster_id", "representative_str", "total_count", "first_seen", "last_seen", F.array_join("templates", ",").alias("templates"))
+
+
 _NAMED = "(SELECT p_name AS cluster_id, l_partkey AS template_id, count(*) AS count, min(l_shipdate) AS first_seen, max(l_shipdate) AS last_seen FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
 
@@ -864,9 +897,12 @@ def tag_badges(spark, sf):
 # --- reports
 
 
-@query("SELECT count(*) AS total_logs, count(DISTINCT event_type) AS total_templates, round(count(*) / 2.5, 6) AS processing_speed FROM events")
+@query("SELECT count(*) AS total_logs, count(DISTINCT event_type) AS total_templates, count(DISTINCT event_type) AS total_clusters, round(count(*) / 2.5, 6) AS processing_speed FROM events")
 def summary(spark, sf):
-    return templated(spark, sf).agg(F.count("*").alias("total_logs"), F.countDistinct("template_id").alias("total_templates"), F.round(F.count("*") / 2.5, 6).alias("processing_speed"))
+    """Templates of one token each, which are clusters of their own."""
+    rows = templated(spark, sf)
+    templates = mining.template_stats(rows).withColumn("tokens", F.array("template_id"))
+    return reports.totals(rows, templates, clustering.cluster(templates), 2.5).withColumn("processing_speed", F.round("processing_speed", 6))
 
 
 _REPORT = "SELECT concat('U', user_id) AS template_id, count(*) AS count, max(props) AS template, count(*) FILTER (event_type = 'error') >= 20 AS is_error, count(*) > 60 AS is_spike, count(*) < 15 AS is_rare FROM events GROUP BY 1"

@@ -156,3 +156,28 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["diff", str(tmp_path / "old.json"), str(tmp_path / "new.json")]) == 2
     assert cli.main(["diff", str(tmp_path / "old.json"), str(tmp_path / "new.json"), "--no-exit-code", "--format", "json"]) == 0
     assert "increased" in capsys.readouterr().out
+
+
+def test_terminal_forms(spark, tmp_path, capsys):
+    (tmp_path / "x.log").write_text("\n".join([f"2024-01-15 10:{i:02d}:0{k} {'ERROR' if k else 'INFO'} srv {w} number {i} <b>&" for i in range(50) for k, w in enumerate(("alpha begins", "beta ends"))]) + "\n")
+    args = [str(tmp_path / "x.log"), "--output-dir", str(tmp_path / "out"), "--format"]
+    assert cli.main(["analyze", *args, "all"]) == 0
+    shown, page = capsys.readouterr().out, (tmp_path / "out/report.html").read_text()
+    for words in ("模板聚类组", "最近创建的模板", "活跃时间最长的模板", "49.0分钟", "错误", "2024-01-15 10:49:01", "ERROR", "INFO", "C0001"):
+        assert words in shown and (words in page or words == "模板聚类组")
+    assert "&lt;b&gt;&amp;" in page and "<b>&" not in page and "<b>&" in shown
+    opts = ["--window", "5", "--min-support", "0.01", "--min-lift", "1", "--min-confidence", "0.1"]
+    assert cli.main(["correlate", str(tmp_path / "x.log"), *opts]) == 0
+    assert "总事件数" in capsys.readouterr().out
+    assert cli.main(["correlate", str(tmp_path / "x.log"), *opts, "--format", "json", "--top", "1"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["summary"]["total_events"] == 100 and len(got["rules"]) <= 1
+    report = {"summary": dict.fromkeys(("total_events", "template_count", "filtered_template_count", "rule_count", "burst_template_count", "chain_count"), 1234), "rules": [{"a": "T1", "b": "T2", "support": 0.5, "confidence": 0.25, "lift": 2.0, "chi2": 4.0, "jaccard": 0.9, "is_strong_correlation": True, "is_burst": False, "is_simultaneous": True}], "chains": [{"path": ["T1", "[T2, T3]"], "edge_weights": [0.25], "total_confidence": 0.25, "length": 2}]}
+    text = reports.correlation_text(report, {"T1": "one", "T2": "two"})
+    assert "1,234" in text and "强关联 同时" in text and "one → two" in text and "[T2, T3]" in text and "累计conf=0.2500" in text
+    for name, lib in (("old", {"T1": {"template_str": "a", "count": 1}, "T2": {"template_str": "gone", "count": 3}}), ("new", {"T1": {"template_str": "a", "count": 9}, "T3": {"template_str": "made", "count": 2, "is_error": True}})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(lib))
+    assert cli.main(["diff", str(tmp_path / "old.json"), str(tmp_path / "new.json"), "-o", str(tmp_path / "d/diff.json")]) == 1
+    shown = capsys.readouterr().out
+    assert all(w in shown for w in ("旧版本日志总数: 4", "新版本日志总数: 11", "新增模板: 1 个", "消失模板: 1 个", "显著增加: 1 个", "+800.0%", "∞", "exit code: 1"))
+    assert [r["template"] for r in json.loads((tmp_path / "d/diff.json").read_text())["added_templates"]] == ["made"]

@@ -79,3 +79,27 @@ def test_scan_and_settings(spark, tmp_path):
     s = overridden(load_settings(str(tmp_path / "c.yaml")), {"drain.sim_th": 0.5, "output.top_n": None})
     assert (s.drain.depth, s.drain.sim_th, s.drain.max_child, s.tags, s.output.top_n) == (6, 0.5, 100, [], 20)
     assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+
+
+FUZZY = [
+    "15 Jan 2024 10:00:01", "Jan 15, 2024 10:00:01 PM", "15th of January 2024", "on 2024/01/15 at 10:05 we saw", "31/12/2023 23:59", "12/31/2023", "01.02.2024 3pm", "20240115T100203", "seen 20240115",
+    "Mon, 15 Jan 2024 10:00:01 GMT", "2024-01-15 10:00", "12:30", "12:30:15.250", "3 pm", "12 am", "September 5 2021 12:01 am", "5 Sept 2021", "2024-02-30", "1/2/99", "7-8-23 04:05", "May 3 2022 noon", "nothing here",
+]
+
+
+def test_dates_within_texts(spark):
+    import datetime
+
+    from dateutil import parser
+
+    today = datetime.datetime.combine(datetime.date.today(), datetime.time())
+
+    def reading(text):
+        try:
+            return parser.parse(text, fuzzy=True, default=today).replace(tzinfo=None)
+        except (ValueError, OverflowError):
+            return None
+
+    df = spark.createDataFrame([(t,) for t in FUZZY], "t string")
+    got = {r.t: r.x for r in df.select("t", parsing.parse_timestamp(F.col("t"), today.year).alias("x")).collect()}
+    assert got == {t: reading(t) for t in FUZZY}
