@@ -23,17 +23,68 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ALONE = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "head": (), "body": ("head", "title", "p")}
 _STOPS = frozenset("ul ol dl table td th div section article aside main body blockquote form nav header footer".split())
 _ENDS_P = _BLOCKS - frozenset("html head title body button label option select ins noscript iframe".split())
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|</?[a-zA-Z!?][^>]*\Z",
-    re.S | re.I,
-)
+_LEAD = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|</?[!?]", re.S)
+_SPECIAL = re.compile(r"[>\"']")
+_RAW = re.compile(r"(script|style)\b", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style")}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
+def _markup(page: str):
+    """(start, end, slash, tag, attributes, raw) of each piece of markup from a place that is sent in: a tag is None for
+    comments and the like; raw, script or style where its text is to be skipped.
+
+    A tag ends at the first > outside quotes, or at the first of all if a quote in it is never closed.  Where the quotes
+    behind a place lead to is remembered, so stray quotes cost a page its size and not its square.
+    """
+    ends: dict[int, int] = {}
+    last = page.rfind(">")
+
+    def quoted_end(at: int) -> int:
+        seen, found = [], -1
+        while m := _SPECIAL.search(page, at):
+            q = m.start()
+            if page[q] == ">":
+                found = q
+                break
+            if q in ends:
+                found = ends[q]
+                break
+            seen.append(q)
+            at = page.find(page[q], q + 1) + 1
+            if not at:
+                break
+        ends.update(dict.fromkeys(seen, found))
+        return found
+
+    at = yield
+    while m := _LEAD.search(page, at):
+        start, behind = m.span()
+        if m[2] is None:
+            if not page.startswith("<!--", start):
+                # a declaration ends at the next >; a page that ends within markup has none
+                behind = page.find(">", behind) + 1 if page[start + 1] != "/" else 0
+                if not behind:
+                    if last > start:
+                        at = m.end()
+                        continue
+                    behind = len(page)
+            at = yield start, behind, "", None, "", None
+            continue
+        end = quoted_end(behind)
+        raw = _RAW.match(m[2]) if end >= 0 and not m[1] else None
+        if end < 0:
+            end = page.find(">", behind)
+        if end < 0:
+            at = yield start, len(page), "", None, "", None
+        elif raw:
+            at = yield start, end + 1, "", None, page[start + 1 + raw.end() : end], raw[1].lower()
+        else:
+            at = yield start, end + 1, m[1], m[2], page[behind:end], None
+
+
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     out = ["t:" + tag]
     for kind, value in _ATTRIBUTE.findall(attributes) if attributes else ():
@@ -112,22 +163,27 @@ def blocks(page: str) -> list[Block]:
         cut(i)
 
     at = foreign = 0
-    while m := _MARKUP.search(page, at):
-        if m.start() > at:
-            t = page[at : m.start()]
+    markup = _markup(page)
+    next(markup)
+    while True:
+        try:
+            start, end, ends, tag, attributes, raw = markup.send(at)
+        except StopIteration:
+            break
+        if start > at:
+            t = page[at:start]
             parts.append(t)
             if linked[1]:
                 linked[0] += len(t)
-        at = m.end()
-        if m[1]:
+        at = end
+        if raw:
             # up to its end, or that of the page; within svg or math it may end itself, as in XML
-            if not (foreign and m[2].endswith("/")):
-                at = _RAW_END[m[1].lower()].search(page, at).end()
+            if not (foreign and attributes.endswith("/")):
+                at = _RAW_END[raw].search(page, at).end()
             continue
-        tag = m[4] or m[7]
         if not tag:
             continue
-        tag, ends, attributes = tag.lower(), m[3] or m[6], m[5] if m[4] else m[8]
+        tag = tag.lower()
         if tag not in _BLOCKS:
             if tag in ("svg", "math") and not (attributes and attributes.endswith("/")):
                 foreign = max(0, foreign + (-1 if ends else 1))

@@ -200,3 +200,17 @@ def test_repeated_benchmark_items_in_passes(spark):
     many = spark.createDataFrame([("a", " ".join(words[5:25]))] * 3000, "item_id string, text string")
     rows = lambda b: sorted(map(tuple, wumanber.decontaminate(docs, b, pass_bytes=200).collect()))
     assert rows(one) == rows(many)
+
+
+def test_pages_of_stray_quotes_cost_their_size():
+    import time
+
+    from sawmill.llm import crf
+
+    began = time.perf_counter()
+    for page in ("<p>x \"' <a b=\"c " * 65_000, "</! " * 250_000 + ">", "<a \"" * 250_000, "<a <b '" * 150_000 + ">"):
+        crf.blocks(page)
+    assert time.perf_counter() - began < 20
+    text = lambda page: [b.text for b in crf.blocks(page)]
+    assert text("<p title='a>b'>one</p><p title=\"c>two</p>three") == ["one", "two", "three"]
+    assert text("<!-- <p>x</p> -->a<script src='>'>no</script>b<!d>c") == ["abc"]
