@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrowmap import map_texts
+from .arrowmap import map_texts, small_batches
 
 WIDTH, ROWS, DELAY = 64, 2048, 4
-#: Pixels that a header may claim beyond the samples that its code streams hold, and samples of one image at most.
-CLAIMED, MOST = 1 << 25, 1 << 28
+#: Pixels of one canvas or frame at most (8192 x 8192): what a task holds at a time, whatever the number of frames.
+MOST = 1 << 26
+#: Rows of a canvas that are coloured, and bytes of frames that are sent on, at a time.
+BAND, SENT = 256, 16 << 20
 #: Histogram cells: two bits of each of red, green and blue.
 CELLS = 64
 
@@ -215,11 +219,24 @@ def _interlaced(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(data: bytes, keep_canvas: bool = True) -> Gif:
-    """All frames.  Disposal 2 clears a frame's rectangle before the next one is drawn, 3 restores what was below it;
-    transparent samples leave the canvas as it is.  Missing samples of a truncated frame are 0; a sample beyond its
-    palette is black.  Data that isn't a GIF raises GifError, and so does one that claims CLAIMED pixels more, canvases that
-    are kept included, than its streams hold samples, or more than MOST samples: memory follows the data."""
+def decode(data: bytes) -> Gif:
+    """All frames, each with a canvas of its own; ``images`` holds one at a time."""
+    gif = Gif(0, 0)
+    for f in images(data, gif):
+        f.canvas = f.canvas.copy()
+        gif.frames.append(f)
+    return gif
+
+
+def images(data: bytes, gif: Gif | None = None) -> Iterator[Frame]:
+    """The frames one after the other, on one canvas: a frame's canvas is good until the next frame is asked for.  ``gif``
+    gets the size and the loops.
+
+    Disposal 2 clears a frame's rectangle before the next one is drawn, 3 restores what was below it; transparent samples
+    leave the canvas as it is.  Missing samples of a truncated frame are 0; a sample beyond its palette is black.  Data that
+    isn't a GIF raises GifError, and so does a canvas or frame of more than MOST pixels.
+    """
+    gif = Gif(0, 0) if gif is None else gif
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
@@ -236,11 +253,9 @@ def decode(data: bytes, keep_canvas: bool = True) -> Gif:
     shared = None
     if flags & 0x80:
         shared, at = palette(flags, at)
-    gif = Gif(width, height)
-    held = 0
-    claimed = width * height
-    if claimed > CLAIMED:
-        raise GifError("a canvas beyond any sample")
+    gif.width, gif.height = width, height
+    if width * height > MOST:
+        raise GifError("a canvas of too many pixels")
     canvas = np.zeros((height, width, 4), np.uint8)
     control, below, start = (0, 0, None), None, 0
     while at < len(data):
@@ -266,11 +281,9 @@ def decode(data: bytes, keep_canvas: bool = True) -> Gif:
         if not 2 <= bits <= 8:
             raise GifError("bad sample size")
         body, at = _blocks(data, at + 1)
-        got = np.frombuffer(lzw_decode(body, bits, min(w * h, MOST - held + 1)), np.uint8)
-        held += len(got)
-        claimed += w * h + (width * height if keep_canvas else 0)
-        if held > MOST or claimed > CLAIMED + 2 * held:
-            raise GifError("more pixels than samples")
+        if w * h > MOST:
+            raise GifError("a frame of too many pixels")
+        got = np.frombuffer(lzw_decode(body, bits, w * h), np.uint8)
         samples = np.zeros(w * h, np.uint8)
         samples[: len(got)] = got
         samples = samples.reshape(h, w)
@@ -283,20 +296,21 @@ def decode(data: bytes, keep_canvas: bool = True) -> Gif:
         y, x = min(top + h, height), min(left + w, width)
         part = samples[: max(0, y - top), : max(0, x - left)]
         area = canvas[top:y, left:x]
-        drawn = np.column_stack([colours, np.full(256, 255, np.uint8)])[part]
-        if transparent is None:
-            area[...] = drawn
-        else:
-            shown = part != transparent
-            area[shown] = drawn[shown]
-        gif.frames.append(Frame(left, top, w, h, delay, disposal, transparent, samples, colours, canvas.copy() if keep_canvas else canvas[top:y, left:x].copy(), start))
+        rgba = np.column_stack([colours, np.full(256, 255, np.uint8)])
+        for r in range(0, len(part), BAND):
+            band, some = area[r : r + BAND], part[r : r + BAND]
+            if transparent is None:
+                band[...] = rgba[some]
+            else:
+                shown = some != transparent
+                band[shown] = rgba[some[shown]]
+        yield Frame(left, top, w, h, delay, disposal, transparent, samples, colours, canvas, start)
         start += delay
         if disposal == 2:
             canvas[top:y, left:x] = 0
         elif disposal == 3:
             canvas = below
         control = (0, 0, None)
-    return gif
 
 
 _GREY = bytes(c for i in range(256) for c in (i, i, i))
@@ -321,11 +335,29 @@ def payload_of(gif: Gif) -> bytes:
     return b"".join(f.samples.tobytes() for f in gif.frames)
 
 
+def cells(rgba: np.ndarray) -> np.ndarray:
+    """The number of opaque pixels in each of CELLS colour cells."""
+    out = np.zeros(CELLS, np.int64)
+    for r in range(0, len(rgba), BAND):
+        part = rgba[r : r + BAND]
+        opaque = part[part[..., 3] > 0]
+        out += np.bincount((opaque[:, 0] >> 6 << 4) | (opaque[:, 1] >> 6 << 2) | opaque[:, 2] >> 6, minlength=CELLS)
+    return out
+
+
 def histogram(rgba: np.ndarray) -> np.ndarray:
     """Share of the opaque pixels in each of CELLS colour cells."""
-    opaque = rgba[rgba[..., 3] > 0]
-    cell = (opaque[:, 0] >> 6 << 4) | (opaque[:, 1] >> 6 << 2) | opaque[:, 2] >> 6
-    return np.bincount(cell, minlength=CELLS) / max(1, len(opaque))
+    n = cells(rgba)
+    return n / max(1, n.sum())
+
+
+def luminance(rgba: np.ndarray) -> np.ndarray:
+    """The number of pixels of each luminance."""
+    out = np.zeros(256, np.int64)
+    for r in range(0, len(rgba), BAND):
+        part = rgba[r : r + BAND].reshape(-1, 4).astype(np.uint16)
+        out += np.bincount((part[:, 0] * 77 + part[:, 1] * 150 + part[:, 2] * 29) >> 8, minlength=256)
+    return out
 
 
 def padded(text: bytes) -> bytes:
@@ -346,19 +378,37 @@ _FRAME = T.StructType(
 
 def frames(df: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
     """A row per frame: the kept columns and index, left, top, width, height, start_ms, delay_ms, disposal, rgb (the whole
-    canvas as shown, three bytes a pixel) and histogram.  Null, empty or broken media have no frames."""
-    kind = pa.list_(pa.struct([(f.name, {"rgb": pa.binary(), "histogram": pa.list_(pa.float32())}.get(f.name, pa.int64())) for f in _FRAME]))
-
-    def one(media: bytes):
-        try:
-            got = decode(media)
-        except (GifError, IndexError, struct.error):
-            return []
-        return [dict(zip(_FRAME.names, (i, f.left, f.top, f.width, f.height, f.start_ms, f.delay_ms, f.disposal, f.canvas[..., :3].tobytes(), histogram(f.canvas).astype(np.float32)), strict=True)) for i, f in enumerate(got.frames)]
-
-    listed = map_texts(df, media_col, lambda: lambda media: [pa.array([one(m) for m in media], kind)], [T.StructField("_frames", T.ArrayType(_FRAME))], keep)
-    kept = [c for c in listed.columns if c != "_frames" and c not in _FRAME.names]
-    return listed.select(*[f"`{c}`" for c in kept], F.explode("_frames").alias("_f")).select(*[f"`{c}`" for c in kept], "_f.*")
+    canvas as shown, three bytes a pixel) and histogram.  Null, empty or broken media have no frames; frames before a
+    broken one stay.  Frames are sent on as they are drawn, so their number takes no memory."""
+    kept = [c for c in (df.columns if keep is None else keep) if c not in _FRAME.names]
+    source = df.select(*[df[f"`{c}`"] for c in dict.fromkeys([*kept, media_col])])
+    schema = T.StructType([source.schema[c] for c in kept] + _FRAME.fields)
+    out = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for k, media in enumerate(batch.column(media_col).to_pylist()):
+                rows, size = [], 0
+                own = [batch.column(c).slice(k, 1) for c in kept]
+
+                def sent(rows, own=own):
+                    cells = [pa.concat_arrays([a] * len(rows)).cast(out.field(i).type) for i, a in enumerate(own)]
+                    cells += [pa.array([r[i] for r in rows], out.field(len(own) + i).type) for i in range(len(_FRAME.names))]
+                    return pa.RecordBatch.from_arrays(cells, schema=out)
+
+                try:
+                    for i, f in enumerate(images(media or b"")):
+                        rows.append((i, f.left, f.top, f.width, f.height, f.start_ms, f.delay_ms, f.disposal, f.canvas[..., :3].tobytes(), histogram(f.canvas).astype(np.float32)))
+                        size += f.canvas.size
+                        if size >= SENT:
+                            yield sent(rows)
+                            rows, size = [], 0
+                except (GifError, IndexError, struct.error):
+                    pass
+                if rows:
+                    yield sent(rows)
+
+    return small_batches(source).mapInArrow(run, schema)
 
 
 def read_back(df: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
@@ -368,20 +418,22 @@ def read_back(df: DataFrame, media_col: str = "media", keep: list[str] | None =
 
     def one(media: bytes):
         size, name = len(media), hashlib.sha256(media).hexdigest()
+        samples, level, cell, ms = [], np.zeros(256), np.zeros(CELLS, np.int64), 0
         try:
-            gif = decode(media, keep_canvas=False)
+            for f in images(media):
+                samples.append(f.samples.tobytes())
+                shown = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+                level += luminance(shown)
+                cell += cells(shown)
+                ms += f.delay_ms
         except (GifError, IndexError, struct.error):
             return None, size, name, None
-        shown = np.concatenate([f.canvas.reshape(-1, 4) for f in gif.frames]) if gif.frames else np.zeros((0, 4), np.uint8)
-        light = (shown[:, 0].astype(np.uint16) * 77 + shown[:, 1].astype(np.uint16) * 150 + shown[:, 2].astype(np.uint16) * 29) >> 8
-        level = np.bincount(light, minlength=256).astype(np.float64)
         n = max(1.0, level.sum())
         mean = (level * np.arange(256)).sum() / n
         sd = np.sqrt(max(0.0, (level * np.arange(256) ** 2).sum() / n - mean * mean))
-        share = histogram(shown)
-        cells = ",".join(f"{c}:{share[c]:.4f}" for c in np.argsort(-share, kind="stable")[:4] if share[c] > 0)
-        ms = sum(f.delay_ms for f in gif.frames)
-        return payload_of(gif), size, name, f"frames={len(gif.frames)};ms={ms};mean={mean:.3f};sd={sd:.3f};cells={cells}"
+        share = cell / max(1, cell.sum())
+        fullest = ",".join(f"{c}:{share[c]:.4f}" for c in np.argsort(-share, kind="stable")[:4] if share[c] > 0)
+        return b"".join(samples), size, name, f"frames={len(samples)};ms={ms};mean={mean:.3f};sd={sd:.3f};cells={fullest}"
 
     def f(media):
         rows = [one(m) for m in media]
