@@ -669,6 +669,30 @@ def test_recall_of_candidates(similarity, spread):
     assert found >= 0.9 * pairs, found
 
 
+@pytest.mark.parametrize("n", [20, 25, 30, 35, 40, 50, 60, 75])
+def test_recall_of_short_texts(n):
+    """Each length by itself, pairs right at 0.8 with evenly spread substitutions, by all keys that a text has."""
+    rng = random.Random(n)
+    found, pairs, last = 0, 200, omh.covered(0.8)
+    for _ in range(pairs):
+        a = [f"v{rng.randrange(3000)}" for _ in range(n)]
+        most = int(0.2 * n + 1e-9)
+        b = list(a)
+        for e in range(most):
+            b[(2 * e + 1) * n // (2 * most)] = f"x{e}"
+        w = textvec.words([" ".join(a).encode(), " ".join(b).encode()])
+        (s, f), (t, g) = textvec.shingles(w, 5), textvec.shingles(w, 3)
+        keys = []
+        for i in (0, 1):
+            own = w.hashes[w.first[i] : w.first[i + 1]]
+            k = {*omh.sketch(s[f[i] : f[i + 1]]).tolist(), *omh.sketch(t[g[i] : g[i + 1]], omh.SPREAD_BANDS, omh.PICKS, omh.BANDS).tolist()}
+            if n <= omh.CLOSE_WORDS:
+                k |= set(omh.sketch(omh.neighbours(own), omh.CLOSE_BANDS, omh.PICKS, omh.BANDS + omh.SPREAD_BANDS).tolist())
+            keys.append(k)
+        found += bool(keys[0] & keys[1]) or n <= last
+    assert found >= 0.9 * pairs, found
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=30), st.lists(st.integers(0, 40), max_size=30), st.integers(1, 60))
 def test_only_far_pairs_are_ruled_out(a, b, times):
