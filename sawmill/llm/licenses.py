@@ -48,6 +48,25 @@ _TEXTS = {
 }
 
 
+# Digests of the canonical forms of whole licence texts, as distributions carry them (appendices and "how to
+# apply" parts included).  digest() makes them; a change of the canonical form needs them made again.
+DIGESTS = {
+    "Apache-2.0": "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6",
+    "Artistic-1.0-Perl": "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2-or-later": "66919c3537107c2c9f5219f6ba4c41fe9c0d7c14d885087e3db69494463a778e",
+    "GFDL-1.3-or-later": "525fd4384869c81c4cbd264822942ae15202284aed28fb120ba01fc119dda9ff",
+    "GPL-1.0": "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f",
+    "GPL-2.0": "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6",
+    "GPL-3.0": "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8",
+    "LGPL-2.0": "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e",
+    "LGPL-2.1": "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}
+
+
 def known_licenses() -> list[tuple[str, str]]:
     """(license_id, text) of the texts and notices that this module knows."""
     return [(k, t) for k, t in _TEXTS.items()] + [(k, t) for k, ts in _NOTICES.items() for t in ts]
@@ -108,9 +127,13 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """digest, license_id: one row per digest (the least id where texts of two ids have one form); empty forms go."""
+    """digest, license_id: one row per digest (the least id where texts of two ids have one form); empty forms go.  Without
+    ``known`` texts, those of known_licenses() and DIGESTS."""
     rows = spark.createDataFrame(known_licenses() if known is None else known, "license_id string, text string")
-    return rows.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    rows = rows.where(canonical(F.col("text")) != "").select(digest(F.col("text")).alias("digest"), "license_id")
+    if known is None:
+        rows = rows.unionByName(spark.createDataFrame(list(DIGESTS.items()), "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 #: Known digests are broadcast up to so many rows (about 100 bytes each), and joined by a shuffle beyond.

@@ -162,8 +162,10 @@ def _canonical_sql(text: str) -> str:
 
 def _license_sql() -> str:
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.known_licenses())
+    digests = ", ".join(f"('{i}', '{d}')" for i, d in licenses.DIGESTS.items())
     return f"""
-WITH known AS (SELECT sha256({_canonical_sql("t")}) AS digest, min(i) AS license_id FROM (VALUES {values}) v(i, t) GROUP BY 1),
+WITH texts AS (SELECT i, sha256({_canonical_sql("t")}) AS digest FROM (VALUES {values}) v(i, t) UNION ALL SELECT i, d FROM (VALUES {digests}) w(i, d)),
+known AS (SELECT digest, min(i) AS license_id FROM texts GROUP BY 1),
 lines AS (SELECT doc_id, n, sha256({_canonical_sql("line")}) AS digest FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents)
     WHERE length(trim(line)) > 0),

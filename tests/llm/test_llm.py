@@ -1,6 +1,7 @@
 """Brute-force versions, round trips and edge cases of the training-data operators."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -176,6 +177,17 @@ def test_luminance_of_colours(spark):
 # --- 2 licences
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_whole_texts_of_long_licences(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for f, i in files.items():
+        t = open(f"/usr/share/common-licenses/{f}").read()
+        rows += [(i, t), (i, "Copyright (c) 2021 Some Body\n" + t.upper()), (i, re.sub(r"\blicense\b", "licence", t).replace(", ", " ; ")), (None, t + " but"), (None, t[:-40])]
+    got = licenses.scan(spark.createDataFrame(rows, "want string, text string"), licenses.known_digests(spark)).collect()
+    assert len(got) == len(rows) and [(r.want, r.license_id, r.text[:40]) for r in got if r.want != r.license_id] == []
+
+
 def test_licence_digests(spark, docs, empty):
     known = licenses.known_digests(spark)
     mit = dict(licenses.known_licenses()[:1])["MIT"]
