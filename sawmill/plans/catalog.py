@@ -1005,15 +1005,31 @@ def state_versions(spark, sf):
 @query(SQL["bucket_hour"])
 def stream_available_now(spark, sf):
     """Event counts by hour as a stream that ends with the input."""
-    from sawmill.streaming import incremental
+    from sawmill.streaming import incremental, vanishing
+
+    at = new_path(spark, "counts")
+    counts = incremental.windowed_counts(_event_stream(spark, sf, "event_type"))
+    vanishing.counts_to_table(counts, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return vanishing.latest_counts(spark, f"{at}/table").select("template_id", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "value")
+
+
+def _event_stream(spark: SparkSession, sf: str, template: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet")
+    return stream.select(F.expr(template).alias("template_id"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""SELECT template_id, CAST(ts AS TIMESTAMP) AS vanished_since FROM (SELECT concat('u', user_id) AS template_id, date_trunc('second', ts) AS ts,
+lead(date_trunc('second', ts)) OVER (PARTITION BY user_id ORDER BY ts) AS next, max(date_trunc('second', ts)) OVER () AS newest FROM events WHERE ts IS NOT NULL)
+WHERE CASE WHEN next IS NULL THEN ts + INTERVAL 2 DAY <= newest - INTERVAL 1 HOUR ELSE next - ts > INTERVAL 2 DAY END""")
+def stream_vanished(spark, sf):
+    """Users who fall silent for two days, as a stream with state and timers, written to a table."""
+    from sawmill.streaming import vanishing
 
-    folder = f"{sf}/events.parquet"
-    schema = spark.read.parquet(folder).schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").select(F.col("event_type").alias("template_id"), "ts")
-    name = "sawmill_stream_counts"
-    q = incremental.windowed_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("template_id", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "value")
+    at = new_path(spark, "silent")
+    silent = vanishing.vanished(_event_stream(spark, sf, "concat('u', user_id)"), "2 days", "1 hour")
+    vanishing.to_table(silent, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("template_id string, vanished_since timestamp_ntz").parquet(f"{at}/table")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -259,3 +259,23 @@ def test_parsed_lines_from_a_stream_state(spark, tmp_path):
     e = parsed(from_iterable(spark, ["2024-01-15 10:00:01 INFO srv request 1"]), Settings().input, 2024)
     store = StateStore(spark, str(tmp_path))
     assert plans.advance_state(store, e, Settings(), batch="a")[0] is not None and plans.advance_state(store, e, Settings(), batch="a")[0] is None
+
+
+def test_silence_is_reported_once_whatever_the_batches(spark, tmp_path):
+    from sawmill.streaming import vanishing
+
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = sorted((start + dt.timedelta(minutes=rng.randrange(0, 6000)), f"t{rng.randrange(12)}") for _ in range(200))
+    want, newest = [], rows[-1][0]
+    for t in {t for _, t in rows}:
+        times = [at for at, x in rows if x == t]
+        want += [(t, a) for a, b in zip(times, [*times[1:], None], strict=True) if (a + dt.timedelta(hours=10) <= newest - dt.timedelta(minutes=10) if b is None else b - a > dt.timedelta(hours=10))]
+    stream = lambda: spark.readStream.schema("template_id string, ts timestamp_ntz").parquet(str(tmp_path / "in"))
+    for k in range(4):  # each run goes on from the checkpoint of the one before
+        part = rows[50 * k : 50 * k + 50]
+        rng.shuffle(part)
+        spark.createDataFrame([(t, at) for at, t in part], "template_id string, ts timestamp_ntz").write.mode("append").parquet(str(tmp_path / "in"))
+        vanishing.to_table(vanishing.vanished(stream(), "10 hours", "10 minutes"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = [(r.template_id, r.vanished_since) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 30
