@@ -227,7 +227,6 @@ def test_command_line_goes_on(spark, tmp_path, capsys):
     run = lambda *more: cli.main(["analyze", str(log), "--state", state, "--incremental", "--format", "json", "--output-dir", str(tmp_path / "out"), *more])
     report = lambda: json.loads((tmp_path / "out/report.json").read_text())
     assert run() == 0 and report()["summary"]["total_logs"] == 10
-    assert run() == 0 and report()["summary"]["total_logs"] == 0 and report()["templates"][0]["stats"]["count"] == 10
     with log.open("a") as f:
         f.write(line.format(50, 5) + "2024-01-15 11:00:00 ERROR srv something else broke\n")
     assert run() == 0
@@ -235,8 +234,6 @@ def test_command_line_goes_on(spark, tmp_path, capsys):
     assert got == {"request <NUM> took <NUM> ms": (11, False), "something else broke": (1, True)} and report()["summary"]["total_logs"] == 2
     assert cli.main(["save-state", str(log), "--state", state]) == 0  # without --incremental it starts over
     assert StateStore(spark, state).templates().agg(F.sum("count").alias("n")).first().n == 12
-    assert cli.main(["save-state", str(log), "--state", state, "--incremental"]) == 0
-    assert StateStore(spark, state).templates().agg(F.sum("count").alias("n")).first().n == 12
 
 
 @pytest.mark.parametrize("seed", range(3))
