@@ -52,7 +52,6 @@ def closure(texts: DataFrame) -> DataFrame:
 
 
 _STEPS = "component string, step bigint, template_id string, into_old string, into_made int, gone_made int, kind string, level int, first_rank bigint, first_made int, made int"
-_KEPT = "component string, template_id string, made int, tokens array<string>"
 
 
 def _merged_component(pdf: pd.DataFrame) -> pd.DataFrame:
