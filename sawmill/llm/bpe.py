@@ -2,35 +2,45 @@
 
 A text is cut into words by a pattern; a word's bytes are its first pieces, and the two neighbours whose joined bytes have
 the least rank become one piece (the leftmost of equal ones) until no two neighbours have a rank.  The merges are a fold by
-higher-order functions over the array of pieces; ranks come from a literal map in hash buckets, so that a look-up costs the
-same for any vocabulary.  Words that have a rank need no fold; the most frequent of the others are folded once for all
-texts and looked up like ranks (``common_words``); the rest are folded where they stand.  So that table changes the time
-and never the ids.
+higher-order functions over an array of integers, one for each piece; the rank of two neighbours is looked up by their ids
+in a literal perfect hash table.  Words that have a rank need no fold.  The most frequent of the others are folded once for
+all texts (``common_words``), the rest once in a task: Arrow stages cut the texts into codes of words before the fold, and
+put ids in the place of codes behind it.  So that table changes the time and never the ids.
 
-A byte is held as the character of its number (ISO-8859-1), because literal maps have strings as keys.
+A byte is held as the character of its number (ISO-8859-1) where Spark takes a word apart.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import json
-import zlib
-from collections.abc import Iterable
+import random
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .arrowmap import small_batches
+from .storage import held
 
 #: Longer words (in bytes) go to a helper with a heap: the fold's time grows with the square of a word's length.
 FOLD_BYTES = 96
-#: Words that are folded once for all texts: at most so many, of at most FOLD_BYTES bytes each (6 MB at most).
-COMMON = 1 << 16
-#: No rank: greater than any.
-NONE = (1 << 31) - 1
-#: More than a folded word has pieces: rank * SLOTS + place orders neighbours by rank, then from the left.
-SLOTS = 1 << 12
+#: Words that are folded once for all texts: at most so many, of at most FOLD_BYTES bytes each (some 40 MB in all; a task's
+#: dictionary of them takes some 200 MB).
+COMMON = 1 << 20
+#: Words that a task remembers before it begins anew.
+REMEMBERED = 1 << 19
+#: Bits of an id, and of a piece's place in a word that is folded.
+BITS, PLACE = 20, 12
 
 
 @dataclass(frozen=True)
@@ -46,56 +56,96 @@ class Vocabulary:
         with open(path, "rb") as f:
             return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
+    @functools.cached_property
+    def words(self) -> dict[str, int]:
+        """Ranks of those that are whole characters."""
+        found = ((k.decode(errors="replace"), k, v) for k, v in self.ranks.items())
+        return {w: v for w, k, v in found if w.encode() == k}
+
 
 def as_characters(word: Column) -> Column:
     return F.decode(word.cast("binary"), "ISO-8859-1")
 
 
-def literal_map(entries: Iterable[tuple[str, object]], kind: str) -> Column:
-    """A literal array of hash buckets, each a small map; Catalyst folds it into one value when it plans."""
-    entries = list(entries)
-    n = 1 << max(4, len(entries).bit_length())
-    buckets: list[dict] = [{} for _ in range(n)]
-    for key, value in entries:
-        buckets[zlib.crc32(key.encode()) & (n - 1)][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), f"array<map<string,{kind}>>")
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def look(table: Column, key: Column) -> Column:
-    """The value of a key in a literal map, or null."""
-    return F.get(table, F.crc32(key).bitwiseAND((F.size(table) - 1).cast("bigint")).cast("int"))[key]
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
-def bind(value: Column, use) -> Column:
-    """use(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
+
+
+#: Of the table's hash functions.
+_P, _Q = 40503, 30011
+
+
+def _ranks(vocabulary: Vocabulary) -> Column:
+    """The ranks of neighbours as a struct of literals: ``bytes``: the id of each byte, and ``shifts`` and ``slots``: a perfect
+    hash of the two ids, with the masks of both.  A slot is empty or holds left id, right id and rank, from the high bits on."""
+    ranks = vocabulary.ranks
+    if max(ranks.values()) >= 1 << BITS:
+        raise ValueError(f"ids of more than {BITS} bits")
+    splits = ((ranks.get(w[:i]), ranks.get(w[i:]), r) for w, r in ranks.items() for i in range(1, len(w)))
+    pairs = [(a, b, r) for a, b, r in splits if a is not None and b is not None]
+    n = 1 << max(4, (2 * len(pairs)).bit_length())
+    groups = defaultdict(list)
+    for a, b, r in pairs:
+        groups[(a + b * _P) & (n // 8 - 1)].append((a * _Q + b, (a << BITS | b) << BITS | r))
+    slots: list[int | None] = [None] * n
+    shifts = [0] * (n // 8)
+    rng = random.Random(0)
+    for g, group in sorted(groups.items(), key=lambda x: -len(x[1])):
+        if len({h & (n - 1) for h, _ in group}) < len(group):
+            raise ValueError("two pairs of ids have the same hashes")
+        while any(slots[(h + shifts[g]) & (n - 1)] is not None for h, _ in group):
+            shifts[g] = rng.randrange(n)
+        for h, x in group:
+            slots[(h + shifts[g]) & (n - 1)] = x
+    one = [ranks[bytes([i])] for i in range(256)]
+    masks = (_long(n // 8 - 1).alias("shift_mask"), _long(n - 1).alias("slot_mask"))
+    return F.struct(*masks, _literal(one, "bigint").alias("bytes"), _literal(shifts, "bigint").alias("shifts"), _literal(slots, "bigint").alias("slots"))
 
 
 def fold(word: Column, ranks: Column) -> Column:
-    """The ids of a word (characters that stand for bytes, not empty).  A step of the fold is a merge in (pieces, ranks of
-    neighbours joined); once no neighbours have a rank, the rest of the steps change nothing."""
-    rank = lambda a, b: F.coalesce(look(ranks, F.concat(a, b)), F.lit(NONE).cast("bigint"))
+    """The ids of a word (characters that stand for bytes, not empty, at most FOLD_BYTES).
+
+    A piece is a number: from the high bits on the rank of the piece joined with its right neighbour (1 above all ranks for
+    none), the place of its first byte, its id.  So the least number is the leftmost of the least rank.  A step of the fold
+    is a merge; once no neighbours have a rank, the rest of the steps change nothing."""
+    none, low, id_of = _long(1 << BITS), _long((1 << BITS + PLACE) - 1), _long((1 << BITS) - 1)
+    places = _long((1 << BITS + PLACE) - (1 << BITS))
+
+    def rank(a: Column, b: Column) -> Column:
+        shift = F.get(ranks["shifts"], (a + b * _P).bitwiseAND(ranks["shift_mask"]).cast("int"))
+        found = F.get(ranks["slots"], (a * _Q + b + shift).bitwiseAND(ranks["slot_mask"]).cast("int"))
+        # what is left of a slot without its own ids is the rank; other ids leave higher bits
+        return F.least(found.bitwiseXOR(F.shiftleft(F.shiftleft(a, BITS) + b, BITS)), none)
 
     def step(s: Column, _: Column) -> Column:
         def merged(least: Column) -> Column:
-            k = F.pmod(least, F.lit(SLOTS)).cast("int")
-            pieces = F.transform(s["p"], lambda x, i: F.when(i == k, F.concat(x, F.get(s["p"], k + 1))).when(i == k + 1, F.lit(None)).otherwise(x))
+            made = F.shiftright(least, BITS + PLACE)
 
-            def around(p: Column) -> Column:
-                pair = lambda i: rank(F.get(p, i), F.get(p, i + 1))
-                ranked = F.transform(s["r"], lambda x, i: F.when(i == k, F.lit(None)).when(i == k - 1, pair(i)).when(i == k + 1, pair(k)).otherwise(x))
-                return F.struct(p.alias("p"), F.filter(ranked, lambda x: x.isNotNull()).alias("r"))
+            def at(k: Column) -> Column:
+                right = rank(made, F.get(s, k + 1).bitwiseAND(id_of))
+                whole = F.shiftleft(right, BITS + PLACE) + least.bitwiseAND(places) + made
+                before = lambda x: F.shiftleft(rank(x.bitwiseAND(id_of), made), BITS + PLACE) + x.bitwiseAND(low)
+                rest = F.filter(s, lambda x, i: i != k)
+                return F.transform(rest, lambda x, i: F.when(i == k - 1, whole).when(i == k - 2, before(x)).otherwise(x))
 
-            return F.when(least >= NONE * SLOTS, s).otherwise(bind(F.filter(pieces, lambda x: x.isNotNull()), around))
+            return F.when(made >= none, s).otherwise(bind(F.array_position(s, least).cast("int"), at))
 
-        return F.when(F.size(s["r"]) == 0, s).otherwise(bind(F.array_min(F.transform(s["r"], lambda x, i: x * F.lit(SLOTS) + i)), merged))
+        return bind(F.array_min(s), merged)
 
-    def merges(pieces: Column) -> Column:
-        pairs = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda x, i: rank(x, F.get(pieces, i + 1)))
-        start = F.struct(pieces.alias("p"), pairs.alias("r"))
-        return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda s: F.transform(s["p"], lambda x: look(ranks, x).cast("int")))
+    def merges(ids: Column) -> Column:
+        piece = lambda x, i: F.shiftleft(rank(x, F.get(ids, i + 1)), BITS + PLACE) + F.shiftleft(i.cast("bigint"), BITS) + x
+        return F.aggregate(F.slice(ids, F.lit(2), F.size(ids)), F.transform(ids, piece), step, lambda s: F.transform(s, lambda x: x.bitwiseAND(id_of).cast("int")))
 
-    return bind(F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.substring(word, i, F.lit(1))), merges)
+    return bind(F.transform(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.get(ranks["bytes"], F.ascii(F.substring(word, i, F.lit(1))))), merges)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -127,58 +177,157 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[a : end[a]]] for a in range(len(word)) if alive[a]]
 
 
-def words_of(text: Column, vocabulary: Vocabulary) -> Column:
-    """The matches of the pattern, in order; classes and spaces are those of Unicode."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + vocabulary.pattern), F.lit(0))
-
-
-def common_words(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", most: int = COMMON) -> list[tuple[str, list[int]]]:
-    """(characters of the bytes, ids) of the ``most`` most frequent distinct words that need merges, counted over all texts.
-    Counts are added up before they are shuffled, a row for each distinct word and task."""
-    ranks = _ranks(vocabulary)
-    words = df.select(F.explode(words_of(F.col(f"`{text_col}`"), vocabulary)).alias("w")).where(F.octet_length("w").between(2, FOLD_BYTES))
-    counted = words.groupBy("w").agg(F.count("*").alias("n"))
-    needed = counted.where(bind(ranks, lambda r: look(r, as_characters(F.col("w")))).isNull())
-    top = needed.orderBy(F.desc("n"), "w").limit(most)
-    found = top.select(as_characters(F.col("w")).alias("c")).withColumn("ids", bind(ranks, lambda r: fold(F.col("c"), r)))
-    return [(x.c, list(x.ids)) for x in found.toLocalIterator()]
-
-
-def _ranks(vocabulary: Vocabulary) -> Column:
-    return literal_map(((k.decode("latin-1"), v) for k, v in vocabulary.ranks.items()), "bigint")
-
-
-def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", common: int = COMMON) -> DataFrame:
+@functools.cache
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """A function that lists the matches of the pattern, in order; classes and spaces are those of Unicode."""
+    import regex
+
+    return regex.compile(pattern).findall
+
+
+def texts_in(column: pa.Array) -> list[str]:
+    return [x or "" for x in column.to_pylist()]
+
+
+def common_words(df: DataFrame, vocabulary: Vocabulary, ranks: Column, text_col: str = "text", most: int = COMMON) -> tuple[list[str], pa.Array]:
+    """At most ``most`` distinct words that need merges, those of the highest counts over all texts, and the ids of each.
+
+    For speed a task counts what stands between spaces, and cuts each distinct piece of that once, behind a space: where a
+    text begins or has other white space, the words counted may not be its words.  Counts are added up in a task before they
+    are shuffled."""
+    own, pattern = df.sparkSession.sparkContext.broadcast(vocabulary.words), vocabulary.pattern
+    fields = T.StructType([T.StructField("w", T.StringType()), T.StructField("n", T.LongType())])
+    out = to_arrow_schema(fields)
+
+    def sent(cut: Callable[[str], list[str]], counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        known, words = own.value, defaultdict(int)
+        for piece, n in counts.items():
+            for w in cut(" " + piece):
+                if w not in known:
+                    words[w] += n
+        found = [(w, n) for w, n in words.items() if len(w.encode()) <= FOLD_BYTES]
+        for at in range(0, len(found), 1 << 16):
+            ws, ns = zip(*found[at : at + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ws, out.field(0).type), pa.array(ns, out.field(1).type)], schema=out)
+
+    def count(batches):
+        cut, counts = cutter(pattern), Counter()
+        for batch in batches:
+            for text in texts_in(batch.column(0)):
+                counts.update(text.split(" "))
+            if len(counts) > REMEMBERED:
+                yield from sent(cut, counts)
+                counts.clear()
+        yield from sent(cut, counts)
+
+    counted = held(small_batches(df.select(df[f"`{text_col}`"].cast("string"))).mapInArrow(count, fields).groupBy("w").agg(F.sum("n").alias("n")))
+    n_words = {r.n: r.words for r in counted.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("words")).collect()}
+    least, room = (1 << 16) + 1, most
+    for n in sorted(n_words, reverse=True):
+        room -= n_words[n]
+        if room < 0:
+            break
+        least = n
+    top = counted.where(F.col("n") >= max(least, 2)).select("w", bind(ranks, lambda r: fold(as_characters(F.col("w")), r)).alias("ids")) if least <= 1 << 16 else None
+    found = top.toArrow().combine_chunks() if top is not None else None
+    counted.unpersist()
+    if found is None:
+        return [], pa.array([], pa.list_(pa.int32()))
+    ids = found["ids"].combine_chunks()
+    return found["w"].to_pylist(), ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+
+
+class Codes(dict):
+    """Codes of words.  A word without one gets the next, and is listed in ``new``."""
+
+    def __init__(self, known: dict[str, int], first: int):
+        super().__init__(known)
+        self.next, self.new = first, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = self.next
+        self.next += 1
+        self.new.append(word)
+        return code
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", common: int = COMMON, keep: list[str] | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """``df`` with the ids of each text: those that byte-level BPE gives to each match of the pattern by itself, without
     special tokens.
 
     A null or empty text has no ids; every row stays, repeated ones too; an empty table stays empty; a column named like
-    the ids is replaced.  Words of any length are whole.  Letters, digits and spaces are those of the Unicode version of the
-    JVM.
+    the ids is replaced.  Words of any length are whole.  ``keep``: the columns that stay (all by default).  ``common`` words
+    are folded once for all texts, and a task begins anew once it remembers more than ``remembered`` others: both change the
+    time only.
     """
-    held = df.sparkSession.sparkContext.broadcast(vocabulary.ranks)
-
-    @F.pandas_udf("array<array<int>>")
-    def long_ids(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: [merge_long(str(w).encode(), held.value) for w in ws])
-
-    known = common_words(df, vocabulary, text_col, common) if common else []
-    ranks, common_map = _ranks(vocabulary), literal_map(known, "array<int>")
-    too_long = lambda w: F.octet_length(w) > FOLD_BYTES
-    out = df.withColumn("_words", words_of(F.col(f"`{text_col}`"), vocabulary))
-    out = out.withColumn("_long", long_ids(F.filter("_words", too_long)))
-    # where the ids of the long words stand: a running number among them, which short texts don't need
-    out = out.withColumn("_nth", F.when(F.size("_long") > 0, F.filter(F.transform("_words", lambda w, i: F.when(too_long(w), i)), lambda x: x.isNotNull())))
-
-    def ids(r: Column, c: Column) -> Column:
-        def short(word: Column) -> Column:
-            ranked = lambda x: F.when(look(r, x).isNotNull(), F.array(look(r, x).cast("int")))
-            return bind(as_characters(word), lambda x: F.coalesce(ranked(x), look(c, x), fold(x, r)))
-
-        return F.flatten(F.transform("_words", lambda w, i: F.when(too_long(w), F.get("_long", (F.array_position("_nth", i) - 1).cast("int"))).otherwise(short(w))))
-
-    whole = bind(F.struct(ranks.alias("r"), common_map.alias("c")), lambda t: ids(t["r"], t["c"]))
-    return out.withColumn(ids_col, whole).drop("_words", "_long", "_nth")
+    context = df.sparkSession.sparkContext
+    ranks, pattern, one = _ranks(vocabulary), vocabulary.pattern, max(vocabulary.ranks.values()) + 1
+    words, folded = common_words(df, vocabulary, ranks, text_col, common) if common else ([], pa.array([], pa.list_(pa.int32())))
+    # the code of a word that has a rank is its id; those of common words follow
+    own = context.broadcast(vocabulary.words | {w: one + i for i, w in enumerate(words)})
+    ids_of = context.broadcast((np.concatenate([np.ones(one, np.int64), folded.value_lengths().to_numpy()]), np.concatenate([np.arange(one, dtype=np.int32), folded.flatten().to_numpy()])))
+    first, by_bytes = one + len(words), context.broadcast(vocabulary.ranks)
+
+    kept = [c for c in (df.columns if keep is None else keep) if c != ids_col]
+    source = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{text_col}`"].cast("string").alias("_text"))
+    same = [source.schema[c] for c in kept]
+    numbers = T.ArrayType(T.IntegerType())
+    word = T.StructType([T.StructField("w", T.StringType()), T.StructField("ids", numbers)])
+    cut_schema = T.StructType([*same, T.StructField("_codes", numbers), T.StructField("_anew", T.BooleanType()), T.StructField("_new", T.ArrayType(word))])
+    cut_out, schema = to_arrow_schema(cut_schema), T.StructType([*same, T.StructField(ids_col, numbers)])
+    out = to_arrow_schema(schema)
+
+    def fresh(words: list[str]) -> pa.Array:
+        own_bytes = [w.encode() for w in words]
+        short = [b.decode("latin-1") if len(b) <= FOLD_BYTES else None for b in own_bytes]
+        ids = [None if w is not None else merge_long(b, by_bytes.value) for w, b in zip(short, own_bytes, strict=True)]
+        kind = cut_out.field("_new").type.value_type
+        return pa.StructArray.from_arrays([pa.array(short, kind.field(0).type), pa.array(ids, kind.field(1).type)], fields=list(kind))
+
+    def cut_into_codes(batches):
+        cut, codes = cutter(pattern), Codes(own.value, first)
+        for batch in batches:
+            anew = codes.next - first > remembered
+            if anew:
+                codes = Codes(own.value, first)
+            found, ends, new_ends = array("i"), [0], [0]
+            code = codes.__getitem__
+            for text in texts_in(batch.column(len(kept))):
+                found.extend(map(code, cut(text)))
+                ends.append(len(found))
+                new_ends.append(len(codes.new))
+            new, codes.new = fresh(codes.new), []
+            made = [_lists(ends, pa.array(np.frombuffer(found, np.int32))), pa.array([anew and i == 0 for i in range(batch.num_rows)]), _lists(new_ends, new)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(cut_out.field(i).type) for i in range(len(kept))), *(a.cast(cut_out.field(len(kept) + i).type) for i, a in enumerate(made))], schema=cut_out)
+
+    def codes_into_ids(batches):
+        lengths, flat = ids_of.value
+        for batch in batches:
+            codes, anew, new = (batch.column(len(kept) + i) for i in range(3))
+            at = [0, *(i for i in np.flatnonzero(anew.to_numpy(zero_copy_only=False)).tolist() if i), batch.num_rows]
+            lists = []
+            for a, b in zip(at, at[1:], strict=False):
+                if b > a and anew[a].as_py():
+                    lengths, flat = ids_of.value
+                more = new.slice(a, b - a).flatten()
+                lengths, flat = np.concatenate([lengths, more.value_lengths().to_numpy()]), np.concatenate([flat, more.flatten().to_numpy()])
+                part = codes.slice(a, b - a)
+                used, texts = part.flatten().to_numpy(), part.value_lengths().to_numpy()
+                n = lengths[used]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                begins = np.cumsum(lengths) - lengths
+                ids = flat[np.repeat(begins[used] - ends[:-1], n) + np.arange(ends[-1])]
+                lists.append(_lists(ends[np.concatenate([[0], np.cumsum(texts)])], pa.array(ids, pa.int32())))
+            ids = pa.concat_arrays(lists)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(out.field(i).type) for i in range(len(kept))), ids.cast(out.field(len(kept)).type)], schema=out)
+
+    cut_rows = small_batches(source).mapInArrow(cut_into_codes, cut_schema)
+    new = bind(ranks, lambda r: F.transform("_new", lambda x: F.coalesce(x["ids"], fold(x["w"], r))))
+    return small_batches(cut_rows.withColumn("_new", new)).mapInArrow(codes_into_ids, schema)
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -187,5 +336,6 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     for k, v in vocabulary.ranks.items():
         pieces[v] = k.decode("latin-1")
     table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    known = F.forall(ids, lambda i: (i >= 0) & (i < len(pieces)))
-    return F.when(known, F.encode(F.array_join(bind(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), ""), "ISO-8859-1"))
+    # a character that no byte stands for marks what isn't in the vocabulary
+    joined = bind(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "", "\u0100"))
+    return bind(joined, lambda x: F.when(~F.contains(x, F.lit("\u0100")), F.encode(x, "ISO-8859-1")))

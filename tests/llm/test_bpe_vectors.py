@@ -42,6 +42,25 @@ def test_ids_and_bytes(spark, vocabulary, plain, common):
         assert list(r.ids) == plain.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
 
 
+@pytest.mark.parametrize("remembered", [0, 7, bpe.REMEMBERED])
+def test_a_task_folds_a_word_once(spark, vocabulary, plain, remembered):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bdehlnorstué") for _ in range(rng.randrange(5, 14))) for _ in range(60)] + ["q" * 300]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(12))) for i in range(90)}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4")
+    try:
+        df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, other int").coalesce(2)
+        got = bpe.encode(df, vocabulary, common=20, keep=["doc_id"], remembered=remembered).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(r.doc_id for r in got) == sorted(texts) and got[0].__fields__ == ["doc_id", "ids"]
+    assert all(list(r.ids) == plain.encode_ordinary(texts[r.doc_id]) for r in got)
+    codes = bpe.Codes({"a": 1}, 5)
+    assert [codes[w] for w in ("x", "a", "y", "x")] == [5, 1, 6, 5] and codes.new == ["x", "y"]
+
+
 def test_bpe_of_nothing(spark, vocabulary):
     assert bpe.encode(spark.createDataFrame([], "text string"), vocabulary).collect() == []
     bad = spark.createDataFrame([([1, -1],), ([10**6],), ([],), (None,)], "ids array<int>").select(bpe.decode(F.col("ids"), vocabulary).alias("b")).collect()
