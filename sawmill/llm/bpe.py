@@ -5,7 +5,8 @@ the least rank become one piece (the leftmost of equal ones) until no two neighb
 higher-order functions over an array of integers, one for each piece; the rank of two neighbours is looked up by their ids
 in a literal perfect hash table.  Words that have a rank need no fold.  The most frequent of the others are folded once for
 all texts (``common_words``), the rest once in a task: Arrow stages cut the texts into codes of words before the fold, and
-put ids in the place of codes behind it.  So that table changes the time and never the ids.
+put ids in the place of codes behind it.  So that table changes the time and never the ids.  The driver passes it on as
+Arrow's arrays and makes no Python strings of it.
 
 A byte is held as the character of its number (ISO-8859-1) where Spark takes a word apart.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import heapq
 import json
 import random
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,7 +192,7 @@ def texts_in(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def common_words(df: DataFrame, vocabulary: Vocabulary, ranks: Column, text_col: str = "text", most: int = COMMON) -> tuple[list[str], pa.Array]:
+def common_words(df: DataFrame, vocabulary: Vocabulary, ranks: Column, text_col: str = "text", most: int = COMMON) -> tuple[pa.Array, pa.Array]:
     """At most ``most`` distinct words that need merges, those of the highest counts over all texts, and the ids of each.
 
     For speed a task counts what stands between spaces, and cuts each distinct piece of that once, behind a space: where a
@@ -232,9 +235,31 @@ def common_words(df: DataFrame, vocabulary: Vocabulary, ranks: Column, text_col:
     found = top.toArrow().combine_chunks() if top is not None else None
     counted.unpersist()
     if found is None:
-        return [], pa.array([], pa.list_(pa.int32()))
-    ids = found["ids"].combine_chunks()
-    return found["w"].to_pylist(), ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        return NO_WORDS
+    return _whole(found["w"]), _whole(found["ids"])
+
+
+#: No common words and no ids.
+NO_WORDS = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    a = column.combine_chunks()
+    return a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+
+
+@dataclass(frozen=True)
+class Known:
+    """Codes of words: the rank of a word that has one, and from ``first`` on the places in ``common``.  It is sent to tasks as
+    Arrow's buffers; only a Python worker makes the dictionary, which is some ten times as large, once for all its tasks."""
+
+    ranked: dict[str, int]
+    first: int
+    common: pa.Array
+
+    @functools.cached_property
+    def codes(self) -> dict[str, int]:
+        return self.ranked | dict(zip(self.common.to_pylist(), range(self.first, self.first + len(self.common)), strict=True))
 
 
 class Codes(dict):
@@ -255,30 +280,35 @@ def _lists(ends: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", common: int = COMMON, keep: list[str] | None = None, remembered: int = REMEMBERED) -> DataFrame:
+def encode(
+    df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_col: str = "ids", common: int = COMMON, keep: list[str] | None = None, remembered: int = REMEMBERED,
+    made: tuple[list[T.StructField], Callable[[pa.ListArray], list[pa.Array]]] | None = None,
+) -> DataFrame:
     """``df`` with the ids of each text: those that byte-level BPE gives to each match of the pattern by itself, without
     special tokens.
 
     A null or empty text has no ids; every row stays, repeated ones too; an empty table stays empty; a column named like
     the ids is replaced.  Words of any length are whole.  ``keep``: the columns that stay (all by default).  ``common`` words
     are folded once for all texts, and a task begins anew once it remembers more than ``remembered`` others: both change the
-    time only.
+    time only.  ``made``: fields, and what makes their columns of the lists of ids; they stand in the place of the ids, which
+    then needn't leave the task (``digests``).
     """
     context = df.sparkSession.sparkContext
     ranks, pattern, one = _ranks(vocabulary), vocabulary.pattern, max(vocabulary.ranks.values()) + 1
-    words, folded = common_words(df, vocabulary, ranks, text_col, common) if common else ([], pa.array([], pa.list_(pa.int32())))
+    words, folded = common_words(df, vocabulary, ranks, text_col, common) if common else NO_WORDS
     # the code of a word that has a rank is its id; those of common words follow
-    own = context.broadcast(vocabulary.words | {w: one + i for i, w in enumerate(words)})
+    own = context.broadcast(Known(vocabulary.words, one, words))
     ids_of = context.broadcast((np.concatenate([np.ones(one, np.int64), folded.value_lengths().to_numpy()]), np.concatenate([np.arange(one, dtype=np.int32), folded.flatten().to_numpy()])))
     first, by_bytes = one + len(words), context.broadcast(vocabulary.ranks)
 
-    kept = [c for c in (df.columns if keep is None else keep) if c != ids_col]
+    numbers = T.ArrayType(T.IntegerType())
+    fields, make = made or ([T.StructField(ids_col, numbers)], lambda ids: [ids])
+    kept = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in fields}]
     source = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{text_col}`"].cast("string").alias("_text"))
     same = [source.schema[c] for c in kept]
-    numbers = T.ArrayType(T.IntegerType())
     word = T.StructType([T.StructField("w", T.StringType()), T.StructField("ids", numbers)])
-    cut_schema = T.StructType([*same, T.StructField("_codes", numbers), T.StructField("_anew", T.BooleanType()), T.StructField("_new", T.ArrayType(word))])
-    cut_out, schema = to_arrow_schema(cut_schema), T.StructType([*same, T.StructField(ids_col, numbers)])
+    cut_schema = T.StructType([*same, T.StructField("_codes", T.BinaryType()), T.StructField("_anew", T.BooleanType()), T.StructField("_new", T.ArrayType(word))])
+    cut_out, schema = to_arrow_schema(cut_schema), T.StructType([*same, *fields])
     out = to_arrow_schema(schema)
 
     def fresh(words: list[str]) -> pa.Array:
@@ -289,11 +319,11 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_co
         return pa.StructArray.from_arrays([pa.array(short, kind.field(0).type), pa.array(ids, kind.field(1).type)], fields=list(kind))
 
     def cut_into_codes(batches):
-        cut, codes = cutter(pattern), Codes(own.value, first)
+        cut, codes = cutter(pattern), Codes(own.value.codes, first)
         for batch in batches:
             anew = codes.next - first > remembered
             if anew:
-                codes = Codes(own.value, first)
+                codes = Codes(own.value.codes, first)
             found, ends, new_ends = array("i"), [0], [0]
             code = codes.__getitem__
             for text in texts_in(batch.column(len(kept))):
@@ -301,7 +331,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_co
                 ends.append(len(found))
                 new_ends.append(len(codes.new))
             new, codes.new = fresh(codes.new), []
-            made = [_lists(ends, pa.array(np.frombuffer(found, np.int32))), pa.array([anew and i == 0 for i in range(batch.num_rows)]), _lists(new_ends, new)]
+            # as bytes, the codes pass through Spark in one piece a text
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.array(4 * np.array(ends, np.int64), pa.int32()).buffers()[1], pa.py_buffer(found)])
+            made = [packed, pa.array([anew and i == 0 for i in range(batch.num_rows)]), _lists(new_ends, new)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(cut_out.field(i).type) for i in range(len(kept))), *(a.cast(cut_out.field(len(kept) + i).type) for i, a in enumerate(made))], schema=cut_out)
 
     def codes_into_ids(batches):
@@ -309,21 +341,23 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ids_co
         for batch in batches:
             codes, anew, new = (batch.column(len(kept) + i) for i in range(3))
             at = [0, *(i for i in np.flatnonzero(anew.to_numpy(zero_copy_only=False)).tolist() if i), batch.num_rows]
+            in_text = pc.binary_length(codes).to_numpy(zero_copy_only=False) // 4
+            to = np.concatenate([[0], np.cumsum(in_text, dtype=np.int64)])
+            coded = np.frombuffer(b"".join(x.as_buffer() for x in codes), np.int32)
             lists = []
             for a, b in zip(at, at[1:], strict=False):
                 if b > a and anew[a].as_py():
                     lengths, flat = ids_of.value
                 more = new.slice(a, b - a).flatten()
                 lengths, flat = np.concatenate([lengths, more.value_lengths().to_numpy()]), np.concatenate([flat, more.flatten().to_numpy()])
-                part = codes.slice(a, b - a)
-                used, texts = part.flatten().to_numpy(), part.value_lengths().to_numpy()
+                used, texts = coded[to[a] : to[b]], in_text[a:b]
                 n = lengths[used]
                 ends = np.concatenate([[0], np.cumsum(n)])
                 begins = np.cumsum(lengths) - lengths
                 ids = flat[np.repeat(begins[used] - ends[:-1], n) + np.arange(ends[-1])]
                 lists.append(_lists(ends[np.concatenate([[0], np.cumsum(texts)])], pa.array(ids, pa.int32())))
-            ids = pa.concat_arrays(lists)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(out.field(i).type) for i in range(len(kept))), ids.cast(out.field(len(kept)).type)], schema=out)
+            columns = [*(batch.column(i) for i in range(len(kept))), *make(pa.concat_arrays(lists))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     cut_rows = small_batches(source).mapInArrow(cut_into_codes, cut_schema)
     new = bind(ranks, lambda r: F.transform("_new", lambda x: F.coalesce(x["ids"], fold(x["w"], r))))
@@ -339,3 +373,30 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     # a character that no byte stands for marks what isn't in the vocabulary
     joined = bind(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), "", "\u0100"))
     return bind(joined, lambda x: F.when(~F.contains(x, F.lit("\u0100")), F.encode(x, "ISO-8859-1")))
+
+
+def joined(ids: pa.ListArray, table: pa.Array, between: str = "") -> pa.Array:
+    """For each list the table's values at its ids, one behind the other; null for an id that the table doesn't have."""
+    flat = ids.flatten()
+    there = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))
+    values = table.take(flat if pc.all(there).as_py() is not False else pc.if_else(there, flat, pa.scalar(None, flat.type)))
+    ends = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(), dtype=np.int32)])
+    return pc.binary_join(_lists(ends, values), pa.scalar(between.encode(), table.type))
+
+
+def digests(vocabulary: Vocabulary) -> tuple[list[T.StructField], Callable[[pa.ListArray], list[pa.Array]]]:
+    """For ``encode``: how many ids a text has, the SHA-256 of the decimal ids joined by commas, and that of the bytes which the
+    ids decode to, taken from the vocabulary's pieces (null for an id that it doesn't have)."""
+    n = max(vocabulary.ranks.values(), default=-1) + 1
+    pieces: list[bytes | None] = [None] * n
+    for k, v in vocabulary.ranks.items():
+        pieces[v] = k
+    decimals, pieces = pa.array([b"%d" % i for i in range(n)], pa.large_binary()), pa.array(pieces, pa.large_binary())
+
+    def sha256(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in texts.to_pylist()], pa.string())
+
+    def make(ids: pa.ListArray) -> list[pa.Array]:
+        return [ids.value_lengths().cast(pa.int64()), sha256(joined(ids, decimals, ",")), sha256(joined(ids, pieces))]
+
+    return [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())], make

@@ -233,3 +233,42 @@ def test_pages_of_stray_quotes_cost_their_size():
     text = lambda page: [b.text for b in crf.blocks(page)]
     assert text("<p title='a>b'>one</p><p title=\"c>two</p>three") == ["one", "two", "three"]
     assert text("<!-- <p>x</p> -->a<script src='>'>no</script>b<!d>c") == ["abc"]
+
+
+@pytest.mark.parametrize("common", [0, bpe.COMMON])
+def test_digests_within_the_task(spark, vocabulary, plain, common):
+    df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(HARD)], "doc_id long, text string, n_tokens string").repartition(2)
+    got = bpe.encode(df, vocabulary, common=common, made=bpe.digests(vocabulary)).collect()
+    assert len(got) == len(HARD) and got[0].__fields__ == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in got:
+        ids = plain.encode_ordinary(r.text or "")
+        assert tuple(r)[2:] == (len(ids), sha(",".join(map(str, ids))), sha(r.text or ""))
+    assert bpe.encode(df.limit(0), vocabulary, common=common, made=bpe.digests(vocabulary)).collect() == []
+
+
+def test_decoding_of_lists(vocabulary):
+    import pyarrow as pa
+
+    fields, make = bpe.digests(vocabulary)
+    columns = make(pa.array([[0, 1], [], [10**6], [-1, 2]], pa.list_(pa.int32())))
+    pieces = {v: k for k, v in vocabulary.ranks.items()}
+    assert [f.name for f in fields] == ["n_tokens", "ids_sha256", "decoded_sha256"] and columns[0].to_pylist() == [2, 0, 1, 2]
+    assert columns[2].to_pylist() == [hashlib.sha256(x).hexdigest() for x in (pieces[0] + pieces[1], b"")] + [None, None]
+
+
+def test_the_driver_makes_no_strings_of_common_words(spark, vocabulary, plain):
+    import pickle
+
+    import pyarrow as pa
+
+    texts = [" zqxjkv vwqzkj" * 9, " zqxjkv kkqqzz kkqqzz " * 4, "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    words, ids = bpe.common_words(df, vocabulary, bpe._ranks(vocabulary))
+    assert isinstance(words, pa.Array) and isinstance(ids, pa.Array) and {" zqxjkv", " vwqzkj", " kkqqzz"} <= set(words.to_pylist())
+    assert all(list(i) == plain.encode_ordinary(w) for w, i in zip(words.to_pylist(), ids.to_pylist(), strict=True))
+    many = pa.array([f" common{i}" for i in range(200_000)])
+    known = bpe.Known({" the": 7}, 10, many)
+    assert len(pickle.dumps(known)) < 2 * many.nbytes and "codes" not in vars(known)
+    back = pickle.loads(pickle.dumps(known))
+    assert back.codes[" the"] == 7 and back.codes[" common5"] == 15 and len(back.codes) == 200_001
