@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sawmill.config import Section, Settings, overridden
 from sawmill.functions import masking, parsing
 from sawmill.operators import alerts, anomaly, clustering, correlate, diff, mining, tags, timeseries
+from sawmill.operators.ordering import ranked
 from sawmill.plans import analyze as plans
 from sawmill.plans import reports
 from sawmill.plans.stored import dropped, new_path, stored
@@ -796,14 +797,14 @@ def synthetic_events(spark, sf):
 
 @query("SELECT concat('T', p_partkey) AS template_id, p_name AS template, CAST(p_size AS BIGINT) AS count, p_size % 7 = 0 AS is_error, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INT) AS rank FROM part")
 def library_load(spark, sf):
-    """The parts as a JSON library of one document, written and loaded again."""
+    """The parts as a JSON library of one document, a template a line, written and loaded again."""
     from sawmill.sources import libraries
 
     levels = F.when(F.col("p_size") % 7 == 0, F.create_map(F.lit("ERROR"), F.lit(1))).otherwise(F.create_map(F.lit("INFO"), F.lit(1)))
     one = F.struct(F.concat(F.lit("T"), "p_partkey").alias("template_id"), F.col("p_name").alias("template_str"), F.struct(F.col("p_size").alias("count"), levels.alias("level_counts")).alias("stats"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.to_json(one).alias("t")))), lambda x: x["t"])
+    parts = ranked(table(spark, sf, "part").select("p_partkey", F.to_json(one).alias("value")), [F.col("p_partkey"), F.col("value")], "rank")
     at = new_path(spark, "library")
-    table(spark, sf, "part").agg(F.concat(F.lit('{"templates":['), F.array_join(ordered, ","), F.lit("]}")).alias("value")).coalesce(1).write.text(at)
+    libraries.save_library(parts, at)
     return libraries.load_library(spark, at).select("template_id", "template", "count", "is_error", "rank")
 
 

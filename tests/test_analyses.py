@@ -119,6 +119,31 @@ def test_state_shapes(spark, tmp_path):
     assert libraries.template_dicts({"templates": [{"template_id": "x"}, 5]}) == [{"template_id": "x"}] and libraries.template_dicts([]) == []
 
 
+def test_library_by_lines(spark, tmp_path, monkeypatch):
+    made = [{"template_id": f"T{i}", "template_str": f"a, {i}", "stats": {"count": i, "level_counts": {"ERROR" if i % 7 == 0 else "INFO": 1}}} for i in range(500)]
+    path = str(tmp_path / "lib")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    libraries.save_library(spark.createDataFrame([(i, json.dumps(t)) for i, t in reversed(list(enumerate(made)))], "rank long, value string").repartition(5), path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "lib").glob("part-*"))
+    assert len(files) > 1 and json.loads("".join(f.read_text() for f in files)) == {"templates": made}
+
+    def whole(spark, path):
+        raise AssertionError("read on the driver")
+
+    monkeypatch.setattr(libraries, "text_of_file", whole)
+    lib = libraries.load_library(spark, path).orderBy("rank").collect()
+    assert lib == libraries.library(spark, {"templates": made}).collect()
+    libraries.save_library(spark.createDataFrame([], "rank long, value string"), str(tmp_path / "none"))
+    assert libraries.load_library(spark, str(tmp_path / "none")).count() == 0
+    for k, broken in enumerate(('{"template_id":"a"}\n{"template_id":"b"}', '{"template_id":"a"},', '{"template_id":', "")):
+        at = tmp_path / f"broken{k}.json"
+        at.write_text('{"templates":[\n' + broken + "\n]}\n" if broken else ']}\n{"templates":[\n')
+        with pytest.raises(ValueError):
+            libraries.load_library(spark, str(at))
+        assert libraries.load_baseline(spark, str(at)) is None
+
+
 def test_incremental_equals_batch(spark, tmp_path):
     from sawmill.sources.lines import from_iterable, parsed
 
