@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sawmill.config import Section
 from sawmill.functions.masking import WILDCARD
+from sawmill.operators.ordering import ranked as numbered
 from sawmill.plans.stored import dropped, stored
 
 SOURCES = 100
@@ -57,77 +58,85 @@ def leaf_routing(lists: DataFrame, depth: int = 4, max_child: int = 100) -> Data
 
 
 class Fit:
-    """The templates of one leaf, in order: token lists of one length as codes."""
+    """The templates of one leaf, in order: token lists of one length as codes, a row of the table for each position."""
 
     def __init__(self, n: int, sim_th: float):
-        self.n, self.need, self.used = n, min_required(n, sim_th), 0
+        self.n, self.need, self.used, self.wild = n, min_required(n, sim_th), 0, False
         self.codes: dict[str, int] = {WILDCARD: 0}
-        self.table = np.zeros((16, n), np.int64)
+        self.table = np.zeros((n, 16), np.int32)
 
     def code(self, tokens: list[str]) -> np.ndarray:
-        return np.array([self.codes.setdefault(t, len(self.codes)) for t in tokens], np.int64)
+        return np.array([self.codes.setdefault(t, len(self.codes)) for t in tokens], np.int32)
+
+    def _agree(self, x: np.ndarray) -> np.ndarray:
+        """In how many positions each template agrees with each row of ``x``."""
+        known = self.table[:, : self.used]
+        agree = np.zeros((len(x), self.used), np.uint8 if self.n < 256 else np.uint32)
+        for p in range(self.n):
+            same = x[:, p, None] == known[p]
+            if self.wild:
+                same |= known[p] == 0
+            same[x[:, p] == 0] = True
+            agree += same
+        return agree
 
     def find(self, x: np.ndarray) -> int | None:
         """The first template that agrees in enough positions."""
-        known = self.table[: self.used]
-        hit = np.flatnonzero(((known == x) | (known == 0) | (x == 0)).sum(1) >= max(self.need, 1)) if self.n else ()
-        return int(hit[0]) if len(hit) else 0 if self.need <= 0 and self.used else None
+        if self.n and self.used:
+            if self.used < 64 and not self.wild and x.all():
+                hit = (self.table[:, : self.used] == x[:, None]).sum(0) >= max(self.need, 1)
+            else:
+                hit = self._agree(x[None])[0] >= max(self.need, 1)
+            first = int(hit.argmax())
+            if hit[first]:
+                return first
+        return 0 if self.need <= 0 and self.used else None
 
     def add(self, x: np.ndarray) -> int:
-        if self.used == len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-        self.table[self.used] = x
+        if self.used == self.table.shape[1]:
+            self.table = np.concatenate((self.table, np.zeros_like(self.table)), 1)
+        self.table[:, self.used] = x
+        self.wild |= not x.all()
         self.used += 1
         return self.used - 1
 
     def first_of(self, lists: list[list[str]]) -> np.ndarray:
         """``find`` for many lists at once, which become no templates; -1: none."""
-        known, out = self.table[: self.used], np.full(len(lists), -1)
-        x = np.array([[self.codes.get(t, -1) for t in ts] for ts in lists], np.int64).reshape(len(lists), self.n)
-        step = max(1, (8 << 20) // max(1, self.used))
-        for at in range(0, len(lists), step):
-            part = x[at : at + step]
-            agree = np.zeros((len(part), self.used), np.uint16)
-            for p in range(self.n):
-                agree += (part[:, p, None] == known[None, :, p]) | (known[None, :, p] == 0) | (part[:, p, None] == 0)
-            hit = agree >= max(self.need, 1)
-            out[at : at + step] = np.where(hit.any(1), hit.argmax(1), -1) if self.used else -1
+        out = np.full(len(lists), -1)
+        x = np.array([[self.codes.get(t, -1) for t in ts] for ts in lists], np.int32).reshape(len(lists), self.n)
+        step = max(1, (1 << 20) // max(1, self.used))
+        for at in range(0, len(lists) if self.used else 0, step):
+            hit = self._agree(x[at : at + step]) >= max(self.need, 1)
+            out[at : at + step] = np.where(hit.any(1), hit.argmax(1), -1)
         return np.where(out < 0, 0, out) if self.need <= 0 and self.used else out
 
 
-def first_fit(tokens: list[list[str]], sim_th: float, seeds: list[list[str]] | None = None) -> list[int]:
-    """For equally long lists in order: the index of the first template that takes each (templates: ``seeds``, then lists
-    that none took, as len(seeds), len(seeds)+1, ...)."""
-    fit = Fit(len(tokens[0]) if tokens else 0, sim_th)
-    for s in seeds or [] if tokens else []:
-        fit.add(fit.code(s))
-    out = []
-    for ts in tokens:
-        x = fit.code(ts)
-        found = fit.find(x)
-        out.append(fit.add(x) if found is None else found)
-    return out
-
-
 _SOLVED = "leaf string, at bigint, line string, tokens array<string>, seed boolean, template string"
 
 
-def _kernel(sim_th: float):
-    """Entries of one leaf with their templates; a seed is its own."""
+def _solved(entries: DataFrame, sim_th: float) -> DataFrame:
+    """Entries (leaf, at, line, tokens, seed) with their templates; a seed is its own.  A task streams many leaves, each in
+    order, and holds the templates of one; leaves take time, not space, so none of its partitions are put together."""
+    spark = entries.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        pdf = pd.concat([pdf[pdf["seed"]], pdf[~pdf["seed"]]])
-        n = int(pdf["seed"].sum())
-        lines = pdf["line"].to_numpy()
-        got = first_fit([list(t) for t in pdf["tokens"].iloc[n:]], sim_th, [list(t) for t in pdf["tokens"].iloc[:n]])
-        lead = dict(enumerate(range(n)))
-        for i, g in enumerate(got):
-            lead.setdefault(g, n + i)
-        pdf["template"] = np.concatenate((lines[:n], lines[[lead[g] for g in got]] if got else lines[:0]))
-        return pdf[["leaf", "at", "line", "tokens", "seed", "template"]]
-
-    return run
+    def run(batches):
+        leaf = None
+        for batch in batches:
+            made = []
+            for its, line, tokens, seed in zip(*[batch.column(c).to_pylist() for c in (0, 2, 3, 4)], strict=True):
+                if its != leaf:
+                    leaf, fit, names = its, Fit(len(tokens), sim_th), []
+                x = fit.code(tokens)
+                found = None if seed else fit.find(x)
+                if found is None:
+                    found = fit.add(x)
+                    names.append(line)
+                made.append(names[found])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).cast(_ARROW.field(c).type) for c in range(5)], pa.array(made, pa.string())], schema=_ARROW)
+
+    dealt = entries.select("leaf", "at", "line", "tokens", "seed").repartition(parts, "leaf")
+    return dealt.sortWithinPartitions("leaf", F.desc("seed"), "at").mapInArrow(run, _SOLVED)
 
 
 class _Trie:
@@ -171,7 +180,7 @@ class _Trie:
 
 
 #: A leaf of more entries is mined in rounds of about BLOCK of its entries; templates that a pass over the rest compares with.
-HOT, BLOCK, COMPARED = 20_000, 4096, 100_000
+HOT, BLOCK, COMPARED = 100_000, 32_768, 100_000
 
 
 def assign_templates(lines: DataFrame, options: Section, seeds: DataFrame | None = None, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -192,7 +201,9 @@ def assign_templates(lines: DataFrame, options: Section, seeds: DataFrame | None
     )
     lists = stored(lists.withColumn("n", F.size("tokens")), "lists")
     odd = lists.where(F.array_contains(F.slice("tokens", 1, levels), WILDCARD)).select("n").distinct() if levels else lists.select("n").limit(0)
-    routed = leaf_routing(lists.join(odd, "n", "left_anti"), options.depth, options.max_child)
+    odd = stored(odd, "odd")
+    is_odd = not odd.isEmpty()
+    routed = leaf_routing(lists.join(odd, "n", "left_anti") if is_odd else lists, options.depth, options.max_child)
     keys = [c for c in routed.columns if c == "n" or (c[0] == "r" and c[1:].isdigit())]
     kinds = F.array(F.struct(F.lit(True).alias("seed"), F.col("was").alias("at")), F.struct(F.lit(False).alias("seed"), F.col("own").alias("at")))
     entries = routed.select(F.to_json(F.struct(*keys)).alias("leaf"), "line", "tokens", F.inline(kinds)).where("at is not null")
@@ -201,7 +212,7 @@ def assign_templates(lines: DataFrame, options: Section, seeds: DataFrame | None
     pairs = lambda df: df.where(~F.col("seed")).select("line", "template")
     is_large = not large.isEmpty()
     small = entries.join(large, "leaf", "left_anti") if is_large else entries
-    out = pairs(small.groupBy("leaf").applyInPandas(_kernel(options.sim_th), _SOLVED))
+    out = pairs(_solved(small, options.sim_th))
 
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = _Trie(options.depth, options.max_child, options.sim_th)
@@ -210,12 +221,13 @@ def assign_templates(lines: DataFrame, options: Section, seeds: DataFrame | None
         own = pdf[pdf["own"].notna()].sort_values("own", kind="stable")
         return pd.DataFrame({"line": own["line"], "template": [trie.add(list(t), x) for t, x in zip(own["tokens"], own["line"], strict=True)]})
 
-    out = out.unionByName(lists.join(odd, "n", "left_semi").withColumns({c: F.col(c).cast("double") for c in ("own", "was")}).groupBy("n").applyInPandas(in_order, "line string, template string"))
+    if is_odd:
+        out = out.unionByName(lists.join(odd, "n", "left_semi").withColumns({c: F.col(c).cast("double") for c in ("own", "was")}).groupBy("n").applyInPandas(in_order, "line string, template string"))
     rounds = _rounds(entries.join(large, "leaf", "left_semi"), options.sim_th, block) if is_large else []
     for part in rounds:
         out = out.unionByName(pairs(part))
     assigned = stored(out, "assigned")
-    dropped(lists, entries, *rounds)
+    dropped(lists, odd, entries, *rounds)
     return assigned
 
 
@@ -234,7 +246,7 @@ def _rounds(entries: DataFrame, sim_th: float, block: int) -> list[DataFrame]:
         step = F.least(F.lit(40), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(float(block)))))).cast("int")
         cuts = cuts.select("leaf", F.get("q", step).alias("cut"))
         marked = left.join(cuts, "leaf")
-        solved = stored(marked.where("at <= cut").drop("cut").groupBy("leaf").applyInPandas(_kernel(sim_th), _SOLVED), "solved")
+        solved = stored(_solved(marked.where("at <= cut"), sim_th), "solved")
         made = solved.where(F.col("seed") | (F.col("line") == F.col("template"))).select("leaf", "at", "line", "tokens", "seed")
         passes = -(-made.count() // COMPARED)
         rest = marked.where("at > cut").drop("cut")
@@ -284,12 +296,12 @@ _ARROW = pa.schema([("leaf", pa.string()), ("at", pa.int64()), ("line", pa.strin
 
 
 def template_ids(lines: DataFrame, assigned: DataFrame, first: int = 1) -> DataFrame:
-    """(template_id, template, tokens, created_seq): ids T%06d in order of creation.  The table of templates is ranked in
-    one task; it has a row per template, not per line."""
+    """(template_id, template, tokens, created_seq): ids T%06d in order of creation; a stored table, ranked by
+    tasks."""
     created = lines.groupBy(F.array_join("tokens", " ").alias("template")).agg(F.min("seq").alias("created_seq"))
     created = created.join(assigned.select("template").distinct(), "template", "left_semi")
-    rank = F.row_number().over(Window.orderBy("created_seq", "template")) + (first - 1)
-    return created.select(F.format_string("T%06d", rank).alias("template_id"), "template", F.split("template", " ").alias("tokens"), "created_seq")
+    created = numbered(created, [F.col("created_seq"), F.col("template")], "_rank")
+    return created.select(F.format_string("T%06d", F.col("_rank") + first).alias("template_id"), "template", F.split("template", " ").alias("tokens"), "created_seq")
 
 
 def assignments(lines: DataFrame, assigned: DataFrame, ids: DataFrame) -> DataFrame:

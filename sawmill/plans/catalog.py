@@ -375,7 +375,7 @@ def drain_templates(spark, sf):
 
 @query()
 def template_ids(spark, sf):
-    lines = conversation_lines(spark, sf)
+    lines = stored(conversation_lines(spark, sf).select("seq", "tokens"), "lines")
     return mining.template_ids(lines, mining.assign_templates(lines, Settings().drain)).select("template_id", "template", "created_seq")
 
 

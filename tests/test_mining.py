@@ -160,3 +160,25 @@ def test_clusters(spark):
     m = clustering.cluster(t, 0.3)
     assert {r.template_id: r.cluster_id for r in m.collect()} == {"T1": "C0001", "T2": "C0001", "T4": "C0001", "T3": "C0002", "T5": "C0003"}
     assert [(r.cluster_id, r.total_count) for r in clustering.cluster_stats(m, t).collect()] == [("C0001", 16), ("C0002", 7), ("C0003", 1)]
+
+
+def test_leaves_of_a_task(spark):
+    rng = random.Random(5)
+    tokens = lambda n: [rng.choice(["a", "b", "c", "d", "<*>"] if rng.random() < 0.3 else ["a", "b", "c"]) for _ in range(n)]
+    rows = [(f"leaf{i % 70}", i, f"line{i}", tokens(3 + i % 70 % 5), i < 140) for i in range(4000)]
+    got = {r.line: r.template for r in mining._solved(spark.createDataFrame(rows, "leaf string, at long, line string, tokens array<string>, seed boolean").repartition(3), 0.4).collect()}
+    made = {}
+    for leaf, _, line, ts, seed in rows:
+        known, need = made.setdefault(leaf, []), mining.min_required(len(ts), 0.4)
+        fits = [name for name, other in known if sum(x == y or "<*>" in (x, y) for x, y in zip(ts, other, strict=True)) >= need]
+        if seed or not fits:
+            known.append((line, ts))
+        assert got[line] == (line if seed or not fits else fits[0])
+    assert len(got) == 4000 and max(len(x) for x in made.values()) > 5
+
+
+def test_ids_are_ranked_by_tasks(spark):
+    df = spark.createDataFrame([(i, [f"x{i}", "y"]) for i in range(50, 0, -1)], "seq long, tokens array<string>")
+    ids = mining.template_ids(df, df.selectExpr("concat_ws(' ', tokens) AS template"), 7)
+    assert "SinglePartition" not in ids._jdf.queryExecution().toString()
+    assert [(r.template_id, r.created_seq) for r in ids.orderBy("created_seq").collect()] == [(f"T{i + 6:06d}", i) for i in range(1, 51)]
