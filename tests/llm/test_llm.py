@@ -743,6 +743,33 @@ def test_leftovers_meet_in_tiles(spark):
     assert got == brute_classes(rows)
 
 
+def test_large_buckets_are_copied_few_times(spark):
+    """10,000 unlike texts of 200 words in a bucket: copies of its texts in all tiles."""
+    rows = spark.sql("SELECT 10000L AS all, 2000000L AS words, named_struct('k', 1L, 'words', 200L) AS x").select("all", *omh._grid("all", "words"))
+    r = rows.first()
+    assert r.blocks * r.chunks > 1 and r["all"] * (r.blocks + r.chunks) <= 8 * r["all"]
+
+
+def test_tiles_of_several_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"own{rng.randrange(3000)}" for _ in range(25)] + passage)) for i in range(60)]
+    base = rows[40][1].split()
+    rows += [(200 + c, " ".join([*base[:c], "edit", *base[c + 1 :]])) for c in range(5)]
+    monkeypatch.setattr(omh, "HELD", 16)
+    monkeypatch.setattr(omh, "STREAMED", 24)
+    tiled, rows_of = omh._tiled, []
+
+    def counted(mates, *a):
+        rows_of.append(mates.count())
+        return tiled(mates, *a)
+
+    monkeypatch.setattr(omh, "_tiled", counted)
+    got = {r.row_id: r.class_id for r in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert rows_of[0] <= 12 * len(rows), rows_of  # not a row a text and band
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(25)]
